@@ -138,7 +138,7 @@ def completion_text(c: Column, dtype: T.DataType) -> Column:
 
 def tokens(text: Column, limit: int | None = None) -> Column:
     """Words between white space; the first ``limit`` of them when a limit is given."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(text, r"\s+"), "")
     return words if limit is None else F.slice(words, 1, limit)
 
 

@@ -115,7 +115,7 @@ def resolve_models(requests: DataFrame, catalogue: DataFrame, model_dir: str,
     as_given = known.select(F.col("path").alias("_given"), F.col("path").alias("_hit_given"))
     as_under = known.select(F.col("path").alias("_under"), F.col("path").alias("_hit_under"))
     joined = salted_join(wanted, as_given, ["_given"], key)
-    joined = salted_join(joined, as_under, ["_under"], key)
+    joined = salted_join(joined, as_under, ["_under"], key, hot_from=wanted)
     return joined.select(*requests.columns, F.coalesce("_hit_given", "_hit_under").alias("resolved"))
 
 

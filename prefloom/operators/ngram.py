@@ -29,13 +29,17 @@ MAX_RUNS = 10_000
 @dataclass
 class NgramModel:
     """Counts per run: ``words(run, token, c)``, ``totals(run, n, v)`` and for order 2
-    ``pairs(run, ctx, token, ratio, c)``, ``ratio`` being c(ctx, token) / c(ctx) and
-    ``c`` the run's count of ``token`` alone."""
+    ``pairs(run, ctx, token, c)``."""
 
     order: int
     words: DataFrame
     totals: DataFrame
     pairs: DataFrame | None = None
+    # Where run names are read from without counting words; the totals when not given.
+    rows: DataFrame | None = None
+
+    def runs(self) -> list[str]:
+        return run_names(self.totals if self.rows is None else self.rows)
 
     def save(self, path: str) -> None:
         for name, df in self._tables().items():
@@ -68,23 +72,30 @@ def run_names(df: DataFrame, run: str = "run", limit: int = MAX_RUNS) -> list[st
     return sorted(names)
 
 
+def explode_words(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
+    """One row per word. An outer explode, since for an inner one the optimizer tests the
+    array's size in a filter at the scan and so splits every text twice more."""
+    return df.select(*keep, F.explode_outer(words).alias("token")).where(F.col("token").isNotNull())
+
+
+def explode_bigrams(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
+    return df.select(*keep, F.inline_outer(_bigrams(words))).where(F.col("token").isNotNull())
+
+
 def fit_ngram(df: DataFrame, text: str = "text", run: str = "run", order: int = 1) -> NgramModel:
     """Count words (and word pairs for order 2) of each run's texts."""
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
-    tokenised = df.where(F.col(run).isNotNull()).select(F.col(run).alias("run"), X.tokens(F.col(text)).alias("tokens"))
-    words = (tokenised.select("run", F.explode("tokens").alias("token"))
+    named = df.where(F.col(run).isNotNull()).select(F.col(run).alias("run"), F.col(text).alias("text"))
+    rows, tokenised = named.select("run"), named.select("run", X.tokens(F.col("text")).alias("tokens"))
+    words = (explode_words(tokenised, ["run"], F.col("tokens"))
              .groupBy("run", "token").agg(F.count(F.lit(1)).alias("c")))
     totals = words.groupBy("run").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
     if order == 1:
-        return NgramModel(1, words, totals)
-    counted = (tokenised.select("run", F.inline(_bigrams(F.col("tokens"))))
-               .groupBy("run", "ctx", "token").agg(F.count(F.lit(1)).alias("c_pair")))
-    contexts = counted.groupBy("run", "ctx").agg(F.sum("c_pair").alias("c_ctx"))
-    pairs = salted_join(counted, contexts, ["run", "ctx"], ["token"])
-    pairs = salted_join(pairs, words, ["run", "token"], ["ctx"])
-    return NgramModel(2, words, totals, pairs.select(
-        "run", "ctx", "token", (F.col("c_pair") / F.col("c_ctx")).alias("ratio"), "c"))
+        return NgramModel(1, words, totals, rows=rows)
+    counted = (explode_bigrams(tokenised, ["run"], F.col("tokens"))
+               .groupBy("run", "ctx", "token").agg(F.count(F.lit(1)).alias("c")))
+    return NgramModel(2, words, totals, counted, rows)
 
 
 def _bigrams(tokens: Column) -> Column:
@@ -95,8 +106,7 @@ def _bigrams(tokens: Column) -> Column:
 
 def mix(model: MixedModel) -> DataFrame:
     """The mixed probability of every word base or run has seen, per run."""
-    runs = run_names(model.adapter.totals)
-    by_word = _by_word(model).withColumn("run", F.explode(_literals(runs)))
+    by_word = _by_word(model).withColumn("run", F.explode(_literals(model.adapter.runs())))
     by_word = by_word.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
     return (_with_totals(by_word, model)
             .where((F.col("c_run") > 0) | (F.col("c_base") > 0))
@@ -147,7 +157,7 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
     """
     adapter = model.adapter if isinstance(model, MixedModel) else model
     if own_run is None and runs is None:
-        runs = run_names(adapter.totals)
+        runs = adapter.runs()
     tokenised = samples.select(
         *key, *([F.col(own_run).alias("run")] if own_run else []),
         X.tokens(F.col(text), max_tokens).alias("tokens"))
@@ -162,9 +172,9 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
         *key, "run", F.size("tokens").cast("bigint").alias("num_tokens"),
         predicted.cast("bigint").alias("predicted"), F.lit(0.0).alias("gain"))
     seen = F.col("tokens") if model.order == 1 else F.slice("tokens", 2, F.size("tokens"))
-    hits = [_word_hits(tokenised.select(*group, F.explode(seen).alias("token")), model, key, group)]
+    hits = [_word_hits(explode_words(tokenised, group, seen), model, key, group)]
     if model.order == 2:
-        hits.append(_pair_hits(tokenised.select(*group, F.inline(_bigrams(F.col("tokens")))), model, key, group, lam))
+        hits.append(_pair_hits(explode_bigrams(tokenised, group, F.col("tokens")), model, key, group, lam))
     for part in hits:
         grid = grid.unionByName(part.select(
             *key, "run", F.lit(0).cast("bigint").alias("num_tokens"),
@@ -188,24 +198,39 @@ def _word_hits(words: DataFrame, model: NgramModel, key: list[str], group: list[
     """What seen words take off the loss: ``k ln(c + 1)`` for k uses in the sample."""
     counted = words.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("k"))
     on = ["run", "token"] if "run" in group else ["token"]
-    found = salted_join(counted, model.words, on, key, how="inner")
+    found = salted_join(counted, model.words, on, key, how="inner", weight="k")
     return found.select(*key, "run", (F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
 
 
+def pair_shares(model: NgramModel, used: DataFrame) -> DataFrame:
+    """``(run, ctx, token, ratio, c)`` of the pairs found in ``used(ctx, token)``: the pair's
+    share of its context's uses, and the count of the word alone.
+
+    Both look-ups are spread by the model's own counts, which are no lower than the
+    different pairs a context starts or a word ends.
+    """
+    contexts = model.pairs.groupBy("run", "ctx").agg(F.sum("c").alias("c_ctx"))
+    pairs = model.pairs.withColumnRenamed("c", "c_pair").join(used, ["ctx", "token"], "left_semi")
+    pairs = salted_join(pairs, contexts, ["run", "ctx"], ["token"], hot_from=contexts, weight="c_ctx")
+    pairs = salted_join(pairs, model.words, ["run", "token"], ["ctx"], hot_from=model.words, weight="c")
+    return pairs.select("run", "ctx", "token", (F.col("c_pair") / F.col("c_ctx")).alias("ratio"), "c")
+
+
 def _pair_hits(pairs: DataFrame, model: NgramModel, key: list[str], group: list[str], lam: float) -> DataFrame:
     """What seen word pairs take off beyond the word's own share."""
     counted = pairs.groupBy(*group, "ctx", "token").agg(F.count(F.lit(1)).alias("k"))
     on = (["run"] if "run" in group else []) + ["ctx", "token"]
-    found = _join_totals(salted_join(counted, model.pairs, on, key, how="inner"), model)
+    shares = pair_shares(model, counted.select("ctx", "token").distinct())
+    found = _join_totals(salted_join(counted, shares, on, key, how="inner", weight="k"), model)
     word = F.lit(1.0 - lam) * (F.col("c") + 1) / _slots(F.col("n"), F.col("v"))
     return found.select(*key, "run", (F.col("k") * (F.log(F.lit(lam) * F.col("ratio") + word) - F.log(word))).alias("gain"))
 
 
 def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], runs: list[str]) -> DataFrame:
     """The mix does not split, so each word meets one row holding all runs' counts."""
-    counted = (tokenised.select(*key, F.explode("tokens").alias("token"))
+    counted = (explode_words(tokenised, key, F.col("tokens"))
                .groupBy(*key, "token").agg(F.count(F.lit(1)).alias("k")))
-    found = salted_join(counted, _by_word(model), ["token"], key)
+    found = salted_join(counted, _by_word(model), ["token"], key, weight="k")
     found = found.withColumn("run", F.explode(_literals(runs)))
     found = found.withColumn("c_base", F.coalesce("c_base", F.lit(0)))
     found = found.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
@@ -224,8 +249,8 @@ def corpus_loss(samples: DataFrame, model: NgramModel, text: str = "text",
     """
     if model.order != 1:
         raise ValueError("only order 1 sums over words alone; use sequence_loss")
-    runs = run_names(model.totals) if runs is None else runs
-    uses = (samples.select(F.explode(X.tokens(F.col(text), max_tokens)).alias("token"))
+    runs = model.runs() if runs is None else runs
+    uses = (explode_words(samples, [], X.tokens(F.col(text), max_tokens))
             .groupBy("token").agg(F.count(F.lit(1)).alias("k")))
     hits = uses.join(model.words, "token").groupBy("run").agg(
         F.sum(F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))

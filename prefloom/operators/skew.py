@@ -14,24 +14,34 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The most frequent keys of ``df``, at most ``max_keys``, each with ``hot_rows`` or more rows."""
-    counted = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows)
+             max_keys: int = MAX_HOT_KEYS, weight: str | None = None) -> DataFrame:
+    """The most frequent keys of ``df``, at most ``max_keys``, each with ``hot_rows`` or more rows.
+
+    With ``weight``, a key's rows are taken to be the sum of that column.
+    """
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*on).agg(rows.alias("_n")).where(F.col("_n") >= hot_rows)
     return counted.orderBy(F.desc("_n"), *on).limit(max_keys).select(*on)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-                how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+                hot_from: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """``left`` joined to ``right`` on equal keys, with the hot keys of ``left`` salted.
 
     ``spread_by`` names the columns of ``left`` that tell its rows apart. Rows of
     ``left`` under a hot key (or a null one, which matches nothing) are dealt over
     ``salts`` partitions; the matching rows of ``right`` are repeated once per salt.
     Results equal those of the plain join. ``how`` is ``inner`` or ``left``.
+
+    Hot keys are counted on ``left``, or on ``hot_from`` where a cheaper frame knows them:
+    ``left`` before an earlier join, or ``right`` with a count that is no lower than the
+    rows ``left`` has, named in ``weight``. A weight that the join uses anyway lets Spark
+    reuse the shuffle below. All of this steers the layout only, never the result.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join supports inner and left joins, not {how!r}")
-    hot = F.broadcast(hot_keys(left, on, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, on, hot_rows, weight=weight).withColumn("_hot", F.lit(True)))
     no_match = F.lit(False)
     for key in on:
         no_match = no_match | F.col(key).isNull()

@@ -46,7 +46,7 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
         parts.append(metrics.training_metrics(logs, states))
     names = None
     if model is not None:
-        names = ngram.run_names((model.adapter if isinstance(model, ngram.MixedModel) else model).totals)
+        names = (model.adapter if isinstance(model, ngram.MixedModel) else model).runs()
     if model is not None and test is not None:
         texts = test_texts(test, key, max_samples)
         if texts is not None:

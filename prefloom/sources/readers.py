@@ -31,6 +31,16 @@ def read_splits(df: DataFrame, split: str, eval_split: str | None = None,
     return pick(split), pick(eval_split) if eval_split else None
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """A scan dealt over all cores by ``key`` when its files give fewer splits than cores.
+
+    On a table with enough splits this adds nothing. ``key`` should tell rows (or the
+    groups the next step needs together) apart.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from prefloom.functions import text as X
 from prefloom.operators.rewards import GROUP_SIZE, mean_pool
 from prefloom.operators.skew import salted_join
+from prefloom.sources.readers import spread
 
 METHODS = ["sft", "dpo", "orpo", "kto", "grpo"]
 
 
+KEYS = {"documents": "doc_id", "conversations": "conv_id", "embeddings": "vec_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"), KEYS[name])
 
 
 def chat(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +172,7 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("vec_id") % 3 + 1).cast("double").alias("score_rejected"))
     own = salted_join(e, means.withColumnRenamed("mean", "chosen"), ["label"], ["vec_id"], "inner")
     return salted_join(own, means.select(F.col("label").alias("other"), F.col("mean").alias("rejected")),
-                       ["other"], ["vec_id"], "inner")
+                       ["other"], ["vec_id"], "inner", hot_from=e)
 
 
 def train_docs(spark: SparkSession, sf: str) -> DataFrame:

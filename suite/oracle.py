@@ -350,7 +350,7 @@ ORACLE: dict[str, str] = {
     # ------------------------------------------------------------ word models
     "lm_fit": f"WITH {MODEL} SELECT run, token, c FROM counts",
     "lm_totals": f"WITH {MODEL} SELECT run, n, v FROM totals",
-    "lm_pairs": f"WITH {MODEL}, {BIGRAMS} SELECT run, ctx, token, round(ratio, 6) AS ratio, c FROM model_pairs",
+    "lm_pairs": f"WITH {MODEL}, {BIGRAMS} SELECT run, ctx, token, c2 AS c FROM bigram_counts",
     "lm_overlay": f"""WITH {MODEL}, {BASE}
       SELECT t.run, b.token, round(ln(0.5 * (b.c + 1) / (SELECT d FROM base_total)
              + 0.5 * (coalesce(c.c, 0) + 1) / (t.n + t.v + 1)), 6) AS log_p

@@ -383,7 +383,7 @@ def lm_totals(spark, sf):
 
 @query
 def lm_pairs(spark, sf):
-    return rounded(_model(spark, sf, 2).pairs)
+    return _model(spark, sf, 2).pairs
 
 
 @query
