@@ -106,9 +106,10 @@ def _bigrams(tokens: Column) -> Column:
 
 def mix(model: MixedModel) -> DataFrame:
     """The mixed probability of every word base or run has seen, per run."""
-    by_word = _by_word(model).withColumn("run", F.explode(_literals(model.adapter.runs())))
+    runs = model.adapter.runs()
+    by_word = _by_word(model).withColumn("run", F.explode(_literals(runs)))
     by_word = by_word.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
-    return (_with_totals(by_word, model)
+    return (_with_totals(by_word, model, runs)
             .where((F.col("c_run") > 0) | (F.col("c_base") > 0))
             .select("run", "token", _mixed_p(model.alpha).alias("p")))
 
@@ -130,11 +131,10 @@ def _slots(n: Column, v: Column) -> Column:
     return (n + v + 1).cast("double")
 
 
-def _with_totals(df: DataFrame, model: MixedModel) -> DataFrame:
+def _with_totals(df: DataFrame, model: MixedModel, names: list[str]) -> DataFrame:
     """Adds the two denominators: the base's as a scalar, the run's by its name."""
     base = model.base.totals.agg(F.max(_slots(F.col("n"), F.col("v")))).scalar()
-    runs = model.adapter.totals.select("run", _slots(F.col("n"), F.col("v")).alias("d_run"))
-    # One row per run, and run_names() refused more than MAX_RUNS of them.
+    runs = _chosen(model.adapter.totals, names).select("run", _slots(F.col("n"), F.col("v")).alias("d_run"))
     return df.join(F.broadcast(runs), "run").withColumn("d_base", base)
 
 
@@ -156,7 +156,9 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
     only. Samples without a predicted word are left out.
     """
     adapter = model.adapter if isinstance(model, MixedModel) else model
-    if own_run is None and runs is None:
+    if own_run:
+        runs = None
+    elif runs is None:
         runs = adapter.runs()
     tokenised = samples.select(
         *key, *([F.col(own_run).alias("run")] if own_run else []),
@@ -172,9 +174,9 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
         *key, "run", F.size("tokens").cast("bigint").alias("num_tokens"),
         predicted.cast("bigint").alias("predicted"), F.lit(0.0).alias("gain"))
     seen = F.col("tokens") if model.order == 1 else F.slice("tokens", 2, F.size("tokens"))
-    hits = [_word_hits(explode_words(tokenised, group, seen), model, key, group)]
+    hits = [_word_hits(explode_words(tokenised, group, seen), model, key, group, runs)]
     if model.order == 2:
-        hits.append(_pair_hits(explode_bigrams(tokenised, group, F.col("tokens")), model, key, group, lam))
+        hits.append(_pair_hits(explode_bigrams(tokenised, group, F.col("tokens")), model, key, group, runs, lam))
     for part in hits:
         grid = grid.unionByName(part.select(
             *key, "run", F.lit(0).cast("bigint").alias("num_tokens"),
@@ -185,20 +187,31 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
     per_word = F.log(_slots(F.col("n"), F.col("v")))
     if model.order == 2:
         per_word = per_word - F.log(F.lit(1.0 - lam))
-    return _join_totals(summed, model).select(
+    return _join_totals(summed, model, runs, key).select(
         *key, "run", (per_word - F.col("gain") / F.col("predicted")).alias("loss"), "num_tokens")
 
 
-def _join_totals(df: DataFrame, model: NgramModel) -> DataFrame:
-    """Adds ``n`` and ``v`` of the run; one row per run, whose number run_names() bounds."""
-    return df.join(F.broadcast(model.totals.select("run", "n", "v")), "run")
+def _join_totals(df: DataFrame, model: NgramModel, runs: list[str] | None, key: list[str]) -> DataFrame:
+    """Adds ``n`` and ``v`` of the run. With a list of runs the totals are one short row each;
+    without one their number has no bound, and a run may hold most samples."""
+    if runs is None:
+        return salted_join(df, model.totals.select("run", "n", "v"), ["run"], key, how="inner")
+    return df.join(F.broadcast(_chosen(model.totals, runs).select("run", "n", "v")), "run")
 
 
-def _word_hits(words: DataFrame, model: NgramModel, key: list[str], group: list[str]) -> DataFrame:
+def _chosen(df: DataFrame, runs: list[str]) -> DataFrame:
+    if len(runs) > MAX_RUNS:
+        raise ValueError(f"more than {MAX_RUNS} runs: evaluate them in parts")
+    return df.where(F.col("run").isin(runs))
+
+
+def _word_hits(words: DataFrame, model: NgramModel, key: list[str], group: list[str],
+               runs: list[str] | None) -> DataFrame:
     """What seen words take off the loss: ``k ln(c + 1)`` for k uses in the sample."""
     counted = words.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("k"))
     on = ["run", "token"] if "run" in group else ["token"]
-    found = salted_join(counted, model.words, on, key, how="inner", weight="k")
+    known = model.words if runs is None else _chosen(model.words, runs)
+    found = salted_join(counted, known, on, key, how="inner", weight="k")
     return found.select(*key, "run", (F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
 
 
@@ -216,12 +229,14 @@ def pair_shares(model: NgramModel, used: DataFrame) -> DataFrame:
     return pairs.select("run", "ctx", "token", (F.col("c_pair") / F.col("c_ctx")).alias("ratio"), "c")
 
 
-def _pair_hits(pairs: DataFrame, model: NgramModel, key: list[str], group: list[str], lam: float) -> DataFrame:
+def _pair_hits(pairs: DataFrame, model: NgramModel, key: list[str], group: list[str],
+               runs: list[str] | None, lam: float) -> DataFrame:
     """What seen word pairs take off beyond the word's own share."""
     counted = pairs.groupBy(*group, "ctx", "token").agg(F.count(F.lit(1)).alias("k"))
     on = (["run"] if "run" in group else []) + ["ctx", "token"]
     shares = pair_shares(model, counted.select("ctx", "token").distinct())
-    found = _join_totals(salted_join(counted, shares, on, key, how="inner", weight="k"), model)
+    shares = _join_totals(shares, model, runs, ["ctx", "token"])
+    found = salted_join(counted, shares, on, key, how="inner", weight="k")
     word = F.lit(1.0 - lam) * (F.col("c") + 1) / _slots(F.col("n"), F.col("v"))
     return found.select(*key, "run", (F.col("k") * (F.log(F.lit(lam) * F.col("ratio") + word) - F.log(word))).alias("gain"))
 
@@ -234,7 +249,7 @@ def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], runs: l
     found = found.withColumn("run", F.explode(_literals(runs)))
     found = found.withColumn("c_base", F.coalesce("c_base", F.lit(0)))
     found = found.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
-    scored = _with_totals(found, model)
+    scored = _with_totals(found, model, runs)
     return scored.groupBy(*key, "run").agg(
         (F.sum(-F.col("k") * F.log(_mixed_p(model.alpha))) / F.sum("k")).alias("loss"),
         F.sum("k").alias("num_tokens"))
@@ -256,7 +271,7 @@ def corpus_loss(samples: DataFrame, model: NgramModel, text: str = "text",
         F.sum(F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
     tokens = uses.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("num_tokens"))
     grid = tokens.withColumn("run", F.explode(_literals(runs)))
-    joined = _join_totals(grid.join(hits, "run", "left"), model)
+    joined = _join_totals(grid.join(hits, "run", "left"), model, runs, ["run"])
     loss = F.log(_slots(F.col("n"), F.col("v"))) - F.coalesce("gain", F.lit(0.0)) / F.col("num_tokens")
     return joined.select("run", F.when(F.col("num_tokens") > 0, loss).otherwise(0.0).alias("test_loss"), "num_tokens")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text as X
 from prefloom.operators import metrics, ngram, sample
+from prefloom.plans import registry
 
 
 def test_texts(df: DataFrame, key: list[str], max_samples: int | None = None) -> DataFrame | None:
@@ -35,11 +36,13 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
              test: DataFrame | None = None, prefs: DataFrame | None = None,
              logs: DataFrame | None = None, states: DataFrame | None = None,
              samples: DataFrame | None = None, max_samples: int | None = None,
-             max_tokens: int | None = X.MAX_TOKENS, max_generation_samples: int = 3) -> DataFrame:
+             max_tokens: int | None = X.MAX_TOKENS, max_generation_samples: int = 3,
+             extra: dict[str, DataFrame] | None = None) -> DataFrame:
     """All metrics of all runs in one plan; each part is left out when its input is.
 
     ``runs`` holds ``run`` and any facts to carry. ``max_samples`` caps test rows by
-    position and pairs by validity; None scores everything.
+    position and pairs by validity; None scores everything. ``extra`` maps names of
+    registered metrics to the frames they roll up.
     """
     parts = []
     if logs is not None:
@@ -57,6 +60,7 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
         parts.append(metrics.preference_metrics(losses))
     if samples is not None:
         parts.append(metrics.nest_samples(samples, max_generation_samples))
+    parts += [registry.METRICS[name](frame) for name, frame in (extra or {}).items()]
     return metrics.merge_metrics(runs, *parts)
 
 

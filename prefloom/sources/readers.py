@@ -96,24 +96,18 @@ def read_path(spark: SparkSession, path: str, schema: T.StructType | str | None
 def read_texts(spark: SparkSession, path: str, whole_bytes: int = WHOLE_TEXT_BYTES) -> DataFrame:
     """Pasted-JSON files as ``(path, text)``: small files whole, larger ones by line.
 
-    A larger file must hold JSON lines; one array of that size belongs to
-    :func:`read_path` with ``array_files``, and is refused here.
+    A larger file must hold JSON lines. One JSON value over several lines belongs to
+    :func:`read_path` with ``array_files`` at that size; reading it here fails.
     """
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-              .select("path", "length"))
-    large = [r.path for r in listed.where(F.col("length") > whole_bytes).select("path").collect()]
-    name = F.col("_metadata.file_path").alias("path")
-    if not large:
-        return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(name, F.col("value").alias("text"))
-    for big in large:
-        first = spark.read.text(big).where(F.trim("value") != "").limit(1)
-        if first.where(J.parse_strict(F.col("value")).isNull()).count():
-            raise ValueError(f"{big} is not JSON lines: read it with read_path(array_files=True)")
-    lines = spark.read.text(large).select(name, F.col("value").alias("text"))
-    small = [r.path for r in listed.where(F.col("length") <= whole_bytes).select("path").collect()]
-    if not small:
-        return lines
-    return lines.unionByName(spark.read.text(small, wholetext=True).select(name, F.col("value").alias("text")))
+    name, size, line = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size"), F.col("value")
+    reader = spark.read.option("recursiveFileLookup", True)
+    whole = reader.text(path, wholetext=True).where(size <= whole_bytes).select(name, line.alias("text"))
+    start = X.strip(line)
+    opened = (start == "{") | (F.startswith(start, F.lit("[")) & J.parse_strict(line).isNull())
+    refused = F.raise_error(F.concat(name, F.lit(" is not JSON lines: read it with read_path(array_files=True)")))
+    lines = reader.text(path).where(size > whole_bytes).select(
+        name, F.when(opened, refused.cast("string")).otherwise(line).alias("text"))
+    return whole.unionByName(lines)
 
 
 def strict_list(df: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions.vectors import cosine
 from prefloom.operators import catalog, leaderboard, metrics, ngram, rewards, scoring
-from prefloom.plans import evaluate
+from prefloom.plans import evaluate, registry
 from prefloom.plans.rewards import score_rewards
 from prefloom.sources import readers, sinks
 
@@ -313,6 +313,10 @@ def test_evaluate_parts_have_their_own_switch(spark):
     only = evaluate.evaluate(runs, ["id"], ngram.fit_ngram(train), prefs=prefs, max_samples=1)
     assert {r.preference_total for r in only.collect()} == {1, None} and "perplexity" not in only.columns
     assert evaluate.evaluate(runs, ["id"]).columns == ["run"]
+    registry.add_metric("size", lambda df: df.groupBy("run").agg(F.count("text").alias("texts")))
+    sized = evaluate.evaluate(runs, ["id"], extra={"size": train.where("run is not null")})
+    registry.METRICS.pop("size")
+    assert {r.run: r.texts for r in sized.collect()} == {"en": 2, "fr": 2, "new": None}
 
 
 def test_no_python_and_no_product_in_scoring_plan(spark):
