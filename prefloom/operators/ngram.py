@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import text as X
 from prefloom.operators.skew import salted_join
+from prefloom.session import scratch_path
 
 # The runs under evaluation are a list the driver holds, as a directory listing is.
 MAX_RUNS = 10_000
@@ -29,12 +30,13 @@ MAX_RUNS = 10_000
 @dataclass
 class NgramModel:
     """Counts per run: ``words(run, token, c)``, ``totals(run, n, v)`` and for order 2
-    ``pairs(run, ctx, token, c)``."""
+    ``pairs(run, ctx, token, c)`` and ``contexts(run, ctx, c)``."""
 
     order: int
     words: DataFrame
     totals: DataFrame
     pairs: DataFrame | None = None
+    contexts: DataFrame | None = None
     # Where run names are read from without counting words; the totals when not given.
     rows: DataFrame | None = None
 
@@ -42,17 +44,25 @@ class NgramModel:
         return run_names(self.totals if self.rows is None else self.rows)
 
     def save(self, path: str) -> None:
-        for name, df in self._tables().items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        """Write the counts once; the totals are summed from what was written."""
+        spark = self.words.sparkSession
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        word_totals(spark.read.parquet(f"{path}/words")).write.mode("overwrite").parquet(f"{path}/totals")
+        if self.pairs is not None:
+            self.pairs.write.mode("overwrite").parquet(f"{path}/pairs")
+            context_counts(spark.read.parquet(f"{path}/pairs")).write.mode("overwrite").parquet(f"{path}/contexts")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, order: int = 1) -> NgramModel:
-        names = ["words", "totals"] + (["pairs"] if order == 2 else [])
-        return cls(order, **{n: spark.read.parquet(f"{path}/{n}") for n in names})
+        names = ["words", "totals"] + (["pairs", "contexts"] if order == 2 else [])
+        return cls(order, **{name: spark.read.parquet(f"{path}/{name}") for name in names})
 
-    def _tables(self) -> dict[str, DataFrame]:
-        tables = {"words": self.words, "totals": self.totals}
-        return tables if self.pairs is None else {**tables, "pairs": self.pairs}
+    def stored(self) -> NgramModel:
+        """The model as tables in the shared folder, so that scoring does not fit it again."""
+        spark = self.words.sparkSession
+        path = scratch_path(spark, "model")
+        self.save(path)
+        return self.load(spark, path, self.order)
 
 
 @dataclass
@@ -72,6 +82,15 @@ def run_names(df: DataFrame, run: str = "run", limit: int = MAX_RUNS) -> list[st
     return sorted(names)
 
 
+def word_totals(words: DataFrame) -> DataFrame:
+    """Uses ``n`` and different words ``v`` per run."""
+    return words.groupBy("run").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+
+
+def context_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("run", "ctx").agg(F.sum("c").alias("c"))
+
+
 def explode_words(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
     """One row per word. An outer explode, since for an inner one the optimizer tests the
     array's size in a filter at the scan and so splits every text twice more."""
@@ -90,12 +109,12 @@ def fit_ngram(df: DataFrame, text: str = "text", run: str = "run", order: int =
     rows, tokenised = named.select("run"), named.select("run", X.tokens(F.col("text")).alias("tokens"))
     words = (explode_words(tokenised, ["run"], F.col("tokens"))
              .groupBy("run", "token").agg(F.count(F.lit(1)).alias("c")))
-    totals = words.groupBy("run").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
+    totals = word_totals(words)
     if order == 1:
         return NgramModel(1, words, totals, rows=rows)
     counted = (explode_bigrams(tokenised, ["run"], F.col("tokens"))
                .groupBy("run", "ctx", "token").agg(F.count(F.lit(1)).alias("c")))
-    return NgramModel(2, words, totals, counted, rows)
+    return NgramModel(2, words, totals, counted, context_counts(counted), rows)
 
 
 def _bigrams(tokens: Column) -> Column:
@@ -187,15 +206,16 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
     per_word = F.log(_slots(F.col("n"), F.col("v")))
     if model.order == 2:
         per_word = per_word - F.log(F.lit(1.0 - lam))
-    return _join_totals(summed, model, runs, key).select(
+    return _join_totals(summed, model, runs, key, hot_from=tokenised).select(
         *key, "run", (per_word - F.col("gain") / F.col("predicted")).alias("loss"), "num_tokens")
 
 
-def _join_totals(df: DataFrame, model: NgramModel, runs: list[str] | None, key: list[str]) -> DataFrame:
+def _join_totals(df: DataFrame, model: NgramModel, runs: list[str] | None, key: list[str],
+                 hot_from: DataFrame | None = None) -> DataFrame:
     """Adds ``n`` and ``v`` of the run. With a list of runs the totals are one short row each;
     without one their number has no bound, and a run may hold most samples."""
     if runs is None:
-        return salted_join(df, model.totals.select("run", "n", "v"), ["run"], key, how="inner")
+        return salted_join(df, model.totals.select("run", "n", "v"), ["run"], key, how="inner", hot_from=hot_from)
     return df.join(F.broadcast(_chosen(model.totals, runs).select("run", "n", "v")), "run")
 
 
@@ -222,7 +242,7 @@ def pair_shares(model: NgramModel, used: DataFrame) -> DataFrame:
     Both look-ups are spread by the model's own counts, which are no lower than the
     different pairs a context starts or a word ends.
     """
-    contexts = model.pairs.groupBy("run", "ctx").agg(F.sum("c").alias("c_ctx"))
+    contexts = model.contexts.withColumnRenamed("c", "c_ctx")
     pairs = model.pairs.withColumnRenamed("c", "c_pair").join(used, ["ctx", "token"], "left_semi")
     pairs = salted_join(pairs, contexts, ["run", "ctx"], ["token"], hot_from=contexts, weight="c_ctx")
     pairs = salted_join(pairs, model.words, ["run", "token"], ["ctx"], hot_from=model.words, weight="c")
@@ -235,7 +255,7 @@ def _pair_hits(pairs: DataFrame, model: NgramModel, key: list[str], group: list[
     counted = pairs.groupBy(*group, "ctx", "token").agg(F.count(F.lit(1)).alias("k"))
     on = (["run"] if "run" in group else []) + ["ctx", "token"]
     shares = pair_shares(model, counted.select("ctx", "token").distinct())
-    shares = _join_totals(shares, model, runs, ["ctx", "token"])
+    shares = _join_totals(shares, model, runs, ["ctx", "token"], hot_from=model.pairs)
     found = salted_join(counted, shares, on, key, how="inner", weight="k")
     word = F.lit(1.0 - lam) * (F.col("c") + 1) / _slots(F.col("n"), F.col("v"))
     return found.select(*key, "run", (F.col("k") * (F.log(F.lit(lam) * F.col("ratio") + word) - F.log(word))).alias("gain"))

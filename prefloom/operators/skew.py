@@ -20,8 +20,12 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
     With ``weight``, a key's rows are taken to be the sum of that column.
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = df.groupBy(*on).agg(rows.alias("_n")).where(F.col("_n") >= hot_rows)
-    return counted.orderBy(F.desc("_n"), *on).limit(max_keys).select(*on)
+    return _most_frequent(df.groupBy(*on).agg(rows.alias("_n")), on, hot_rows, max_keys)
+
+
+def _most_frequent(counted: DataFrame, on: list[str], hot_rows: int, max_keys: int) -> DataFrame:
+    hot = counted.where(F.col("_n") >= hot_rows)
+    return hot.orderBy(F.desc("_n"), *on).limit(max_keys).select(*on)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
@@ -35,13 +39,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
     Results equal those of the plain join. ``how`` is ``inner`` or ``left``.
 
     Hot keys are counted on ``left``, or on ``hot_from`` where a cheaper frame knows them:
-    ``left`` before an earlier join, or ``right`` with a count that is no lower than the
-    rows ``left`` has, named in ``weight``. A weight that the join uses anyway lets Spark
-    reuse the shuffle below. All of this steers the layout only, never the result.
+    ``left`` before an earlier join, or, with ``weight``, a frame of one row per key whose
+    ``weight`` is no lower than the rows ``left`` has. Without ``hot_from``, ``weight`` is a
+    column of ``left`` summed in place of counting rows; one that the join uses anyway lets
+    Spark reuse the shuffle below. All of this steers the layout only, never the result.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join supports inner and left joins, not {how!r}")
-    hot = F.broadcast(hot_keys(left if hot_from is None else hot_from, on, hot_rows, weight=weight).withColumn("_hot", F.lit(True)))
+    if hot_from is not None and weight is not None:
+        known = hot_from.select(*on, F.col(weight).alias("_n"))
+        hot = _most_frequent(known, on, hot_rows, MAX_HOT_KEYS).distinct()
+    else:
+        hot = hot_keys(left if hot_from is None else hot_from, on, hot_rows, weight=weight)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     no_match = F.lit(False)
     for key in on:
         no_match = no_match | F.col(key).isNull()

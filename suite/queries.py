@@ -367,6 +367,10 @@ def _model(spark, sf, order=1):
     return ngram.fit_ngram(frames.train_docs(spark, sf), order=order)
 
 
+def _stored(spark, sf, order=1):
+    return _model(spark, sf, order).stored()
+
+
 def _base(spark, sf):
     return ngram.fit_ngram(frames.train_docs(spark, sf).withColumn("run", F.lit("base")))
 
@@ -394,7 +398,7 @@ def lm_overlay(spark, sf):
 
 @query
 def sequence_loss(spark, sf):
-    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _model(spark, sf), ["conv_id"], max_tokens=None)
+    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _stored(spark, sf), ["conv_id"], max_tokens=None)
     return rounded(losses)
 
 
@@ -402,30 +406,30 @@ def sequence_loss(spark, sf):
 def sequence_loss_cut(spark, sf):
     """With the evaluator's own limit of 512 tokens per sample."""
     docs = frames.table(spark, sf, "documents").select("doc_id", "text")
-    return rounded(ngram.sequence_loss(docs, _model(spark, sf), ["doc_id"]))
+    return rounded(ngram.sequence_loss(docs, _stored(spark, sf), ["doc_id"]))
 
 
 @query
 def sequence_loss_own(spark, sf):
     docs = frames.train_docs(spark, sf)
-    return rounded(ngram.sequence_loss(docs, _model(spark, sf), ["doc_id"], own_run="run", max_tokens=None))
+    return rounded(ngram.sequence_loss(docs, _stored(spark, sf), ["doc_id"], own_run="run", max_tokens=None))
 
 
 @query
 def sequence_loss_pairs(spark, sf):
-    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _model(spark, sf, 2), ["conv_id"], max_tokens=None)
+    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _stored(spark, sf, 2), ["conv_id"], max_tokens=None)
     return rounded(losses, 5)
 
 
 @query
 def overlay_loss(spark, sf):
-    model = ngram.MixedModel(_base(spark, sf), _model(spark, sf))
+    model = ngram.MixedModel(_base(spark, sf).stored(), _stored(spark, sf))
     return rounded(ngram.sequence_loss(frames.chat_texts(spark, sf), model, ["conv_id"], max_tokens=None), 5)
 
 
 @query
 def perplexity(spark, sf):
-    rolled = ngram.corpus_loss(frames.chat_texts(spark, sf), _model(spark, sf), max_tokens=None)
+    rolled = ngram.corpus_loss(frames.chat_texts(spark, sf), _stored(spark, sf), max_tokens=None)
     return rolled.select("run", F.round("test_loss", 6).alias("test_loss"),
                          F.round(X.perplexity(F.col("test_loss")), 4).alias("perplexity"), "num_tokens")
 
@@ -433,14 +437,14 @@ def perplexity(spark, sf):
 @query
 def perplexity_samples(spark, sf):
     """The same figures by way of per-sample losses."""
-    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _model(spark, sf), ["conv_id"], max_tokens=None)
+    losses = ngram.sequence_loss(frames.chat_texts(spark, sf), _stored(spark, sf), ["conv_id"], max_tokens=None)
     return registry.METRICS["loss"](losses).select(
         "run", F.round("test_loss", 6).alias("test_loss"), F.round("perplexity", 4).alias("perplexity"), "num_tokens")
 
 
 @query
 def preference_metrics(spark, sf):
-    losses = ngram.preference_losses(frames.pairs(spark, sf), _model(spark, sf), ["conv_id"], max_tokens=None)
+    losses = ngram.preference_losses(frames.pairs(spark, sf), _stored(spark, sf), ["conv_id"], max_tokens=None)
     return rounded(metrics.preference_metrics(losses))
 
 
@@ -454,7 +458,7 @@ def _evaluated(spark, sf):
     docs = frames.table(spark, sf, "documents")
     return evaluate.evaluate(
         docs.groupBy(F.col("lang").alias("run")).agg(F.count(F.lit(1)).alias("train_rows")), ["conv_id"],
-        model=_model(spark, sf), test=frames.chat(spark, sf), prefs=frames.pairs(spark, sf),
+        model=_stored(spark, sf), test=frames.chat(spark, sf), prefs=frames.pairs(spark, sf),
         logs=logs, max_tokens=None)
 
 
