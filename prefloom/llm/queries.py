@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import bpe, decontaminate, neardup
+from prefloom.llm import bpe, decontaminate, neardup, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), size=4)
 
 
+def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"))
 
@@ -29,6 +33,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_minhash": op3_minhash,
+    "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
 }
