@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import bpe, decontaminate, neardup, suffixes, toxicity
+from prefloom.llm import bpe, decontaminate, neardup, quality_model, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,11 @@ def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), size=4)
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf, "labels")))
+
+
 def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.digests(table(spark, sf, "documents"))
 
@@ -39,6 +44,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
+    "op4_quality": op4_quality,
     "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
