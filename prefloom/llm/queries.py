@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import bpe, decontaminate, neardup, quality_model, suffixes, toxicity
+from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(quality_rules.measures(table(spark, sf, "documents"))).select(*quality_rules.RESULT)
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
@@ -42,6 +46,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
@@ -50,4 +55,6 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
+}
