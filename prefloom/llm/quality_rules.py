@@ -55,13 +55,16 @@ RULES = [
     Rule("words", "n_words", least=10, most=10_000_000),
     Rule("word length", "word_chars", "n_words", least=2_000, most=15_000),
     Rule("symbols per word", "n_symbols", "n_words", most=150),
-    Rule("stop words per word", "n_stop", "n_words", least=60),
-    Rule("repeated lines per line", "n_dup_lines", "n_lines", most=300),
+    Rule("stop words per word after the first 20", "n_stop", "n_later", least=60),
+    Rule("repeated lines per line", "n_dup_lines", "n_lines", most=600),
 ]
 
 
 def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, n_lines``."""
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop, n_later, n_lines``.
+
+    ``n_later`` are the words after the first twenty: too few words say nothing of stop words.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"))
     trimmed = F.trim(F.col("t"), F.lit(SPACE))
@@ -88,7 +91,8 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     covered = F.transform("again", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("again", k + 1) - p, F.lit(WINDOW))))
     total = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       total.alias("n_repeat_words"), "n_stop", "n_lines")
+                       total.alias("n_repeat_words"), "n_stop",
+                       F.greatest(F.col("n_words") - 20, F.lit(0)).alias("n_later"), "n_lines")
 
 
 def judge(measured: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -131,6 +135,6 @@ based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_words BETWEEN 10 AND 10000000
        AND 1000 * word_chars BETWEEN 2000 * n_words AND 15000 * n_words AND 1000 * n_symbols <= 150 * n_words
-       AND 1000 * n_stop >= 60 * n_words AND 1000 * n_dup_lines <= 300 * n_lines AS kept
+       AND 1000 * n_stop >= 60 * greatest(n_words - 20, 0) AND 1000 * n_dup_lines <= 600 * n_lines AS kept
 FROM based
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, suffixes, toxicity
+from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, sharding, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf, "labels")))
 
 
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.assign(table(spark, sf, "documents"), keep=["doc_id"])
+
+
 def op7_suffixes(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.digests(table(spark, sf, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op6_sharding": op6_sharding,
     "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
     "op10_decontamination": op10_decontamination,
@@ -57,4 +62,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op6_sharding": sharding.ORACLE,
 }
