@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, sharding, suffixes, toxicity
+from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, sharding, suffixes, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,12 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    judged = url_filter.judge(url_filter.page_captures(pages), url_filter.page_entries(pages))
+    return judged.select("page_id", "day", "host", "n_entries", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
@@ -57,10 +64,12 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
+    "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
 }
