@@ -13,9 +13,10 @@ Candidates are confirmed on full sets:
 1. each bucket's members are held against its smallest document;
 2. components are formed of the confirmed links;
 3. in buckets that still hold several components, every pair of documents from different
-   components is held against each other.
+   components is held against each other, unless shingles that one of them alone has rule the
+   similarity out, or sketches of 512 bits do (at the similarity, for 4 pairs in a million).
 
-So every pair that shares a bucket is either confirmed or refuted, or known to be connected;
+So every pair that shares a bucket is confirmed or refuted, or known to be connected;
 pairs inside a component are never listed. Nothing is capped.
 
 Edge cases: null texts and texts without words have no shingles, link with nothing and are
@@ -43,6 +44,7 @@ PERCENT = 80
 COLLECTIONS = 16
 PER_COLLECTION = 3
 CHUNK = 4096
+SKETCH_BITS = 512
 
 
 def min_hashes(values: np.ndarray, xors: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -94,14 +96,18 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, collections: int,
 
 
 def bucket_rows(classes: DataFrame, collections: int) -> DataFrame:
-    """``key, rep, n``: the tables' rows, from collections that more than one class has."""
+    """``key, j, rep, n``: the tables' rows, from collections that more than one class has.
+
+    ``j`` is the later of the key's two collections.
+    """
     parts = classes.select("rep", "n", F.posexplode("parts").alias("i", "c"))
     shared = parts.groupBy("i", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     left = beside(parts, shared, ["i", "c"], ["rep"])
     held = left.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("p"))
     pairs = F.flatten(F.transform("p", lambda x, k: F.transform(
-        F.slice("p", k + 2, collections), lambda y: F.xxhash64(x["i"], y["i"], x["c"], y["c"]))))
-    return held.where(F.size("p") > 1).select(F.explode(pairs).alias("key"), "rep", "n")
+        F.slice("p", k + 2, collections), lambda y: F.struct(
+            F.xxhash64(x["i"], y["i"], x["c"], y["c"]).alias("key"), y["i"].alias("j")))))
+    return held.where(F.size("p") > 1).select(F.explode(pairs).alias("t"), "rep", "n").select("t.*", "rep", "n")
 
 
 def close_sizes(a: str, b: str, percent: int) -> Column:
@@ -134,26 +140,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return map_rows(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "raw_a", "raw_b"), make, schema)
 
 
-def cross_pairs(buckets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents in one bucket but not in one component.
+def own_counts(texts: DataFrame, size: int) -> DataFrame:
+    """``rep, own``: how many shingles of a document no other one of ``texts`` has; absent if none."""
+    schema = T.StructType([T.StructField("rep", texts.schema["doc_id"].dataType), T.StructField("s", T.LongType())])
+
+    def make():
+        hashes = WordHashes()
+
+        def run(batch):
+            sets = [shingles(split_words(raw), hashes, size) for raw in as_bytes(batch.column(1))]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], schema.names)
+        return run
+
+    single = map_rows(texts.select("doc_id", "raw"), make, schema).groupBy("s").agg(
+        F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).where("m = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
+def bit_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """``rep, b0 .. b7``: the low bits of 512 further minimum hashes, packed."""
+    words = SKETCH_BITS // 64
+    schema = T.StructType([T.StructField("rep", texts.schema["doc_id"].dataType),
+                           *[T.StructField(f"b{i}", T.LongType()) for i in range(words)]])
+
+    def make():
+        hashes = WordHashes()
+        random = np.random.default_rng(23)
+        draw = lambda: random.integers(0, 2**64, SKETCH_BITS, np.uint64)
+        xors, factors = draw(), draw() | np.uint64(1)
+
+        def run(batch):
+            low = [min_hashes(shingles(split_words(raw), hashes, size), xors, factors) for raw in as_bytes(batch.column(1))]
+            bits = np.packbits((finish(np.stack(low)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(bits[:, i]) for i in range(words)]], schema.names)
+        return run
+
+    return map_rows(texts.select("doc_id", "raw"), make, schema)
+
+
+def most_differences(percent: int) -> int:
+    """Differing sketch bits that a pair at the similarity stays within but for 4 in a million."""
+    p = (1 - percent / 100) / 2
+    return int(np.ceil(SKETCH_BITS * p + 4.5 * np.sqrt(SKETCH_BITS * p * (1 - p))))
+
+
+def cross_pairs(buckets: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
+                percent: int, collections: int) -> DataFrame:
+    """Pairs of documents in one bucket but not in one component that may be similar.
 
     All but the bucket's largest component are held against the whole bucket, so a bucket
-    with one large component and some strays gives pairs of strays only.
+    with one large component and some strays gives pairs of strays only. A pair is taken in the
+    first bucket it shares. Left out are pairs that cannot be similar:
+
+    - shingles that no other open document has bound an overlap by the rest, ``f``; sets of sizes ``x``
+      and ``y`` reach a similarity ``t`` only with an overlap of ``t (x + y) / (1 + t)``;
+    - sketches that differ in more bits than :func:`most_differences`.
     """
     act = buckets.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        "key", "j", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     act = stored(act, "buckets")
-    share = act.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    share = act.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
     major = share.groupBy("key").agg(
-        F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("size"))
+        F.max_by("comp", F.struct("m", "comp")).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("size"),
+        F.min("least").alias("least"))
     # Buckets of two were settled when their members were held against each other.
-    major = stored(major.where("k > 1 and size > 2").select("key", "major"), "majors")
+    major = stored(major.where("k > 1 and size > 2").select("key", "major", "least"), "majors")
     held = stored(beside(act, major, ["key"], ["rep"]), "open")
+    few = stored(texts.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "open-texts")
+    facts = bit_sketches(few, size).join(own_counts(few, size), "rep", "left").join(classes.select("rep", "parts"), "rep")
+    facts = stored(facts.withColumn("own", F.coalesce("own", F.lit(0))), "facts")
+    reach = lambda a, b, f: percent * (F.col(a) + F.col(b)) <= (100 + percent) * f
+    held = held.join(facts, "rep").withColumn("f", F.col("n") - F.col("own")).drop("own")
+    held = stored(held.where(reach("n", "least", F.col("f"))), "open")
+    bits = [f"b{i}" for i in range(SKETCH_BITS // 64)]
     minor = held.where("comp <> major").select(
-        "key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
+        "key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("f").alias("xf"),
+        F.col("parts").alias("xparts"), *[F.col(b).alias(f"x{b}") for b in bits])
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x{b}"))) for b in bits), F.lit(0))
+    earlier = sum((F.when((F.lit(k) < F.col("j")) & (F.get("parts", F.lit(k)) == F.get("xparts", F.lit(k))), 1).otherwise(0)
+                   for k in range(collections)), F.lit(0))
     both = beside(held, minor, ["key"], ["rep"]).where(
         (F.col("comp") != F.col("xc")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("rep")))
-        & close_sizes("n", "xn", percent))
+        & close_sizes("n", "xn", percent) & reach("n", "xn", F.least("f", "xf"))
+        & (differ <= most_differences(percent)) & (earlier == 1))
     return both.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
@@ -176,7 +248,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = stored(confirmed(first, texts, size, percent), "confirmed")
     comp = components(links)
-    second = cross_pairs(buckets, comp, percent).join(first, ["a", "b"], "left_anti")
+    second = cross_pairs(buckets, comp, classes, texts, size, percent, collections).join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(stored(second, "pairs"), texts, size, percent), "confirmed")
     if more.limit(1).count():
         comp = components(links.union(more))
