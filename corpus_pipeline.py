@@ -1,14 +1,39 @@
-"""Corpus pipeline: stages over the documents table, each written and read again."""
+"""Corpus pipeline: five stages over the documents table, each written as Parquet and read again.
+
+Toxic documents go, one document of each near-duplicate group stays, repeated passages are
+taken out of the texts, documents that hold benchmark windows go, and what is left is tokenized.
+Every stage works on all that its predecessor kept. All but the last return the columns of
+``documents``; the last returns token counts and digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate
+from prefloom.llm import bpe, decontaminate, neardup, suffixes, toxicity
 from prefloom.session import scratch_path
 
 
-def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model of the labelled ones among them does not find toxic."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group; five-word shingles, similarity 0.8."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeated 200-byte strings cover; ``n_chars`` follows the text."""
+    left = suffixes.drop_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -19,7 +44,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("decontamination", clean_of_benchmark),
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("suffix_dedup", without_repeats),
+    ("decontamination", without_benchmark),
     ("bpe", tokens),
 ]
 
