@@ -269,7 +269,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     found = spans.select(F.col("doc_id").alias("_i"), F.col("row").alias("_r"), F.col("spans").alias(name))
     joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_i"]) & (keyed[row] == found["_r"]), "left").select(
         *docs.columns, name)
-    place = docs.columns.index(text)
+    names = docs.columns
+    place = names.index(text)
 
     def make():
         def run(batch):
@@ -280,7 +281,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 texts.append(value)
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
         return run
 
     return map_rows(joined, make, docs.schema)
