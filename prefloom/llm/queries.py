@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, neardup, quality_model, quality_rules, sharding, suffixes, toxicity, url_filter
+from prefloom.llm import bpe, decontaminate, neardup, pseudo_likelihood, quality_model, quality_rules, sharding, suffixes, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf, "labels")))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+
+
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.assign(table(spark, sf, "documents"), keep=["doc_id"])
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_sharding": op6_sharding,
     "op7_suffixes": op7_suffixes,
     "op8_bpe": op8_bpe,
