@@ -80,17 +80,24 @@ def last_checkpoint(files: DataFrame, order: str = "numeric") -> DataFrame:
 def pick_state_file(files: DataFrame, order: str = "numeric") -> DataFrame:
     """The trainer state to read per run: the root's, else the last checkpoint's, else none.
 
-    ``files`` may carry further columns (such as the text read); they stay on the row.
+    ``files`` may carry further columns (such as the text read); they stay on the row. One
+    grouping finds the last checkpoint, the last one that has a state, and the root's state.
     """
-    last = last_checkpoint(files, order).withColumnRenamed("checkpoint", "_last")
-    states = files.where(F.col("rel_path").isin(X.TRAINER_STATE_FILE)
-                         | F.endswith("rel_path", F.lit("/" + X.TRAINER_STATE_FILE)))
-    in_last = F.col("rel_path") == F.concat(F.col("_last"), F.lit("/" + X.TRAINER_STATE_FILE))
-    usable = (salted_join(states, last, ["run"], ["rel_path"])
-              .where(_at_root(X.TRAINER_STATE_FILE) | in_last).drop("_last"))
+    if order not in ("numeric", "name"):
+        raise ValueError("order must be 'numeric' or 'name'")
+    folder = F.nullif(F.regexp_extract("rel_path", r"^(checkpoint-[^/]*)/", 1), F.lit(""))
+    step = X.checkpoint_step(folder) if order == "numeric" else F.lit(0)
+    by = F.when(folder.isNotNull(), F.struct(step.alias("step"), folder.alias("name")))
+    has_state = F.col("rel_path") == F.concat(folder, F.lit("/" + X.TRAINER_STATE_FILE))
     rest = [c for c in files.columns if c != "run"]
-    best = usable.groupBy("run").agg(F.max_by(F.struct(*rest), _at_root(X.TRAINER_STATE_FILE)).alias("b"))
-    return best.select("run", *[F.col(f"b.{c}").alias(c) for c in rest])
+    row = F.struct(*rest)
+    found = files.groupBy("run").agg(
+        F.max(by).alias("last"), F.max(F.when(has_state, by)).alias("last_state"),
+        F.max_by(row, F.when(has_state, by)).alias("below"),
+        F.max_by(row, F.when(_at_root(X.TRAINER_STATE_FILE), F.lit(1))).alias("root"))
+    best = F.coalesce("root", F.when(F.col("last") == F.col("last_state"), F.col("below")))
+    return found.select("run", best.alias("b")).where("b is not null").select(
+        "run", *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
 def with_base(inventory: DataFrame, base_model: str) -> DataFrame:

@@ -86,7 +86,7 @@ def merge_metrics(runs: DataFrame, *parts: DataFrame) -> DataFrame:
     return reduce(add, parts, runs)
 
 
-def nest_samples(samples: DataFrame, n: int = 3) -> DataFrame:
+def nest_samples(samples: DataFrame, n: int) -> DataFrame:
     """``(run, pos, prompt, response)`` to one row per run with its first ``n`` samples in order.
 
     ``pos`` counts from 0 within the run, so no more than ``n`` rows are ever gathered.

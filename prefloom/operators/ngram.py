@@ -166,7 +166,7 @@ def _mixed_p(alpha: float) -> Column:
 
 def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[str],
                   text: str = "text", runs: list[str] | None = None,
-                  max_tokens: int | None = X.MAX_TOKENS, lam: float = 0.5,
+                  max_tokens: int | None = None, lam: float = 0.5,
                   own_run: str | None = None) -> DataFrame:
     """Mean loss of each sample under each run: ``key, run, loss, num_tokens``.
 
@@ -276,7 +276,7 @@ def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], runs: l
 
 
 def corpus_loss(samples: DataFrame, model: NgramModel, text: str = "text",
-                max_tokens: int | None = X.MAX_TOKENS, runs: list[str] | None = None) -> DataFrame:
+                max_tokens: int | None = None, runs: list[str] | None = None) -> DataFrame:
     """Token-weighted loss of all samples per run, order 1, without per-sample rows.
 
     Uses are counted per word over the whole test set before they meet the model, so
@@ -297,7 +297,7 @@ def corpus_loss(samples: DataFrame, model: NgramModel, text: str = "text",
 
 
 def preference_losses(pairs: DataFrame, model: NgramModel | MixedModel, key: list[str],
-                      runs: list[str] | None = None, max_tokens: int | None = X.MAX_TOKENS,
+                      runs: list[str] | None = None, max_tokens: int | None = None,
                       lam: float = 0.5) -> DataFrame:
     """``key, run, chosen_loss, rejected_loss`` of text or chat pairs."""
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prefloom.session import shared_dir
 
-# Up to this many rows a sort with a limit keeps per-task heaps; larger samples find
-# the cut in the key first and filter, so that no task has to hold the sample.
+# Layout only: up to this many rows a sort with a limit keeps per-task heaps; beyond it rows are
+# sorted into slices and whole slices taken. Rows, order of nulls and accepted keys are the same.
 TOP_ROWS = 10_000
-_BINS = 1024
 
 
 def seeded_key(key: list[str], seed: int = 42) -> Column:
@@ -24,70 +22,27 @@ def seeded_shuffle(df: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_key(key, seed), *key)
 
 
-def _cut_value(keys: DataFrame, n: int) -> tuple[int, int] | None:
-    """The n-th smallest value of the bigint column ``k`` and how many rows to take of it.
-
-    None when there are fewer rows.
-    Each pass counts rows in at most 1024 ranges and narrows to the one holding the
-    n-th row, so the driver sees 1024 counts a pass and seven passes cover 64 bits.
-    """
-    low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
-    if rows < n:
-        return None
-    while low < high:
-        width = (high - low) // _BINS + 1
-        bin_ = F.expr(f"(k - ({low}L)) div {width}L")
-        counts = dict(keys.where(F.col("k").between(low, high))
-                      .groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-        for b in sorted(counts):
-            if n <= counts[b]:
-                break
-            n -= counts[b]
-        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
-    return low, n
-
-
 def take_first(df: DataFrame, n: int | None, key: list[str], seed: int | None = None,
                top_rows: int = TOP_ROWS) -> DataFrame:
     """The first ``n`` rows by ``key``, or by the seeded shuffle of it; 0 or None takes all.
 
-    ``key`` must tell rows apart. A sample beyond ``top_rows`` without a seed needs
-    the first key to be an integer.
+    ``key`` must tell rows apart and be orderable; nulls come first.
     """
     if not n or n <= 0:
         return df
     order = ([seeded_key(key, seed)] if seed is not None else []) + [F.col(k) for k in key]
-    if n <= top_rows:
-        return df.orderBy(*order).limit(n)
-    if seed is not None:
-        first = F.conv(F.substring(seeded_key(key, seed), 1, 15), 16, 10).cast("bigint")
-    elif isinstance(df.schema[key[0]].dataType, T.IntegralType):
-        first = F.col(key[0]).cast("bigint")
-    else:
-        raise ValueError(f"a sample of more than {top_rows} rows needs an integer first key or a seed")
-    cut = _cut_value(df.select(first.alias("k")), n)
-    if cut is None:
-        return df
-    value, room = cut
-    tied = _take_tied(df.where(first == value), room, order, top_rows)
-    return df.where(first < value).unionByName(tied)
-
-
-def _take_tied(df: DataFrame, n: int, order: list[Column], top_rows: int) -> DataFrame:
-    """First ``n`` of the rows sharing the cut value, ranked inside slices of the order."""
     if n <= top_rows:
         return df.orderBy(*order).limit(n)
     shared_dir(df.sparkSession)
     sliced = df.orderBy(*order).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    sizes = sorted(sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect())
-    for p, rows in sizes:
+    # One count per slice comes to the driver: as many as there are partitions.
+    for p, rows in sorted(sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()):
         if n <= rows:
-            break
+            # The slice that holds the cut is one sorted partition.
+            last = sliced.where(F.col("_slice") == p).orderBy(*order).limit(n)
+            return sliced.where(F.col("_slice") < p).unionByName(last).drop("_slice")
         n -= rows
-    else:
-        return sliced.drop("_slice")
-    last = sliced.where(F.col("_slice") == p).orderBy(*order).limit(n)
-    return sliced.where(F.col("_slice") < p).unionByName(last).drop("_slice")
+    return sliced.drop("_slice")
 
 
 def cap_by_position(df: DataFrame, n: int | None, key: list[str], keep: Column) -> DataFrame:

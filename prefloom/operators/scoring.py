@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def batch_score(df: DataFrame, make_predict_fn: Callable, inputs: list[str], out: str = "score",
@@ -27,15 +28,12 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType | s
 
     ``schema`` is that of the columns left after ``remove_columns`` and the update.
     """
-    names = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).names
-    drop = set(remove_columns or [])
+    kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    drop, target = set(remove_columns or []), to_arrow_schema(kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                kept = {k: v for k, v in row.items() if k not in drop}
-                rows.append({**kept, **fn(row)})
-            yield pd.DataFrame(rows, columns=names)
+            rows = [{**{k: v for k, v in row.items() if k not in drop}, **fn(row)} for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, target)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, kinds)

@@ -5,37 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key counts as hot from this many rows on; at most MAX_HOT_KEYS keys are spread.
-# Any key holding more than 1/MAX_HOT_KEYS of the rows is among the most frequent
-# MAX_HOT_KEYS, so what is broadcast is bounded whatever the size of the data.
+# A key is hot if it has HOT_ROWS rows or more and at least one in MAX_HOT_KEYS of all rows, so
+# there are never more hot keys than that; it is dealt over one salt for every HOT_ROWS of its rows.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1_000
-SALTS = 64
+NULL_SALTS = 64
 
 
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
              max_keys: int = MAX_HOT_KEYS, weight: str | None = None) -> DataFrame:
-    """The most frequent keys of ``df``, at most ``max_keys``, each with ``hot_rows`` or more rows.
+    """The hot keys of ``df`` with the number of salts, ``_salts``, that each needs.
 
     With ``weight``, a key's rows are taken to be the sum of that column.
     """
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    return _most_frequent(df.groupBy(*on).agg(rows.alias("_n")), on, hot_rows, max_keys)
+    return _hot(df.groupBy(*on).agg(rows.alias("_n")), on, hot_rows, max_keys)
 
 
-def _most_frequent(counted: DataFrame, on: list[str], hot_rows: int, max_keys: int) -> DataFrame:
-    hot = counted.where(F.col("_n") >= hot_rows)
-    return hot.orderBy(F.desc("_n"), *on).limit(max_keys).select(*on)
+def _hot(counted: DataFrame, on: list[str], hot_rows: int, max_keys: int) -> DataFrame:
+    total = counted.agg(F.sum("_n")).scalar()
+    hot = counted.where((F.col("_n") >= hot_rows) & (F.col("_n") * max_keys >= total))
+    return hot.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str],
-                how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+                how: str = "left", hot_rows: int = HOT_ROWS,
                 hot_from: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """``left`` joined to ``right`` on equal keys, with the hot keys of ``left`` salted.
 
     ``spread_by`` names the columns of ``left`` that tell its rows apart. Rows of
     ``left`` under a hot key (or a null one, which matches nothing) are dealt over
-    ``salts`` partitions; the matching rows of ``right`` are repeated once per salt.
+    the key's salts; the matching rows of ``right`` are repeated once per salt.
     Results equal those of the plain join. ``how`` is ``inner`` or ``left``.
 
     Hot keys are counted on ``left``, or on ``hot_from`` where a cheaper frame knows them:
@@ -48,16 +48,16 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: lis
         raise ValueError(f"salted_join supports inner and left joins, not {how!r}")
     if hot_from is not None and weight is not None:
         known = hot_from.select(*on, F.col(weight).alias("_n"))
-        hot = _most_frequent(known, on, hot_rows, MAX_HOT_KEYS).distinct()
+        hot = _hot(known, on, hot_rows, MAX_HOT_KEYS).groupBy(*on).agg(F.max("_salts").alias("_salts"))
     else:
         hot = hot_keys(left if hot_from is None else hot_from, on, hot_rows, weight=weight)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot)
     no_match = F.lit(False)
     for key in on:
         no_match = no_match | F.col(key).isNull()
-    deal = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salts = F.when(no_match, F.lit(NULL_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
     spread = left.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_match, deal).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")

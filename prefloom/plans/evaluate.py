@@ -36,7 +36,7 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
              test: DataFrame | None = None, prefs: DataFrame | None = None,
              logs: DataFrame | None = None, states: DataFrame | None = None,
              samples: DataFrame | None = None, max_samples: int | None = None,
-             max_tokens: int | None = X.MAX_TOKENS, max_generation_samples: int = 3,
+             max_tokens: int | None = None, max_generation_samples: int | None = None,
              extra: dict[str, DataFrame] | None = None) -> DataFrame:
     """All metrics of all runs in one plan; each part is left out when its input is.
 
@@ -59,6 +59,8 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
         losses = ngram.preference_losses(pairs, model, key, names, max_tokens)
         parts.append(metrics.preference_metrics(losses))
     if samples is not None:
+        if max_generation_samples is None:
+            raise ValueError("say how many generation samples a run keeps")
         parts.append(metrics.nest_samples(samples, max_generation_samples))
     parts += [registry.METRICS[name](frame) for name, frame in (extra or {}).items()]
     return metrics.merge_metrics(runs, *parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from prefloom.operators import records
@@ -15,15 +17,20 @@ def ingest(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     return records.canonical(classified), records.reject_counts(classified)
 
 
-def ingest_path(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Read JSON texts below ``path``, write the records to ``out`` and read them back.
+def ingest_path(spark: SparkSession, path: str, out: str, layout: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Read JSON texts below ``path`` and publish the records at ``out``: records, and rejects by reason.
 
-    Fails when nothing was recognised.
+    Records are written beside ``out`` and take its place only if there are any; when nothing
+    was recognised this fails and what was there stays. ``out`` must not lie below ``path``.
     """
     configure(spark)
-    accepted, _ = ingest(readers.read_texts(spark, path))
-    sinks.write_records(accepted, out)
-    written = spark.read.parquet(out)
-    if written.isEmpty():
+    if f"{out.rstrip('/')}/".startswith(f"{path.rstrip('/')}/"):
+        raise ValueError(f"{out} lies below {path}")
+    accepted, rejects = ingest(readers.read_texts(spark, path, layout))
+    fresh = f"{out.rstrip('/')}-new-{uuid.uuid4().hex}"
+    sinks.write_records(accepted, fresh)
+    if spark.read.parquet(fresh).isEmpty():
+        sinks.remove(spark, fresh)
         raise ValueError(f"no valid training record in {path}")
-    return written
+    sinks.publish(spark, fresh, out)
+    return spark.read.parquet(out), rejects

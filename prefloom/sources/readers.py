@@ -11,10 +11,6 @@ from prefloom.functions import text as X
 from prefloom.operators import catalog
 from prefloom.schemas import MESSAGES, RESULT, TRAINER_STATE
 
-# A file up to this size may be one JSON text over several lines; a larger one is
-# read line by line, in splits.
-WHOLE_TEXT_BYTES = 64 << 20
-
 _FORMATS = {".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
 
@@ -31,16 +27,6 @@ def read_splits(df: DataFrame, split: str, eval_split: str | None = None,
     return pick(split), pick(eval_split) if eval_split else None
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """A scan dealt over all cores by ``key`` when its files give fewer splits than cores.
-
-    On a table with enough splits this adds nothing. ``key`` should tell rows (or the
-    groups the next step needs together) apart.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
-
-
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
@@ -93,21 +79,17 @@ def read_path(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.option("multiLine", array_files).json(files)
 
 
-def read_texts(spark: SparkSession, path: str, whole_bytes: int = WHOLE_TEXT_BYTES) -> DataFrame:
-    """Pasted-JSON files as ``(path, text)``: small files whole, larger ones by line.
+def read_texts(spark: SparkSession, path: str, layout: str = "value") -> DataFrame:
+    """Pasted-JSON files as ``(path, text)``.
 
-    A larger file must hold JSON lines. One JSON value over several lines belongs to
-    :func:`read_path` with ``array_files`` at that size; reading it here fails.
+    With the layout ``value`` a file is one text, which may span lines and is one cell; with
+    ``lines`` each line is one, and large files are read in splits. A layout means the same at any size.
     """
-    name, size, line = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size"), F.col("value")
+    if layout not in ("value", "lines"):
+        raise ValueError("layout must be 'value' or 'lines'")
     reader = spark.read.option("recursiveFileLookup", True)
-    whole = reader.text(path, wholetext=True).where(size <= whole_bytes).select(name, line.alias("text"))
-    start = X.strip(line)
-    opened = (start == "{") | (F.startswith(start, F.lit("[")) & J.parse_strict(line).isNull())
-    refused = F.raise_error(F.concat(name, F.lit(" is not JSON lines: read it with read_path(array_files=True)")))
-    lines = reader.text(path).where(size > whole_bytes).select(
-        name, F.when(opened, refused.cast("string")).otherwise(line).alias("text"))
-    return whole.unionByName(lines)
+    return reader.text(path, wholetext=layout == "value").select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def strict_list(df: DataFrame, text: str = "text") -> DataFrame:
@@ -126,37 +108,45 @@ def parse_messages(text) -> F.Column:
 
 # --------------------------------------------------------------------- runs
 
+def _run_root(spark: SparkSession, runs_dir: str) -> str:
+    """The folder as Spark names it in a file's path."""
+    fs, p = _file_system(spark, runs_dir)
+    plain = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.toUri().normalize())
+    return fs.makeQualified(plain).toString().rstrip("/")
+
+
+def _below(root: str) -> tuple[F.Column, F.Column, F.Column]:
+    """Run and path within the run of a file ``path`` below ``root``, and whether it lies in a run."""
+    rest = F.substring("path", len(root) + 2, 1 << 30)
+    inside = F.startswith("path", F.lit(root + "/")) & F.contains(rest, F.lit("/"))
+    return (F.substring_index(rest, "/", 1).alias("run"), F.regexp_replace(rest, r"^[^/]*/", "").alias("rel_path"), inside)
+
+
 def run_files(spark: SparkSession, runs_dir: str) -> DataFrame:
     """Every file below the runs folder as ``(run, rel_path, bytes, modified)``; no content is read."""
-    root = runs_dir.rstrip("/")
-    if not path_exists(spark, root):
+    if not path_exists(spark, runs_dir):
         return spark.createDataFrame([], "run string, rel_path string, bytes bigint, modified timestamp")
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path", "length", "modificationTime"))
-    below = F.regexp_extract("path", r"/" + _literal(root) + r"/(.+)$", 1)
-    return found.select(below.alias("p"), "length", "modificationTime").where(F.contains("p", F.lit("/"))).select(
-        F.substring_index("p", "/", 1).alias("run"),
-        F.regexp_replace("p", r"^[^/]*/", "").alias("rel_path"),
-        F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-
-
-def _literal(root: str) -> str:
-    name = root.rsplit("/", 1)[-1]
-    return "".join(c if c.isalnum() or c in "_-" else "\\" + c for c in name)
+    run, rel_path, inside = _below(_run_root(spark, runs_dir))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(runs_dir)
+    return found.where(inside).select(
+        run, rel_path, F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def trainer_states(spark: SparkSession, runs_dir: str, order: str = "numeric") -> DataFrame:
-    """Parsed trainer state per run: the root's file, else the last checkpoint's."""
-    files = run_files(spark, runs_dir).select("run", "rel_path")
-    picked = catalog.pick_state_file(files, order)
-    texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", X.TRAINER_STATE_FILE)
-             .text(runs_dir, wholetext=True).select(
-                 F.regexp_extract("_metadata.file_path", r"/" + _literal(runs_dir.rstrip("/")) + r"/(.+)$", 1).alias("p"),
-                 "value"))
-    texts = texts.select(F.substring_index("p", "/", 1).alias("run"),
-                         F.regexp_replace("p", r"^[^/]*/", "").alias("rel_path"), "value")
-    return picked.join(texts, ["run", "rel_path"]).select(
-        "run", F.from_json("value", TRAINER_STATE).alias("s")).select("run", "s.*")
+    """Parsed trainer state per run: the root's file, else the last checkpoint's.
+
+    Contents are read of state files only; the other files are listed, to know the last checkpoint.
+    """
+    if not path_exists(spark, runs_dir):
+        return spark.createDataFrame([], f"run string, {', '.join(f.simpleString().replace(':', ' ', 1) for f in TRAINER_STATE)}")
+    run, rel_path, inside = _below(_run_root(spark, runs_dir))
+    states = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+              .option("pathGlobFilter", X.TRAINER_STATE_FILE).load(runs_dir)
+              .where(inside).select(run, rel_path, F.col("content").cast("string").alias("value")))
+    others = run_files(spark, runs_dir).select("run", "rel_path", F.lit(None).cast("string").alias("value"))
+    is_state = F.regexp_extract("rel_path", r"([^/]*)$", 1) == X.TRAINER_STATE_FILE
+    picked = catalog.pick_state_file(states.unionByName(others.where(~is_state)), order)
+    return picked.select("run", F.from_json("value", TRAINER_STATE).alias("s")).select("run", "s.*")
 
 
 # ------------------------------------------------------------------ results
@@ -167,20 +157,23 @@ def parse_results(texts: DataFrame, column: str = "value") -> DataFrame:
     return texts.select(F.explode(by_run).alias("run", "r")).select("run", "r.*")
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
+def read_results(spark: SparkSession, path: str, layout: str = "value") -> tuple[DataFrame | None, str]:
     """Results and a message; a missing or unreadable file is reported, not raised.
 
-    Reads one object per file as well as the writer's one object per line.
+    ``value``: a file is one JSON object keyed by run, in one cell. ``lines``: a line is one. ``object``:
+    the writer's object, whose braces and runs each have a line; read in splits like lines.
     """
+    if layout not in ("value", "lines", "object"):
+        raise ValueError("layout must be value, lines or object")
     if not path_exists(spark, path):
         return None, f"not found: {path}"
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split("value", "\n")
-    texts = whole.select(F.explode(F.when(
-        J.parse_strict(F.col("value")).isNotNull(), F.array("value")
-    ).otherwise(F.filter(lines, lambda x: F.trim(x) != ""))).alias("value"))
-    broken = texts.where(J.parse_strict(F.col("value")).isNull()).limit(1).count()
+    texts = spark.read.text(path, wholetext=layout == "value").where(F.trim("value") != "")
+    if layout == "object":
+        entry = F.regexp_replace(X.strip(F.col("value")), ",$", "")
+        texts = texts.where(~X.strip(F.col("value")).isin("{", "}")).select(
+            F.concat(F.lit("{"), entry, F.lit("}")).alias("value"))
+    runs = F.coalesce(F.size(F.from_json("value", "map<string, string>")), F.lit(0))
+    broken, n = texts.agg(F.count_if(J.parse_strict(F.col("value")).isNull()), F.sum(runs)).first()
     if broken:
         return None, f"could not read {path}: not JSON"
-    results = parse_results(texts)
-    return results, f"loaded {path} ({results.count()} entries)"
+    return parse_results(texts), f"loaded {path} ({n or 0} entries)"

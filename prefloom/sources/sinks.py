@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.schemas import RESULT
 
-# The single-object form gathers all runs into one cell; beyond this many, use rows or lines.
-MAX_KEYED_RUNS = 10_000
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def publish(spark: SparkSession, fresh: str, out: str) -> None:
+    """Put the written folder ``fresh`` in the place of ``out``."""
+    remove(spark, out)
+    fs, p = _file_system(spark, fresh)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)):
+        raise OSError(f"could not move {fresh} to {out}")
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -26,21 +41,26 @@ def keyed_lines(results: DataFrame) -> DataFrame:
     return results.select("run", F.to_json(keyed, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def keyed_object(results: DataFrame, max_runs: int = MAX_KEYED_RUNS) -> DataFrame:
-    """All runs as one JSON object in one cell; refuses more than ``max_runs``."""
-    if results.select("run").limit(max_runs + 1).count() > max_runs:
-        raise ValueError(f"more than {max_runs} runs: write them as rows or lines")
-    entries = F.array_sort(F.collect_list(F.struct("run", _metrics(results).alias("metrics"))))
-    return results.agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("value"))
+def object_lines(results: DataFrame) -> DataFrame:
+    """Lines ``ord, run, value`` of one JSON object keyed by run: a brace, a line per run, a brace."""
+    last = results.agg(F.max("run")).scalar()
+    entry = F.regexp_extract(F.to_json(F.create_map(F.col("run"), _metrics(results)), {"ignoreNullFields": "false"}), r"^\{(.*)\}$", 1)
+    runs = results.select(F.lit(1).alias("ord"), "run", F.concat(
+        entry, F.when(F.col("run") == last, "").otherwise(",")).alias("value"))
+    braces = results.sparkSession.createDataFrame([(0, None, "{"), (2, None, "}")], "ord int, run string, value string")
+    return runs.unionByName(braces)
 
 
 def write_results(results: DataFrame, path: str, layout: str = "rows") -> None:
-    """Results as Parquet ``rows``, as keyed ``lines``, or as one keyed ``object``."""
+    """Results as Parquet ``rows``, as keyed ``lines``, or as one keyed ``object`` over all part files in order.
+
+    Run names tell results apart.
+    """
     if layout == "rows":
         results.write.mode("overwrite").parquet(path)
     elif layout == "lines":
         keyed_lines(results).orderBy("run").select("value").write.mode("overwrite").text(path)
     elif layout == "object":
-        keyed_object(results).write.mode("overwrite").text(path)
+        object_lines(results).orderBy("ord", "run").select("value").write.mode("overwrite").text(path)
     else:
         raise ValueError("layout must be rows, lines or object")

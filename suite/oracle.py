@@ -252,7 +252,11 @@ ORACLE: dict[str, str] = {
              count(*) AS n
       FROM typed WHERE type IS NULL GROUP BY 1""",
     "ingest_parquet": f"""WITH {RAW}
-      SELECT type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM records GROUP BY type""",
+      SELECT type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM records GROUP BY type
+      UNION ALL
+      SELECT CASE WHEN j IS NULL THEN 'bad_json' WHEN k IS NULL THEN 'non_object' ELSE 'unrecognised' END, count(*), NULL
+      FROM typed WHERE type IS NULL GROUP BY 1""",
+    "table_split": "SELECT doc_id, lang AS split, n_chars FROM documents WHERE lang = 'fr'",
     "strict_list": "SELECT doc_id, i AS item_pos, md5(text) AS chosen_md5 FROM documents, (VALUES (0), (1)) AS p(i)",
     "typed_path": """
       SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang""",
@@ -357,8 +361,6 @@ ORACLE: dict[str, str] = {
       FROM base b CROSS JOIN totals t LEFT JOIN counts c ON c.run = t.run AND c.token = b.token""",
     "sequence_loss": f"""WITH {MODEL}, {CHAT_WORDS}, {scored('samples', 'conv_id')}
       SELECT conv_id, run, round(loss, 6) AS loss, num_tokens FROM losses""",
-    "sequence_loss_cut": f"""WITH {MODEL}, samples AS (SELECT doc_id, toks[1:512] AS toks FROM train),
-      {scored('samples', 'doc_id')} SELECT doc_id, run, round(loss, 6) AS loss, num_tokens FROM losses""",
     "sequence_loss_own": f"""WITH {MODEL}, {scored('train', 'doc_id', own=True)}
       SELECT doc_id, run, round(loss, 6) AS loss, num_tokens FROM losses""",
     "sequence_loss_pairs": f"""WITH {MODEL}, {BIGRAMS}, {CHAT_WORDS}, steps AS (
@@ -416,7 +418,5 @@ ORACLE: dict[str, str] = {
       SELECT run, to_json(list({{'prompt': prompt, 'response': response}} ORDER BY pos))::VARCHAR AS samples
       FROM generated WHERE run = 'run_3' AND pos < 3 GROUP BY run""",
     # ---------------------------------------------------------- own functions
-    "batch_score": "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS score FROM embeddings",
-    "row_mapper": f"SELECT conv_id, turn, role, len({words('text')}) AS words FROM conversations",
 }
 ORACLE["perplexity_samples"] = ORACLE["perplexity"]

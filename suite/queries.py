@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +12,7 @@ from prefloom.functions import json as J
 from prefloom.functions import text as X
 from prefloom.functions.vectors import cosine
 from prefloom.operators import (
-    catalog, contracts, leaderboard, metrics, ngram, project, records, rewards, sample, scoring,
+    catalog, contracts, leaderboard, metrics, ngram, project, records, rewards, sample,
 )
 from prefloom.plans import evaluate, ingest, prepare, registry
 from prefloom.plans import rewards as reward_plans
@@ -65,6 +64,16 @@ def split_scan(spark, sf):
     return pick(train, "train").unionByName(pick(held_out, "eval"))
 
 
+@query
+def table_split(spark, sf):
+    """Documents stored by language as a partitioned table, one split of which is read by name."""
+    path = scratch_path(spark, "splits")
+    frames.table(spark, sf, "documents").withColumnRenamed("lang", "split").write.partitionBy("split").parquet(path)
+    view = f"documents_{abs(hash(path))}"
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return readers.named_split(spark, view, "fr").select("doc_id", "split", "n_chars")
+
+
 @query
 def dpo_pairs(spark, sf):
     rows = prepare.prepare("dpo", frames.pairs(spark, sf).withColumn("messages", F.col("chosen")), ["conv_id"])
@@ -147,8 +156,10 @@ def ingest_parquet(spark, sf):
     """Texts written as files, then ingested from the folder to Parquet and rolled up."""
     pasted, out = scratch_path(spark, "pasted"), scratch_path(spark, "records")
     frames.raw_json(spark, sf).select("text").write.text(pasted)
-    rows = ingest.ingest_path(spark, pasted, out)
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows, rejects = ingest.ingest_path(spark, pasted, out, layout="lines")
+    counts = rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return counts.unionByName(rejects.select(
+        F.col("reject_reason").alias("type"), "n", F.lit(None).cast("bigint").alias("chars")))
 
 
 @query
@@ -402,13 +413,6 @@ def sequence_loss(spark, sf):
     return rounded(losses)
 
 
-@query
-def sequence_loss_cut(spark, sf):
-    """With the evaluator's own limit of 512 tokens per sample."""
-    docs = frames.table(spark, sf, "documents").select("doc_id", "text")
-    return rounded(ngram.sequence_loss(docs, _stored(spark, sf), ["doc_id"]))
-
-
 @query
 def sequence_loss_own(spark, sf):
     docs = frames.train_docs(spark, sf)
@@ -486,7 +490,7 @@ def leaderboard_b(spark, sf):
 def results_roundtrip(spark, sf):
     path = scratch_path(spark, "results")
     sinks.write_results(frames.results(spark, sf), path, "lines")
-    back, message = readers.read_results(spark, path)
+    back, message = readers.read_results(spark, path, "lines")
     if back is None:
         raise RuntimeError(message)
     return rounded(back.select("run", "model_path", "perplexity", "test_loss", "total_steps"))
@@ -494,37 +498,11 @@ def results_roundtrip(spark, sf):
 
 @query
 def run_samples(spark, sf):
-    nested = metrics.nest_samples(frames.generations(spark, sf))
+    nested = metrics.nest_samples(frames.generations(spark, sf), 3)
     return nested.select("run", F.posexplode("generation_samples").alias("i", "s")).select("run", "i", "s.*")
 
 
 @query
 def samples_of_run(spark, sf):
-    nested = metrics.nest_samples(frames.generations(spark, sf))
+    nested = metrics.nest_samples(frames.generations(spark, sf), 3)
     return leaderboard.samples_of(nested, "run_3").select("run", F.to_json("generation_samples").alias("samples"))
-
-
-# ---------------------------------------------------------- own functions
-
-def _mean_model():
-    """Stands for a model loaded once per worker: the mean of the vector."""
-
-    def predict(vectors: np.ndarray) -> np.ndarray:
-        return vectors.astype("float64").mean(axis=1)
-
-    return predict
-
-
-@query
-def batch_score(spark, sf):
-    e = frames.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    width = 64
-    scored = scoring.batch_score(e, _mean_model, ["v"], input_tensor_shapes=[[width]])
-    return rounded(scored.select("vec_id", "score"))
-
-
-@query
-def row_mapper(spark, sf):
-    turns = frames.table(spark, sf, "conversations")
-    return scoring.map_rows(turns, lambda r: {"words": len(r["text"].split())},
-                            "conv_id bigint, turn bigint, role string, words bigint", remove_columns=["text"])

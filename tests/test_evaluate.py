@@ -56,10 +56,15 @@ def test_results_roundtrip(spark, golden, tmp_path, layout):
     samples = F.array(F.struct(F.lit("q").alias("prompt"), F.lit("r\n").alias("response")))
     full = golden.withColumn("best_eval_loss", F.lit(None).cast("double")).withColumn("generation_samples", samples)
     sinks.write_results(full, path, layout)
-    raw = json.loads(spark.read.text(path).orderBy("value").first().value)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    if layout == "object":
+        parts = sorted((tmp_path / layout).glob("part-*"))
+        raw = json.loads("".join(p.read_text() for p in parts))
+    else:
+        raw = json.loads(sorted(lines)[0])
     assert raw["quick_dpo"]["best_eval_loss"] is None
     assert len(raw) == (5 if layout == "object" else 1)
-    back, message = readers.read_results(spark, path)
+    back, message = readers.read_results(spark, path, layout)
     assert "(5 entries)" in message
     got = {r.run: (r.perplexity, r.test_loss, r.training_time_seconds) for r in back.collect()}
     assert got == GOLDEN
@@ -73,8 +78,11 @@ def test_results_problems_are_messages(spark, golden, tmp_path):
     (tmp_path / "bad.json").write_text("{ nope")
     frame, message = readers.read_results(spark, str(tmp_path / "bad.json"))
     assert frame is None and "could not read" in message
+    (tmp_path / "whole.json").write_text(json.dumps({"a": {"perplexity": 2.0}, "b": {"perplexity": 3.0}}, indent=2))
+    back, message = readers.read_results(spark, str(tmp_path / "whole.json"))
+    assert "(2 entries)" in message and {r.run: r.perplexity for r in back.collect()} == {"a": 2.0, "b": 3.0}
     with pytest.raises(ValueError):
-        sinks.keyed_object(golden, max_runs=4)
+        readers.read_results(spark, str(tmp_path / "whole.json"), "rows")
 
 
 def test_training_log_quirks(spark):
@@ -288,7 +296,7 @@ def test_token_limit_and_saved_model(spark, tmp_path):
 def test_scoring_is_whole_under_hot_words(spark, monkeypatch):
     import prefloom.operators.skew as skew
     plain = skew.salted_join
-    monkeypatch.setattr(ngram, "salted_join", lambda *a, **k: plain(*a, **{**k, "hot_rows": 2, "salts": 3}))
+    monkeypatch.setattr(ngram, "salted_join", lambda *a, **k: plain(*a, **{**k, "hot_rows": 2}))
     train, test = frames_of(spark)
     for order in (1, 2):
         got = ngram.sequence_loss(test, ngram.fit_ngram(train, order=order), ["id"])
@@ -387,3 +395,23 @@ def test_own_scorer_and_row_function(spark):
     assert {r.id: r.score for r in scoring.batch_score(df, make, ["x"]).collect()} == {1: 3.0, 2: 8.0}
     mapped = scoring.map_rows(df, lambda r: {"y": r["x"] + r["id"]}, "id int, y double", ["x"])
     assert {r.id: r.y for r in mapped.collect()} == {1: 2.5, 2: 6.0}
+
+
+def test_row_functions_keep_whole_numbers(spark):
+    df = spark.createDataFrame([(9007199254740993, "a b"), (None, "c")], "n bigint, text string")
+    out = scoring.map_rows(df, lambda r: {"words": len(r["text"].split())}, "n bigint, words bigint", ["text"])
+    assert {(r.n, r.words) for r in out.collect()} == {(9007199254740993, 2), (None, 1)}
+
+
+def test_runs_are_named_below_the_root_whatever_its_name(spark, tmp_path):
+    root = tmp_path / "runs" / "exp" / "runs"
+    for run, step in (("my run", 3), ("r1", 5)):
+        folder = root / run / "checkpoint-10"
+        folder.mkdir(parents=True)
+        (folder / "trainer_state.json").write_text(json.dumps({"global_step": step}))
+        (folder / "adapter_model.safetensors").write_text("w")
+    for asked in (str(root), str(root) + "/", str(root) + "/."):
+        assert {(r.run, r.rel_path) for r in readers.run_files(spark, asked).collect()} == {
+            (run, f"checkpoint-10/{name}") for run in ("my run", "r1") for name in ("trainer_state.json", "adapter_model.safetensors")}
+        assert {r.run: r.global_step for r in readers.trainer_states(spark, asked).collect()} == {"my run": 3, "r1": 5}
+    assert readers.trainer_states(spark, str(root) + "_none").count() == 0

@@ -105,6 +105,17 @@ def test_large_samples_equal_small_ones(spark, seed, n):
     assert large.count() == (min(n, 100) or 100)
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_samples_take_any_key_and_nulls_at_every_size(spark, kind):
+    values = [None] * 5 + ([f"k{i:02d}" for i in range(25)] if kind == "string" else [-2**63, 2**63 - 1, *range(23)])
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"k {kind}, i bigint").repartition(4)
+    for n in (3, 5, 6, 27, 30, 40):
+        small = sample.take_first(df, n, ["k", "i"]).collect()
+        large = sample.take_first(df, n, ["k", "i"], top_rows=1).collect()
+        assert len(small) == min(n, 30) and set(small) == set(large)
+        assert sum(r.k is None for r in small) == min(n, 5)
+
+
 def test_kto_sample_counts_unpaired_rows(spark):
     rows = prepare.prepare("kto", chat_pairs(spark), ["id"], limit=5)
     whole = prepare.prepare("kto", chat_pairs(spark), ["id"])
@@ -142,9 +153,9 @@ def test_salted_join_equals_plain_join(spark, how):
                                    .otherwise(F.concat(F.lit("k"), (F.col("id") % 11).cast("string"))).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k5", 4), (None, 5)], "k string, v int")
     plain = left.join(right, ["k"], how).select("id", "k", "v")
-    salted = salted_join(left, right, ["k"], ["id"], how, hot_rows=30, salts=8).select("id", "k", "v")
+    salted = salted_join(left, right, ["k"], ["id"], how, hot_rows=30).select("id", "k", "v")
     assert plain.exceptAll(salted).count() == salted.exceptAll(plain).count() == 0
-    by_weight = salted_join(left, right.withColumn("w", F.lit(50)), ["k"], ["id"], how, hot_rows=60, salts=4,
+    by_weight = salted_join(left, right.withColumn("w", F.lit(50)), ["k"], ["id"], how, hot_rows=60,
                             hot_from=right.withColumn("w", F.lit(50)), weight="w").select("id", "k", "v")
     assert plain.exceptAll(by_weight).count() == by_weight.exceptAll(plain).count() == 0
     with pytest.raises(ValueError):

@@ -79,25 +79,33 @@ def test_strict_list(spark):
             readers.strict_list(texts(spark, bad)).select("item_pos").collect()
 
 
-def test_ingest_path_and_large_files(spark, tmp_path):
+def test_ingest_path_by_layout(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.json").write_text(json.dumps([{"messages": []}, {"chosen": "c", "rejected": "r"}], indent=1))
     (folder / "b.jsonl").write_text('{"completion":"c","label":1}\nbad\n' + '{"messages":[]}\n' * 20)
-    out = ingest_path(spark, str(folder), str(tmp_path / "out"))
-    want = {"sft": 21, "dpo": 1, "kto": 1}
-    assert {r.type: r["count"] for r in out.groupBy("type").count().collect()} == want
-    by_line = readers.read_texts(spark, str(folder), whole_bytes=150)
-    got, _ = ingest(by_line)
-    assert {r.type: r["count"] for r in got.groupBy("type").count().collect()} == want
-    with pytest.raises(Exception, match="not JSON lines"):
-        readers.read_texts(spark, str(folder), whole_bytes=10).collect()
-
-
-def test_ingest_path_without_records_fails(spark, tmp_path):
-    (tmp_path / "x.json").write_text("[7]")
+    out, rejects = ingest_path(spark, str(folder), str(tmp_path / "out"))
+    count = lambda df: {r.type: r["count"] for r in df.groupBy("type").count().collect()}
+    assert count(out) == {"sft": 21, "dpo": 1, "kto": 1}
+    assert {r.reject_reason: r.n for r in rejects.collect()} == {"bad_json": 1}
+    by_line, _ = ingest(readers.read_texts(spark, str(folder / "b.jsonl"), "lines"))
+    assert count(by_line) == {"sft": 20, "kto": 1}
+    with pytest.raises(ValueError, match="layout"):
+        readers.read_texts(spark, str(folder), "rows")
+
+
+def test_failed_ingest_leaves_what_was_there(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"messages":[]}')
+    out = str(tmp_path / "out")
+    assert ingest_path(spark, str(tmp_path / "x.json"), out)[0].count() == 1
+    (tmp_path / "y.json").write_text("[7]")
     with pytest.raises(ValueError, match="no valid"):
-        ingest_path(spark, str(tmp_path / "x.json"), str(tmp_path / "out"))
+        ingest_path(spark, str(tmp_path / "y.json"), out)
+    assert spark.read.parquet(out).count() == 1
+    assert ingest_path(spark, str(tmp_path / "x.json"), out)[0].count() == 1
+    assert [p.name for p in tmp_path.iterdir() if "new" in p.name] == []
+    with pytest.raises(ValueError, match="below"):
+        ingest_path(spark, str(tmp_path), out)
 
 
 def test_typed_paths(spark, tmp_path):
