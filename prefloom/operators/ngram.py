@@ -8,53 +8,68 @@ Order 2:  p(w | x) = lam c(x, w) / c(x) + (1 - lam) p(w).
 Mix:      p(w) = (1 - alpha) p_base(w) + alpha p_run(w).
 
 The log of order 1 splits into ``ln(N + V + 1)`` per word and ``-ln(c + 1)`` for the
-words a run has seen. So samples need an inner join with the counts only, and the
-run-by-sample grid is made from the short list of runs, not from a product of tables.
+words a run has seen. So texts need an inner join with the counts only. Runs stay a frame:
+metrics per run add its totals at the end, and only a result of one row per sample and run
+sets the samples' sizes (not their words) beside the runs, in blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.functions import text as X
+from prefloom.operators import metrics
 from prefloom.operators.skew import salted_join
 from prefloom.session import scratch_path
 
-# The runs under evaluation are a list the driver holds, as a directory listing is.
-MAX_RUNS = 10_000
+# Layout only: the runs that share a block, and over how many copies samples meet a block.
+RUN_BLOCK = 1_000
+BLOCK_SALTS = 64
+
+# Sums of the same terms in another order differ by less; such pairs are ties.
+TIE = 1e-12
 
 
 @dataclass
 class NgramModel:
     """Counts per run: ``words(run, token, c)``, ``totals(run, n, v)`` and for order 2
-    ``pairs(run, ctx, token, c)`` and ``contexts(run, ctx, c)``."""
+    ``pairs(run, ctx, token, c)`` and their ``shares(run, ctx, token, ratio, c, slots)``."""
 
     order: int
     words: DataFrame
     totals: DataFrame
     pairs: DataFrame | None = None
-    contexts: DataFrame | None = None
-    # Where run names are read from without counting words; the totals when not given.
-    rows: DataFrame | None = None
+    shares: DataFrame | None = None
+
+    def runs(self) -> DataFrame:
+        return self.totals.select("run")
 
-    def runs(self) -> list[str]:
-        return run_names(self.totals if self.rows is None else self.rows)
+    def only(self, runs: DataFrame | list[str]) -> NgramModel:
+        """The model of the runs named in a frame's ``run`` column, or in a list."""
+        if not isinstance(runs, DataFrame):
+            runs = self.words.sparkSession.createDataFrame([(r,) for r in runs], "run string")
+        chosen = runs.select("run").distinct()
+        keep = lambda df: df if df is None else df.join(chosen, "run", "left_semi")
+        return NgramModel(self.order, *map(keep, (self.words, self.totals, self.pairs, self.shares)))
 
     def save(self, path: str) -> None:
-        """Write the counts once; the totals are summed from what was written."""
+        """Write the counts once; the totals and shares are made from what was written."""
         spark = self.words.sparkSession
         self.words.write.mode("overwrite").parquet(f"{path}/words")
-        word_totals(spark.read.parquet(f"{path}/words")).write.mode("overwrite").parquet(f"{path}/totals")
+        words = spark.read.parquet(f"{path}/words")
+        word_totals(words).write.mode("overwrite").parquet(f"{path}/totals")
         if self.pairs is not None:
             self.pairs.write.mode("overwrite").parquet(f"{path}/pairs")
-            context_counts(spark.read.parquet(f"{path}/pairs")).write.mode("overwrite").parquet(f"{path}/contexts")
+            shares = pair_shares(spark.read.parquet(f"{path}/pairs"), words, spark.read.parquet(f"{path}/totals"))
+            shares.write.mode("overwrite").parquet(f"{path}/shares")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, order: int = 1) -> NgramModel:
-        names = ["words", "totals"] + (["pairs", "contexts"] if order == 2 else [])
+        names = ["words", "totals"] + (["pairs", "shares"] if order == 2 else [])
         return cls(order, **{name: spark.read.parquet(f"{path}/{name}") for name in names})
 
     def stored(self) -> NgramModel:
@@ -67,19 +82,26 @@ class NgramModel:
 
 @dataclass
 class MixedModel:
-    """A base model with one run, and the runs laid over it with weight ``alpha``."""
+    """A base model with one run, and the runs laid over it with weight ``alpha``; order 1."""
 
     base: NgramModel
     adapter: NgramModel
     alpha: float = 0.5
 
+    def only(self, runs: DataFrame | list[str]) -> MixedModel:
+        return MixedModel(self.base, self.adapter.only(runs), self.alpha)
+
+    def base_words(self) -> DataFrame:
+        return self.base.words.select("token", F.col("c").alias("c_base"))
 
-def run_names(df: DataFrame, run: str = "run", limit: int = MAX_RUNS) -> list[str]:
-    """The distinct runs, refusing more than ``limit``."""
-    names = [r[0] for r in df.select(run).where(F.col(run).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} runs: evaluate them in parts")
-    return sorted(names)
+    def base_slots(self) -> Column:
+        return self.base.totals.agg(F.max(_slots(F.col("n"), F.col("v")))).scalar()
+
+    def run_slots(self) -> DataFrame:
+        return self.adapter.totals.select("run", "v", _slots(F.col("n"), F.col("v")).alias("d_run"))
+
+    def p(self, c_base: Column, d_base: Column, c_run: Column, d_run: Column) -> Column:
+        return (F.lit(1.0 - self.alpha) * (c_base + 1) / d_base + F.lit(self.alpha) * (c_run + 1) / d_run)
 
 
 def word_totals(words: DataFrame) -> DataFrame:
@@ -87,8 +109,20 @@ def word_totals(words: DataFrame) -> DataFrame:
     return words.groupBy("run").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"))
 
 
-def context_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("run", "ctx").agg(F.sum("c").alias("c"))
+def pair_shares(pairs: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
+    """Beside each pair its share ``ratio`` of its context's uses, the count ``c`` of the word
+    alone and the run's ``slots``: all that scoring asks of a pair.
+
+    The look-ups are spread by the model's own counts, which are no lower than the
+    different pairs a context starts or a word ends.
+    """
+    contexts = pairs.groupBy("run", "ctx").agg(F.sum("c").alias("c_ctx"))
+    joined = salted_join(pairs.withColumnRenamed("c", "c_pair"), contexts, ["run", "ctx"], ["token"],
+                         hot_from=contexts, weight="c_ctx")
+    joined = salted_join(joined, words, ["run", "token"], ["ctx"], hot_from=words, weight="c")
+    slots = totals.select("run", _slots(F.col("n"), F.col("v")).alias("slots"))
+    joined = salted_join(joined, slots, ["run"], ["ctx", "token"], hot_from=totals, weight="n")
+    return joined.select("run", "ctx", "token", (F.col("c_pair") / F.col("c_ctx")).alias("ratio"), "c", "slots")
 
 
 def explode_words(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
@@ -106,15 +140,22 @@ def fit_ngram(df: DataFrame, text: str = "text", run: str = "run", order: int =
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
     named = df.where(F.col(run).isNotNull()).select(F.col(run).alias("run"), F.col(text).alias("text"))
-    rows, tokenised = named.select("run"), named.select("run", X.tokens(F.col("text")).alias("tokens"))
+    tokenised = named.select("run", X.tokens(F.col("text")).alias("tokens"))
     words = (explode_words(tokenised, ["run"], F.col("tokens"))
              .groupBy("run", "token").agg(F.count(F.lit(1)).alias("c")))
     totals = word_totals(words)
     if order == 1:
-        return NgramModel(1, words, totals, rows=rows)
+        return NgramModel(1, words, totals)
     counted = (explode_bigrams(tokenised, ["run"], F.col("tokens"))
                .groupBy("run", "ctx", "token").agg(F.count(F.lit(1)).alias("c")))
-    return NgramModel(2, words, totals, counted, context_counts(counted), rows)
+    return NgramModel(2, words, totals, counted, pair_shares(counted, words, totals))
+
+
+def pool(model: NgramModel, name: str = "base") -> NgramModel:
+    """One model of all runs' texts: their counts summed by word; order 1."""
+    summed = model.words.groupBy("token").agg(F.sum("c").alias("c"))
+    words = summed.select(F.lit(name).alias("run"), "token", "c")
+    return NgramModel(1, words, word_totals(words))
 
 
 def _bigrams(tokens: Column) -> Column:
@@ -123,190 +164,226 @@ def _bigrams(tokens: Column) -> Column:
                       lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
 
 
-def mix(model: MixedModel) -> DataFrame:
-    """The mixed probability of every word base or run has seen, per run."""
-    runs = model.adapter.runs()
-    by_word = _by_word(model).withColumn("run", F.explode(_literals(runs)))
-    by_word = by_word.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
-    return (_with_totals(by_word, model, runs)
-            .where((F.col("c_run") > 0) | (F.col("c_base") > 0))
-            .select("run", "token", _mixed_p(model.alpha).alias("p")))
-
-
-def _literals(runs: list[str]) -> Column:
-    return F.array(*[F.lit(r) for r in runs])
-
+def _slots(n: Column, v: Column) -> Column:
+    return (n + v + 1).cast("double")
 
-def _by_word(model: MixedModel) -> DataFrame:
-    """One row per word: the base count and a map of at most MAX_RUNS run counts."""
-    base = model.base.words.select("token", F.col("c").alias("c_base"))
-    runs = model.adapter.words.groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("run", "c"))).alias("counts"))
-    return base.join(runs, "token", "full").select(
-        "token", F.coalesce("c_base", F.lit(0)).alias("c_base"), "counts")
 
+def _beside_runs(df: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
+    """Each row of ``df`` beside every run, for results that have a row for both.
 
-def _slots(n: Column, v: Column) -> Column:
-    return (n + v + 1).cast("double")
+    Runs are packed in blocks of about RUN_BLOCK by hash, and rows meet each block through
+    an equi-join on its number and a salt of their key, so no task holds all of either side.
+    """
+    blocks = runs.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / RUN_BLOCK)).cast("int")).scalar()
+    packed = runs.withColumn("_block", F.pmod(F.xxhash64("run"), blocks).cast("int")).groupBy("_block").agg(
+        F.collect_list(F.struct(*runs.columns)).alias("_runs"))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))))
+    dealt = df.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
+        "_salt", F.pmod(F.xxhash64(*key), F.lit(BLOCK_SALTS)).cast("int"))
+    return dealt.join(packed, ["_block", "_salt"]).select(*df.columns, F.inline("_runs"))
 
 
-def _with_totals(df: DataFrame, model: MixedModel, names: list[str]) -> DataFrame:
-    """Adds the two denominators: the base's as a scalar, the run's by its name."""
-    base = model.base.totals.agg(F.max(_slots(F.col("n"), F.col("v")))).scalar()
-    runs = _chosen(model.adapter.totals, names).select("run", _slots(F.col("n"), F.col("v")).alias("d_run"))
-    return df.join(F.broadcast(runs), "run").withColumn("d_base", base)
+def _beside(df: DataFrame, runs: DataFrame, key: list[str], own: bool) -> DataFrame:
+    """Rows beside their own run's facts, of which a run may have most rows, or beside each run's."""
+    return salted_join(df, runs, ["run"], key, how="inner") if own else _beside_runs(df, runs, key)
 
 
-def _mixed_p(alpha: float) -> Column:
-    return (F.lit(1.0 - alpha) * (F.col("c_base") + 1) / F.col("d_base")
-            + F.lit(alpha) * (F.col("c_run") + 1) / F.col("d_run"))
+def mix(model: MixedModel) -> DataFrame:
+    """The mixed probability of every word base or run has seen, per run."""
+    known = _beside_runs(model.base_words(), model.adapter.runs(), ["token"])
+    both = known.select("run", "token", "c_base", F.lit(0).cast("bigint").alias("c_run")).unionByName(
+        model.adapter.words.select("run", "token", F.lit(0).cast("bigint").alias("c_base"), F.col("c").alias("c_run")))
+    summed = both.groupBy("run", "token").agg(F.max("c_base").alias("c_base"), F.max("c_run").alias("c_run"))
+    joined = salted_join(summed, model.run_slots(), ["run"], ["token"], how="inner").withColumn("d_base", model.base_slots())
+    return joined.select("run", "token", model.p(*map(F.col, ("c_base", "d_base", "c_run", "d_run"))).alias("p"))
 
 
 # ------------------------------------------------------------------- losses
 
 def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[str],
-                  text: str = "text", runs: list[str] | None = None,
+                  text: str = "text", runs: DataFrame | list[str] | None = None,
                   max_tokens: int | None = None, lam: float = 0.5,
                   own_run: str | None = None) -> DataFrame:
     """Mean loss of each sample under each run: ``key, run, loss, num_tokens``.
 
-    ``key`` tells samples apart. ``max_tokens`` cuts the scored text (None scores it
-    whole). With ``own_run`` a sample is scored under the run named in that column
-    only. Samples without a predicted word are left out.
+    ``key`` tells samples apart. ``runs`` names those to score under (None: all). ``max_tokens``
+    cuts the scored text (None scores it whole). With ``own_run`` a sample is scored under the
+    run named in that column only. Samples without a predicted word are left out.
     """
-    adapter = model.adapter if isinstance(model, MixedModel) else model
-    if own_run:
-        runs = None
-    elif runs is None:
-        runs = adapter.runs()
-    tokenised = samples.select(
-        *key, *([F.col(own_run).alias("run")] if own_run else []),
-        X.tokens(F.col(text), max_tokens).alias("tokens"))
-    if isinstance(model, MixedModel):
-        if own_run:
-            raise ValueError("a mixed model scores samples under every run")
-        return _mixed_loss(tokenised, model, key, runs)
+    if runs is not None:
+        model = model.only(runs)
+    own = [F.col(own_run).alias("run")] if own_run else []
+    tokenised = samples.select(*key, *own, X.tokens(F.col(text), max_tokens).alias("tokens"))
     group = [*key, "run"] if own_run else key
-    predicted = F.size("tokens") if model.order == 1 else F.size("tokens") - 1
-    grid = tokenised if own_run else tokenised.withColumn("run", F.explode(_literals(runs)))
-    grid = grid.where(predicted > 0).select(
-        *key, "run", F.size("tokens").cast("bigint").alias("num_tokens"),
-        predicted.cast("bigint").alias("predicted"), F.lit(0.0).alias("gain"))
-    seen = F.col("tokens") if model.order == 1 else F.slice("tokens", 2, F.size("tokens"))
-    hits = [_word_hits(explode_words(tokenised, group, seen), model, key, group, runs)]
-    if model.order == 2:
-        hits.append(_pair_hits(explode_bigrams(tokenised, group, F.col("tokens")), model, key, group, runs, lam))
-    for part in hits:
-        grid = grid.unionByName(part.select(
-            *key, "run", F.lit(0).cast("bigint").alias("num_tokens"),
-            F.lit(0).cast("bigint").alias("predicted"), "gain"))
-    summed = grid.groupBy(*key, "run").agg(
+    if isinstance(model, MixedModel):
+        return _mixed_loss(tokenised, model, key, group)
+    predicted = _predicted(F.col("tokens"), model.order)
+    sizes = tokenised.select(*group, F.size("tokens").cast("bigint").alias("num_tokens"),
+                             predicted.cast("bigint").alias("predicted")).where(F.col("predicted") > 0)
+    totals = model.totals.select("run", _per_word(model.order, lam).alias("per_word"))
+    rows = _beside(sizes, totals, key, bool(own)).withColumn("gain", F.lit(0.0))
+    hits = _hits(tokenised, model, key, group, lam).select(
+        *key, "run", F.lit(0).cast("bigint").alias("num_tokens"), F.lit(0).cast("bigint").alias("predicted"),
+        F.lit(0.0).alias("per_word"), "gain")
+    summed = rows.unionByName(hits).groupBy(*key, "run").agg(
         F.sum("num_tokens").alias("num_tokens"), F.sum("predicted").alias("predicted"),
-        F.sum("gain").alias("gain")).where(F.col("predicted") > 0)
-    per_word = F.log(_slots(F.col("n"), F.col("v")))
-    if model.order == 2:
-        per_word = per_word - F.log(F.lit(1.0 - lam))
-    return _join_totals(summed, model, runs, key, hot_from=tokenised).select(
-        *key, "run", (per_word - F.col("gain") / F.col("predicted")).alias("loss"), "num_tokens")
+        F.max("per_word").alias("per_word"), F.sum("gain").alias("gain")).where(F.col("predicted") > 0)
+    return summed.select(*key, "run", (F.col("per_word") - F.col("gain") / F.col("predicted")).alias("loss"), "num_tokens")
 
 
-def _join_totals(df: DataFrame, model: NgramModel, runs: list[str] | None, key: list[str],
-                 hot_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``n`` and ``v`` of the run. With a list of runs the totals are one short row each;
-    without one their number has no bound, and a run may hold most samples."""
-    if runs is None:
-        return salted_join(df, model.totals.select("run", "n", "v"), ["run"], key, how="inner", hot_from=hot_from)
-    return df.join(F.broadcast(_chosen(model.totals, runs).select("run", "n", "v")), "run")
+def _predicted(tokens: Column, order: int) -> Column:
+    return F.size(tokens) if order == 1 else F.size(tokens) - 1
 
 
-def _chosen(df: DataFrame, runs: list[str]) -> DataFrame:
-    if len(runs) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs: evaluate them in parts")
-    return df.where(F.col("run").isin(runs))
+def _per_word(order: int, lam: float) -> Column:
+    """Loss of a word that the run has not seen."""
+    unseen = F.log(_slots(F.col("n"), F.col("v")))
+    return unseen if order == 1 else unseen - F.log(F.lit(1.0 - lam))
 
 
-def _word_hits(words: DataFrame, model: NgramModel, key: list[str], group: list[str],
-               runs: list[str] | None) -> DataFrame:
-    """What seen words take off the loss: ``k ln(c + 1)`` for k uses in the sample."""
-    counted = words.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("k"))
-    on = ["run", "token"] if "run" in group else ["token"]
-    known = model.words if runs is None else _chosen(model.words, runs)
-    found = salted_join(counted, known, on, key, how="inner", weight="k")
-    return found.select(*key, "run", (F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
+def _hits(tokenised: DataFrame, model: NgramModel, key: list[str], group: list[str], lam: float) -> DataFrame:
+    """What seen words, and seen pairs beyond them, take off the loss: ``group, run, gain``.
 
-
-def pair_shares(model: NgramModel, used: DataFrame) -> DataFrame:
-    """``(run, ctx, token, ratio, c)`` of the pairs found in ``used(ctx, token)``: the pair's
-    share of its context's uses, and the count of the word alone.
-
-    Both look-ups are spread by the model's own counts, which are no lower than the
-    different pairs a context starts or a word ends.
+    ``group`` holds the key, and ``run`` where samples are scored under their own.
     """
-    contexts = model.contexts.withColumnRenamed("c", "c_ctx")
-    pairs = model.pairs.withColumnRenamed("c", "c_pair").join(used, ["ctx", "token"], "left_semi")
-    pairs = salted_join(pairs, contexts, ["run", "ctx"], ["token"], hot_from=contexts, weight="c_ctx")
-    pairs = salted_join(pairs, model.words, ["run", "token"], ["ctx"], hot_from=model.words, weight="c")
-    return pairs.select("run", "ctx", "token", (F.col("c_pair") / F.col("c_ctx")).alias("ratio"), "c")
-
-
-def _pair_hits(pairs: DataFrame, model: NgramModel, key: list[str], group: list[str],
-               runs: list[str] | None, lam: float) -> DataFrame:
-    """What seen word pairs take off beyond the word's own share."""
-    counted = pairs.groupBy(*group, "ctx", "token").agg(F.count(F.lit(1)).alias("k"))
-    on = (["run"] if "run" in group else []) + ["ctx", "token"]
-    shares = pair_shares(model, counted.select("ctx", "token").distinct())
-    shares = _join_totals(shares, model, runs, ["ctx", "token"], hot_from=model.pairs)
-    found = salted_join(counted, shares, on, key, how="inner", weight="k")
-    word = F.lit(1.0 - lam) * (F.col("c") + 1) / _slots(F.col("n"), F.col("v"))
-    return found.select(*key, "run", (F.col("k") * (F.log(F.lit(lam) * F.col("ratio") + word) - F.log(word))).alias("gain"))
-
-
-def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], runs: list[str]) -> DataFrame:
-    """The mix does not split, so each word meets one row holding all runs' counts."""
-    counted = (explode_words(tokenised, key, F.col("tokens"))
-               .groupBy(*key, "token").agg(F.count(F.lit(1)).alias("k")))
-    found = salted_join(counted, _by_word(model), ["token"], key, weight="k")
-    found = found.withColumn("run", F.explode(_literals(runs)))
-    found = found.withColumn("c_base", F.coalesce("c_base", F.lit(0)))
-    found = found.withColumn("c_run", F.coalesce(F.col("counts")[F.col("run")], F.lit(0)))
-    scored = _with_totals(found, model, runs)
-    return scored.groupBy(*key, "run").agg(
-        (F.sum(-F.col("k") * F.log(_mixed_p(model.alpha))) / F.sum("k")).alias("loss"),
-        F.sum("k").alias("num_tokens"))
-
-
-def corpus_loss(samples: DataFrame, model: NgramModel, text: str = "text",
-                max_tokens: int | None = None, runs: list[str] | None = None) -> DataFrame:
+    on = ["run"] if "run" in group else []
+    out = [c for c in group if c != "run"] + ["run"]
+    seen = F.col("tokens") if model.order == 1 else F.slice("tokens", 2, F.size("tokens"))
+    words = explode_words(tokenised, group, seen).groupBy(*group, "token").agg(F.count(F.lit(1)).alias("k"))
+    found = salted_join(words, model.words, [*on, "token"], key, how="inner", weight="k")
+    gains = found.select(*out, (F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
+    if model.order == 1:
+        return gains
+    pairs = explode_bigrams(tokenised, group, F.col("tokens")).groupBy(*group, "ctx", "token").agg(
+        F.count(F.lit(1)).alias("k"))
+    found = salted_join(pairs, model.shares, [*on, "ctx", "token"], key, how="inner", weight="k")
+    word = F.lit(1.0 - lam) * (F.col("c") + 1) / F.col("slots")
+    return gains.unionByName(found.select(
+        *out, (F.col("k") * (F.log(F.lit(lam) * F.col("ratio") + word) - F.log(word))).alias("gain")))
+
+
+def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], group: list[str]) -> DataFrame:
+    """Loss under a mix, which does not split into a part of the word and one of the run.
+
+    As if the run had seen no word, a sample's loss depends on its words' base counts only, so
+    each run meets a list of a sample's different base counts. What the words that a run has
+    seen change comes from an inner join.
+    """
+    own = "run" in group
+    counted = (explode_words(tokenised, group, F.col("tokens"))
+               .groupBy(*group, "token").agg(F.count(F.lit(1)).alias("k")))
+    found = salted_join(counted, model.base_words(), ["token"], group, weight="k")
+    found = found.withColumn("c_base", F.coalesce("c_base", F.lit(0).cast("bigint")))
+    listed = found.groupBy(*group, "c_base").agg(F.sum("k").alias("k")).groupBy(*group).agg(
+        F.collect_list(F.struct("c_base", "k")).alias("uses"), F.sum("k").alias("num_tokens"))
+    rows = _beside(listed, model.run_slots().drop("v"), key, own).withColumn("d_base", model.base_slots())
+    unseen = F.aggregate("uses", F.lit(0.0), lambda acc, u: acc - u["k"] * F.log(
+        model.p(u["c_base"], F.col("d_base"), F.lit(0), F.col("d_run"))))
+    hits = salted_join(found, _sized_words(model), ["run", "token"] if own else ["token"], key, how="inner", weight="k")
+    both = rows.select(*key, "run", unseen.alias("loss"), "num_tokens").unionByName(
+        _seen_change(hits, model).select(*key, "run", "loss", F.lit(0).cast("bigint").alias("num_tokens")))
+    summed = both.groupBy(*key, "run").agg(F.sum("loss").alias("loss"), F.sum("num_tokens").alias("num_tokens"))
+    return summed.select(*key, "run", (F.col("loss") / F.col("num_tokens")).alias("loss"), "num_tokens")
+
+
+def _sized_words(model: MixedModel) -> DataFrame:
+    """The runs' word counts with the run's denominator beside them."""
+    slots = model.run_slots()
+    return salted_join(model.adapter.words, slots.drop("v"), ["run"], ["token"], how="inner", hot_from=slots, weight="v")
+
+
+def _seen_change(hits: DataFrame, model: MixedModel) -> DataFrame:
+    """``loss``: what ``k`` uses of a word change because the run has seen it."""
+    at = lambda c_run: F.log(model.p(F.col("c_base"), F.col("d_base"), c_run, F.col("d_run")))
+    return hits.withColumn("d_base", model.base_slots()).withColumn("loss", F.col("k") * (at(F.lit(0)) - at(F.col("c"))))
+
+
+def corpus_loss(samples: DataFrame, model: NgramModel | MixedModel, text: str = "text",
+                max_tokens: int | None = None, runs: DataFrame | list[str] | None = None) -> DataFrame:
     """Token-weighted loss of all samples per run, order 1, without per-sample rows.
 
     Uses are counted per word over the whole test set before they meet the model, so
     both join sides have one row per word (and run) and no key is hot.
     """
-    if model.order != 1:
+    if isinstance(model, NgramModel) and model.order != 1:
         raise ValueError("only order 1 sums over words alone; use sequence_loss")
-    runs = model.runs() if runs is None else runs
+    if runs is not None:
+        model = model.only(runs)
     uses = (explode_words(samples, [], X.tokens(F.col(text), max_tokens))
             .groupBy("token").agg(F.count(F.lit(1)).alias("k")))
-    hits = uses.join(model.words, "token").groupBy("run").agg(
-        F.sum(F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
-    tokens = uses.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("num_tokens"))
-    grid = tokens.withColumn("run", F.explode(_literals(runs)))
-    joined = _join_totals(grid.join(hits, "run", "left"), model, runs, ["run"])
-    loss = F.log(_slots(F.col("n"), F.col("v"))) - F.coalesce("gain", F.lit(0.0)) / F.col("num_tokens")
-    return joined.select("run", F.when(F.col("num_tokens") > 0, loss).otherwise(0.0).alias("test_loss"), "num_tokens")
+    num_tokens = uses.agg(F.coalesce(F.sum("k"), F.lit(0))).scalar()
+    if isinstance(model, MixedModel):
+        summed = _mixed_sums(uses, model)
+    else:
+        hits = uses.join(model.words, "token").groupBy("run").agg(
+            F.sum(F.col("k") * F.log(F.col("c") + F.lit(1.0))).alias("gain"))
+        summed = model.totals.join(hits, "run", "left").withColumn("num_tokens", num_tokens).select(
+            "run", (F.col("num_tokens") * _per_word(1, 0.0) - F.coalesce("gain", F.lit(0.0))).alias("loss"))
+    counted = summed.withColumn("num_tokens", num_tokens)
+    loss = F.when(F.col("num_tokens") > 0, F.col("loss") / F.col("num_tokens")).otherwise(0.0)
+    return counted.select("run", loss.alias("test_loss"), "num_tokens")
+
+
+def _mixed_sums(uses: DataFrame, model: MixedModel) -> DataFrame:
+    """Summed loss per run of ``uses(token, k)``, with a row for every run."""
+    based = uses.join(model.base_words(), "token", "left").withColumn("c_base", F.coalesce("c_base", F.lit(0).cast("bigint")))
+    by_count = based.groupBy("c_base").agg(F.sum("k").alias("k"))
+    rows = _beside_runs(by_count, model.run_slots().drop("v"), ["c_base"]).withColumn("d_base", model.base_slots())
+    unseen = -F.col("k") * F.log(model.p(F.col("c_base"), F.col("d_base"), F.lit(0), F.col("d_run")))
+    changes = _seen_change(based.join(_sized_words(model), "token"), model)
+    parts = [rows.select("run", unseen.alias("loss")), changes.select("run", "loss"),
+             model.adapter.totals.select("run", F.lit(0.0).alias("loss"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("run").agg(F.sum("loss").alias("loss"))
+
+
+# -------------------------------------------------------------- preferences
+
+def _side(pairs: DataFrame, side: str) -> Column:
+    """The text of a side of text or chat pairs."""
+    return X.format_messages_strict(F.col(side)) if pairs.schema[side].dataType.typeName() == "array" else F.col(side)
 
 
 def preference_losses(pairs: DataFrame, model: NgramModel | MixedModel, key: list[str],
-                      runs: list[str] | None = None, max_tokens: int | None = None,
+                      runs: DataFrame | list[str] | None = None, max_tokens: int | None = None,
                       lam: float = 0.5) -> DataFrame:
     """``key, run, chosen_loss, rejected_loss`` of text or chat pairs."""
-
-    def text(side: str) -> Column:
-        return X.format_messages_strict(F.col(side)) if pairs.schema[side].dataType.typeName() == "array" else F.col(side)
-
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), text(s).alias("text")) for s in ("chosen", "rejected")])
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), _side(pairs, s).alias("text")) for s in ("chosen", "rejected")])
     unpaired = pairs.select(*key, F.inline(sides)).where(F.col("text").isNotNull())
     losses = sequence_loss(unpaired, model, [*key, "side"], "text", runs, max_tokens, lam)
     wide = losses.groupBy(*key, "run").agg(*[
         F.max(F.when(F.col("side") == s, F.col("loss"))).alias(f"{s}_loss") for s in ("chosen", "rejected")])
     return wide.where(F.col("chosen_loss").isNotNull() & F.col("rejected_loss").isNotNull())
+
+
+def preference_rollup(pairs: DataFrame, model: NgramModel | MixedModel, key: list[str],
+                      runs: DataFrame | list[str] | None = None, max_tokens: int | None = None,
+                      lam: float = 0.5) -> DataFrame:
+    """Preference metrics per run, the same as of :func:`preference_losses`.
+
+    What an unseen word costs is the same on both sides, so pairs are compared by what seen
+    words take off; pairs without such words are ties, and count through the totals only.
+    """
+    if isinstance(model, MixedModel):
+        return metrics.preference_metrics(preference_losses(pairs, model, key, runs, max_tokens, lam))
+    if runs is not None:
+        model = model.only(runs)
+    cut = {s: X.tokens(_side(pairs, s), max_tokens) for s in ("chosen", "rejected")}
+    n = {s: _predicted(F.col(s), model.order) for s in cut}
+    both = pairs.select(*key, *[t.alias(s) for s, t in cut.items()]).where((n["chosen"] > 0) & (n["rejected"] > 0))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), n[s].alias("predicted"), F.col(s).alias("tokens")) for s in cut])
+    unpaired = both.select(*key, F.inline(sides))
+    hits = _hits(unpaired, model, key, [*key, "side", "predicted"], lam)
+    mean = lambda s: F.sum(F.when(F.col("side") == s, F.col("gain") / F.col("predicted")).otherwise(0.0)).alias(s)
+    by_pair = hits.groupBy(*key, "run").agg(mean("chosen"), mean("rejected"))
+    by_run = by_pair.groupBy("run").agg(
+        F.count_if(F.col("chosen") - F.col("rejected") > TIE).alias("right"),
+        F.sum("chosen").alias("chosen"), F.sum("rejected").alias("rejected"))
+    total = both.agg(F.count(F.lit(1))).scalar()
+    rolled = model.totals.join(by_run, "run", "left").withColumn("preference_total", total).where("preference_total > 0")
+    count = F.col("preference_total")
+    loss = lambda s: _per_word(model.order, lam) - F.coalesce(s, F.lit(0.0)) / count
+    right = F.coalesce("right", F.lit(0).cast("bigint"))
+    return rolled.select(
+        "run", (right / count).alias("preference_accuracy"), right.alias("preference_correct"), "preference_total",
+        loss("chosen").alias("avg_chosen_loss"), loss("rejected").alias("avg_rejected_loss"),
+        (loss("rejected") - loss("chosen")).alias("loss_margin"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,27 +40,26 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
              logs: DataFrame | None = None, states: DataFrame | None = None,
              samples: DataFrame | None = None, max_samples: int | None = None,
              max_tokens: int | None = None, max_generation_samples: int | None = None,
-             extra: dict[str, DataFrame] | None = None) -> DataFrame:
+             extra: dict[str, DataFrame] | None = None, base: ngram.NgramModel | None = None,
+             alpha: float = 0.5) -> DataFrame:
     """All metrics of all runs in one plan; each part is left out when its input is.
 
     ``runs`` holds ``run`` and any facts to carry. ``max_samples`` caps test rows by
     position and pairs by validity; None scores everything. ``extra`` maps names of
-    registered metrics to the frames they roll up.
+    registered metrics to the frames they roll up. With ``base``, runs whose ``load_as``
+    is ``lora`` are scored laid over it with weight ``alpha``, all others by themselves.
     """
     parts = []
     if logs is not None:
         parts.append(metrics.training_metrics(logs, states))
-    names = None
-    if model is not None:
-        names = (model.adapter if isinstance(model, ngram.MixedModel) else model).runs()
-    if model is not None and test is not None:
+    models = _models(runs, model, base, alpha)
+    if models and test is not None:
         texts = test_texts(test, key, max_samples)
         if texts is not None:
-            parts.append(_test_loss(texts, model, key, names, max_tokens))
-    if model is not None and prefs is not None:
+            parts.append(_all(_test_loss(texts, m, key, max_tokens) for m in models))
+    if models and prefs is not None:
         pairs = valid_pairs(prefs, key, max_samples)
-        losses = ngram.preference_losses(pairs, model, key, names, max_tokens)
-        parts.append(metrics.preference_metrics(losses))
+        parts.append(_all(ngram.preference_rollup(pairs, m, key, max_tokens=max_tokens) for m in models))
     if samples is not None:
         if max_generation_samples is None:
             raise ValueError("say how many generation samples a run keeps")
@@ -66,9 +68,21 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
     return metrics.merge_metrics(runs, *parts)
 
 
-def _test_loss(texts: DataFrame, model, key: list[str], names: list[str], max_tokens: int | None) -> DataFrame:
-    if isinstance(model, ngram.NgramModel) and model.order == 1:
-        rolled = ngram.corpus_loss(texts, model, max_tokens=max_tokens, runs=names)
+def _models(runs: DataFrame, model, base: ngram.NgramModel | None, alpha: float) -> list:
+    """The models that between them score every run once."""
+    if model is None or base is None:
+        return [] if model is None else [model]
+    overlay = F.coalesce(F.col("load_as") == "lora", F.lit(False))
+    return [model.only(runs.where(~overlay)), ngram.MixedModel(base, model.only(runs.where(overlay)), alpha)]
+
+
+def _all(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _test_loss(texts: DataFrame, model, key: list[str], max_tokens: int | None) -> DataFrame:
+    if isinstance(model, ngram.MixedModel) or model.order == 1:
+        rolled = ngram.corpus_loss(texts, model, max_tokens=max_tokens)
         return rolled.select("run", "test_loss", X.perplexity(F.col("test_loss")).alias("perplexity"))
-    losses = ngram.sequence_loss(texts, model, key, runs=names, max_tokens=max_tokens)
+    losses = ngram.sequence_loss(texts, model, key, max_tokens=max_tokens)
     return metrics.loss_metrics(losses).drop("num_tokens")

@@ -382,10 +382,6 @@ def _stored(spark, sf, order=1):
     return _model(spark, sf, order).stored()
 
 
-def _base(spark, sf):
-    return ngram.fit_ngram(frames.train_docs(spark, sf).withColumn("run", F.lit("base")))
-
-
 @query
 def lm_fit(spark, sf):
     return _model(spark, sf).words
@@ -403,7 +399,8 @@ def lm_pairs(spark, sf):
 
 @query
 def lm_overlay(spark, sf):
-    mixed = ngram.mix(ngram.MixedModel(_base(spark, sf), _model(spark, sf)))
+    model = _stored(spark, sf)
+    mixed = ngram.mix(ngram.MixedModel(ngram.pool(model), model))
     return mixed.select("run", "token", F.round(F.log("p"), 6).alias("log_p"))
 
 
@@ -427,7 +424,8 @@ def sequence_loss_pairs(spark, sf):
 
 @query
 def overlay_loss(spark, sf):
-    model = ngram.MixedModel(_base(spark, sf).stored(), _stored(spark, sf))
+    runs = _stored(spark, sf)
+    model = ngram.MixedModel(ngram.pool(runs).stored(), runs)
     return rounded(ngram.sequence_loss(frames.chat_texts(spark, sf), model, ["conv_id"], max_tokens=None), 5)
 
 
@@ -448,8 +446,7 @@ def perplexity_samples(spark, sf):
 
 @query
 def preference_metrics(spark, sf):
-    losses = ngram.preference_losses(frames.pairs(spark, sf), _stored(spark, sf), ["conv_id"], max_tokens=None)
-    return rounded(metrics.preference_metrics(losses))
+    return rounded(ngram.preference_rollup(frames.pairs(spark, sf), _stored(spark, sf), ["conv_id"]))
 
 
 # --------------------------------------------------------------- reporting

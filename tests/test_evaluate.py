@@ -279,8 +279,23 @@ def test_mixed_model(spark):
     words = Counter(w for r, t in TRAIN if r for w in t.split())
     n, v = sum(words.values()), len(words)
     assert mixed["fr", "the"] == pytest.approx(0.75 * 4 / (n + v + 1) + 0.25 * 1 / (5 + 4 + 1))
-    with pytest.raises(ValueError):
-        ngram.sequence_loss(test.withColumn("r", F.lit("en")), ngram.MixedModel(base, model), ["id"], own_run="r")
+    model = ngram.MixedModel(base, model, 0.25)
+    every = {(r.id, r.run): (r.loss, r.num_tokens) for r in ngram.sequence_loss(test, model, ["id"]).collect()}
+    own = ngram.sequence_loss(test.withColumn("r", F.lit("en")), model, ["id"], own_run="r").collect()
+    assert {(r.id, r.run): (pytest.approx(r.loss), r.num_tokens) for r in own} == {k: v for k, v in every.items() if k[1] == "en"}
+    size = {run: (sum(c.values()), len(c)) for run in ("en", "fr")
+            for c in [Counter(w for r, t in TRAIN if r == run for w in t.split())]}
+    unseen = {run: 0.75 / (n + v + 1) + 0.25 / (sum(size[run]) + 1) for run in size}
+    sums = {run: [0.0, 0] for run in size}
+    for i, text in TEST:
+        for run in size:
+            terms = [-math.log(mixed.get((run, w), unseen[run])) for w in text.split()]
+            assert not terms or every[i, run] == (pytest.approx(sum(terms) / len(terms), abs=1e-12), len(terms))
+            sums[run] = [sums[run][0] + sum(terms), sums[run][1] + len(terms)]
+    at_once = {r.run: (r.test_loss, r.num_tokens) for r in ngram.corpus_loss(test, model).collect()}
+    assert at_once == {run: (pytest.approx(loss / k), k) for run, (loss, k) in sums.items()}
+    empty = ngram.corpus_loss(test.where("id = 4"), model).collect()
+    assert {r.test_loss for r in empty} == {0.0} and len(empty) == 2
 
 
 def test_token_limit_and_saved_model(spark, tmp_path):
@@ -288,7 +303,7 @@ def test_token_limit_and_saved_model(spark, tmp_path):
     model = ngram.fit_ngram(train, order=2)
     model.save(str(tmp_path / "m"))
     loaded = ngram.NgramModel.load(spark, str(tmp_path / "m"), 2)
-    assert loaded.runs() == ["en", "fr"]
+    assert sorted(r.run for r in loaded.runs().collect()) == ["en", "fr"]
     cut = ngram.sequence_loss(test, loaded, ["id"], max_tokens=2).collect()
     assert {r.num_tokens for r in cut} == {2}
 
@@ -303,9 +318,44 @@ def test_scoring_is_whole_under_hot_words(spark, monkeypatch):
         assert {(r.id, r.run): r.loss for r in got.collect()} == {k: pytest.approx(v[0]) for k, v in brute_force(order).items()}
 
 
-def test_run_list_is_bounded(spark):
-    with pytest.raises(ValueError):
-        ngram.run_names(spark.range(5).select(F.col("id").cast("string").alias("run")), limit=4)
+def test_runs_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "RUN_BLOCK", 3)
+    train = spark.range(40).select(F.format_string("r%d", "id").alias("run"), F.format_string("w%d the", F.col("id") % 5).alias("text"))
+    test = frames_of(spark)[1]
+    got = ngram.sequence_loss(test, ngram.fit_ngram(train), ["id"]).collect()
+    texts = {i: t.split() for i, t in TEST if t.split()}
+    assert len(got) == 40 * len(texts) and len({(r.id, r.run) for r in got}) == len(got)
+    for r in got:
+        want = [-math.log((2 if w in ("the", f"w{int(r.run[1:]) % 5}") else 1) / 5) for w in texts[r.id]]
+        assert r.loss == pytest.approx(sum(want) / len(want))
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_preference_rollup_equals_losses(spark, order):
+    model = ngram.fit_ngram(frames_of(spark)[0], order=order)
+    prefs = spark.createDataFrame(
+        [(1, "the cat", "le chat"), (2, "the cat sat", "sat the cat the"), (3, "zzz yyy", "xxx www"), (4, "the cat", "the cat"),
+         (5, "", "the cat"), (6, None, "the cat"), (7, "le chat", "the cat zzz")], "id int, chosen string, rejected string")
+    want = {r.run: r for r in metrics.preference_metrics(ngram.preference_losses(prefs, model, ["id"])).collect()}
+    got = {r.run: r for r in ngram.preference_rollup(prefs, model, ["id"]).collect()}
+    assert got.keys() == want.keys() and len(got) == 2
+    for run, row in got.items():
+        assert row.asDict() == {k: pytest.approx(v) for k, v in want[run].asDict().items()}
+    assert ngram.preference_rollup(prefs.where("id > 4 and id < 7"), model, ["id"]).count() == 0
+
+
+def test_runs_choose_overlay_or_own_model(spark):
+    train, test = frames_of(spark)
+    model = ngram.fit_ngram(train)
+    base = ngram.pool(model)
+    runs = spark.createDataFrame([("en", "lora"), ("fr", "full")], "run string, load_as string")
+    chats = test.select("id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    prefs = spark.createDataFrame([(1, "the cat", "le chat"), (2, "the dog", "zzz zzz")], "id int, chosen string, rejected string")
+    rows = {r.run: r for r in evaluate.evaluate(runs, ["id"], model, chats, prefs, base=base).collect()}
+    alone = {r.run: r for r in evaluate.evaluate(runs, ["id"], model, chats, prefs).collect()}
+    over = {r.run: r for r in evaluate.evaluate(runs, ["id"], ngram.MixedModel(base, model), chats, prefs).collect()}
+    same = lambda a, b: a.asDict() == {k: pytest.approx(v) for k, v in b.asDict().items()}
+    assert same(rows["en"], over["en"]) and same(rows["fr"], alone["fr"]) and not same(rows["en"], alone["en"])
 
 
 def test_evaluate_parts_have_their_own_switch(spark):
