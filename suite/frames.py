@@ -24,14 +24,12 @@ def chat(spark: SparkSession, sf: str) -> DataFrame:
         ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))
 
 
-def first_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """First user and first assistant text per conversation, null when there is none."""
+def exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user text ``u`` with the reply ``a`` of the turn after it, null when there is none."""
     turns = table(spark, sf, "conversations")
-
-    def first(role: str) -> Column:
-        return F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
-
-    return turns.groupBy("conv_id").agg(first("user").alias("u"), first("assistant").alias("a"))
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("u"))
+    replies = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    return asked.join(replies, ["conv_id", "turn"], "left")
 
 
 def _turn(role: str, content: str) -> Column:
@@ -39,19 +37,21 @@ def _turn(role: str, content: str) -> Column:
 
 
 def _neighbours(spark: SparkSession, sf: str, how: str) -> DataFrame:
-    """Each conversation beside the reply of the next one, the last beside the first."""
-    own = first_turns(spark, sf)
-    n = own.agg(F.count(F.lit(1))).scalar()
-    other = own.select(F.col("conv_id").alias("next_id"), F.col("a").alias("r"))
-    return own.withColumn("next_id", (F.col("conv_id") + 1) % n).join(other, "next_id", how).drop("next_id")
+    """Each exchange beside the first reply of the next conversation, the last beside the first."""
+    turns = table(spark, sf, "conversations")
+    n = turns.agg(F.max("conv_id") + 1).scalar()
+    first = F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn")))
+    other = turns.groupBy(F.col("conv_id").alias("next_id")).agg(first.alias("r"))
+    own = exchanges(spark, sf).withColumn("next_id", (F.col("conv_id") + 1) % n)
+    return salted_join(own, other, ["next_id"], ["conv_id", "turn"], how).drop("next_id")
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Preference pairs: own reply chosen, the next conversation's reply rejected."""
+    """Preference pairs of every exchange: own reply chosen, the next conversation's first rejected."""
     full = _neighbours(spark, sf, "inner").where(
         F.col("u").isNotNull() & F.col("a").isNotNull() & F.col("r").isNotNull())
     return full.select(
-        "conv_id", F.col("u").alias("prompt"),
+        "conv_id", "turn", F.col("u").alias("prompt"),
         F.array(_turn("user", "u"), _turn("assistant", "a")).alias("chosen"),
         F.array(_turn("user", "u"), _turn("assistant", "r")).alias("rejected"),
         (F.length("a") % 5 + 1).cast("double").alias("score_chosen"),
@@ -59,9 +59,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gappy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of every conversation, with null and empty sides among them."""
+    """Pairs of every exchange, with null and empty sides among them."""
     return _neighbours(spark, sf, "left").select(
-        "conv_id",
+        "conv_id", "turn",
         F.when(F.col("a").isNotNull(), F.array(_turn("user", "u"), _turn("assistant", "a"))).alias("chosen"),
         F.when(F.col("r").isNotNull(), F.filter(
             F.array(_turn("user", "u"), _turn("assistant", "r")),
@@ -146,11 +146,10 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
-    """First exchange of each conversation as a generation sample of one of seven runs."""
-    return first_turns(spark, sf).where(F.col("u").isNotNull()).select(
-        F.concat(F.lit("run_"), (F.col("conv_id") % 7).cast("string")).alias("run"),
-        F.expr("conv_id div 7").alias("pos"), F.col("u").alias("prompt"),
-        F.coalesce("a", F.lit("")).alias("response"))
+    """Each conversation's exchanges as one run's generation samples, numbered from 0."""
+    return exchanges(spark, sf).select(
+        F.concat(F.lit("run_"), F.col("conv_id").cast("string")).alias("run"),
+        F.expr("turn div 2").alias("pos"), F.col("u").alias("prompt"), F.coalesce("a", F.lit("")).alias("response"))
 
 
 def label_means(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,29 +8,32 @@ CHAT = """chat AS (
          string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
   FROM conversations GROUP BY conv_id)"""
 
-FIRST = """first_turns AS (
-  SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'user') AS u,
-         min_by(text, turn) FILTER (WHERE role = 'assistant') AS a
-  FROM conversations GROUP BY conv_id)"""
+EXCHANGES = """exchanges AS (
+  SELECT q.conv_id, q.turn, q.text AS u, r.text AS a
+  FROM (SELECT * FROM conversations WHERE role = 'user') q
+  LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') r
+    ON r.conv_id = q.conv_id AND r.turn = q.turn + 1),
+next_replies AS (
+  SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)"""
 
-PAIRS = FIRST + """, pairs AS (
-  SELECT p.conv_id, p.u, p.a, r.a AS r,
+PAIRS = EXCHANGES + """, pairs AS (
+  SELECT p.conv_id, p.turn, p.u, p.a, r.a AS r,
          'user: ' || p.u AS asked,
          'user: ' || p.u || chr(10) || 'assistant: ' || p.a AS chosen,
          'user: ' || p.u || chr(10) || 'assistant: ' || r.a AS rejected,
          CAST(1 + length(p.a) % 5 AS DOUBLE) AS score_chosen,
          CAST(1 + length(r.a) % 5 AS DOUBLE) AS score_rejected
-  FROM first_turns p JOIN first_turns r
-    ON r.conv_id = (p.conv_id + 1) % (SELECT count(*) FROM first_turns)
+  FROM exchanges p JOIN next_replies r
+    ON r.conv_id = (p.conv_id + 1) % (SELECT max(conv_id) + 1 FROM conversations)
   WHERE p.u IS NOT NULL AND p.a IS NOT NULL AND r.a IS NOT NULL)"""
 
-GAPPY = FIRST + """, gappy AS (
-  SELECT p.conv_id,
+GAPPY = EXCHANGES + """, gappy AS (
+  SELECT p.conv_id, p.turn,
          CASE WHEN p.a IS NOT NULL THEN 'user: ' || coalesce(p.u, '') || chr(10) || 'assistant: ' || p.a END AS chosen,
          CASE WHEN r.a IS NOT NULL AND length(r.a) % 3 <> 0
               THEN 'user: ' || coalesce(p.u, '') || chr(10) || 'assistant: ' || r.a END AS rejected
-  FROM first_turns p LEFT JOIN first_turns r
-    ON r.conv_id = (p.conv_id + 1) % (SELECT count(*) FROM first_turns))"""
+  FROM exchanges p LEFT JOIN next_replies r
+    ON r.conv_id = (p.conv_id + 1) % (SELECT max(conv_id) + 1 FROM conversations))"""
 
 RAW = """raw AS (
   SELECT doc_id, doc_id % 7 AS m, CASE doc_id % 7
@@ -134,9 +137,9 @@ RESULTS = f"""results AS (
                avg(value) FILTER (WHERE event_type = 'purchase') AS m, count(*) AS n
         FROM events GROUP BY user_id))"""
 
-GENERATED = FIRST + """, generated AS (
-  SELECT 'run_' || (conv_id % 7) AS run, conv_id // 7 AS pos, u AS prompt, coalesce(a, '') AS response
-  FROM first_turns WHERE u IS NOT NULL)"""
+GENERATED = EXCHANGES + """, generated AS (
+  SELECT 'run_' || conv_id AS run, turn // 2 AS pos, u AS prompt, coalesce(a, '') AS response
+  FROM exchanges)"""
 
 
 def words(text: str) -> str:
@@ -168,7 +171,7 @@ def scored(samples: str, key: str, own: bool = False) -> str:
     return f"""uses AS (SELECT {key}, {'run, ' if own else ''}unnest(toks) AS token FROM {samples}),
 weighed AS (SELECT {key}, {'run, ' if own else ''}token, count(*) AS k FROM uses GROUP BY ALL),
 losses AS (
-  SELECT {key.replace('conv_id', 's.conv_id').replace('doc_id', 's.doc_id').replace('side', 's.side')}, t.run,
+  SELECT {key.replace('conv_id', 's.conv_id').replace('doc_id', 's.doc_id').replace('side', 's.side').replace('turn', 's.turn')}, t.run,
          sum(s.k * -ln((coalesce(c.c, 0) + 1) / (t.n + t.v + 1))) / sum(s.k) AS loss,
          CAST(sum(s.k) AS BIGINT) AS num_tokens
   FROM weighed s JOIN totals t ON {own_run}
@@ -178,9 +181,9 @@ losses AS (
 
 CHAT_WORDS = CHAT + f", samples AS (SELECT conv_id, {words('text')} AS toks FROM chat)"
 PREFS = """preferred AS (
-  SELECT conv_id, run, max(loss) FILTER (WHERE side = 'chosen') AS chosen_loss,
+  SELECT conv_id, turn, run, max(loss) FILTER (WHERE side = 'chosen') AS chosen_loss,
          max(loss) FILTER (WHERE side = 'rejected') AS rejected_loss
-  FROM losses GROUP BY conv_id, run),
+  FROM losses GROUP BY conv_id, turn, run),
 prefs AS (
   SELECT run, count(*) FILTER (WHERE chosen_loss < rejected_loss) / count(*) AS preference_accuracy,
          count(*) FILTER (WHERE chosen_loss < rejected_loss) AS preference_correct,
@@ -188,8 +191,8 @@ prefs AS (
          avg(rejected_loss) - avg(chosen_loss) AS loss_margin
   FROM preferred GROUP BY run)"""
 SIDES = f"""sides AS (
-  SELECT conv_id, 'chosen' AS side, {words('chosen')} AS toks FROM pairs
-  UNION ALL SELECT conv_id, 'rejected', {words('rejected')} FROM pairs)"""
+  SELECT conv_id, turn, 'chosen' AS side, {words('chosen')} AS toks FROM pairs
+  UNION ALL SELECT conv_id, turn, 'rejected', {words('rejected')} FROM pairs)"""
 PERPLEXITY = """ppl AS (
   SELECT run, sum(loss * num_tokens) / sum(num_tokens) AS test_loss,
          exp(sum(loss * num_tokens) / sum(num_tokens)) AS perplexity, CAST(sum(num_tokens) AS BIGINT) AS num_tokens
@@ -202,7 +205,7 @@ def _chat_and_prefs() -> str:
     logs = LOGS + f""", run_logs AS (
       SELECT ['de', 'en', 'es', 'fr'][CAST(user_id % 4 + 1 AS INTEGER)] AS run, {LOG_METRICS}
       FROM logs GROUP BY 1)"""
-    return ", ".join([MODEL, CHAT_WORDS, chat_part, PERPLEXITY, PAIRS, SIDES, scored("sides", "conv_id, side"), PREFS, logs,
+    return ", ".join([MODEL, CHAT_WORDS, chat_part, PERPLEXITY, PAIRS, SIDES, scored("sides", "conv_id, turn, side"), PREFS, logs,
                       "doc_runs AS (SELECT lang AS run, count(*) AS train_rows FROM documents GROUP BY lang)"])
 
 
@@ -212,39 +215,39 @@ STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 ORACLE: dict[str, str] = {
     # ---------------------------------------------------------- prepare rows
     "sft_text": f"WITH {CHAT} SELECT conv_id, text FROM chat",
-    "sft_from_pairs": f"WITH {PAIRS} SELECT conv_id, chosen AS messages, score_chosen FROM pairs",
+    "sft_from_pairs": f"WITH {PAIRS} SELECT conv_id, turn, chosen AS messages, score_chosen FROM pairs",
     "split_scan": """
       SELECT doc_id, 'train' AS part, n_chars FROM documents WHERE lang = 'en'
       UNION ALL SELECT * FROM (
         SELECT doc_id, 'eval', n_chars FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 100)""",
-    "dpo_pairs": f"WITH {PAIRS} SELECT conv_id, u AS prompt, chosen, rejected FROM pairs",
+    "dpo_pairs": f"WITH {PAIRS} SELECT conv_id, turn, u AS prompt, chosen, rejected FROM pairs",
     "orpo_pairs": f"""WITH {PAIRS}
-      SELECT conv_id, u AS prompt, chosen, rejected, score_chosen, score_rejected FROM pairs""",
+      SELECT conv_id, turn, u AS prompt, chosen, rejected, score_chosen, score_rejected FROM pairs""",
     "implicit_prompt": f"""WITH {PAIRS}
-      SELECT conv_id, CASE WHEN a = r THEN chosen ELSE asked END AS prompt,
+      SELECT conv_id, turn, CASE WHEN a = r THEN chosen ELSE asked END AS prompt,
              CASE WHEN a = r THEN '' ELSE 'assistant: ' || a END AS chosen,
              CASE WHEN a = r THEN '' ELSE 'assistant: ' || r END AS rejected FROM pairs""",
     "kto_unpair": f"""WITH {PAIRS}
-      SELECT conv_id, u AS prompt, a AS completion, 1 AS label FROM pairs
-      UNION ALL SELECT conv_id, u, r, 0 FROM pairs""",
+      SELECT conv_id, turn, u AS prompt, a AS completion, 1 AS label FROM pairs
+      UNION ALL SELECT conv_id, turn, u, r, 0 FROM pairs""",
     "kto_text": f"""WITH {PAIRS}
-      SELECT conv_id, replace(u, ' ', chr(10)) AS prompt, a AS completion,
+      SELECT conv_id, turn, replace(u, ' ', chr(10)) AS prompt, a AS completion,
              CAST(score_chosen AS INTEGER) % 2 AS label FROM pairs""",
     "kto_sample": f"""WITH {PAIRS}, unpaired AS (
-        SELECT conv_id, a AS completion, 1 AS label, 'true' AS shown FROM pairs
-        UNION ALL SELECT conv_id, r, 0, 'false' FROM pairs)
-      SELECT conv_id, completion, label FROM unpaired
-      ORDER BY md5('42:' || conv_id || ':' || shown), conv_id, label LIMIT 50""",
+        SELECT conv_id, turn, a AS completion, 1 AS label, 'true' AS shown FROM pairs
+        UNION ALL SELECT conv_id, turn, r, 0, 'false' FROM pairs)
+      SELECT conv_id, turn, completion, label FROM unpaired
+      ORDER BY md5('42:' || conv_id || ':' || turn || ':' || shown), conv_id, turn, label LIMIT 50""",
     "grpo_rows": f"""WITH {PAIRS}
-      SELECT conv_id, u AS prompt, a AS chosen, r AS rejected, score_chosen, score_rejected FROM pairs""",
+      SELECT conv_id, turn, u AS prompt, a AS chosen, r AS rejected, score_chosen, score_rejected FROM pairs""",
     "cap_position": f"""WITH {GAPPY}
-      SELECT conv_id, chosen FROM (SELECT * FROM gappy ORDER BY conv_id LIMIT 50)
+      SELECT conv_id, turn, chosen FROM (SELECT * FROM gappy ORDER BY conv_id, turn LIMIT 50)
       WHERE chosen IS NOT NULL AND rejected IS NOT NULL""",
     "cap_valid": f"""WITH {GAPPY}
-      SELECT conv_id, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL
-      ORDER BY conv_id LIMIT 50""",
+      SELECT conv_id, turn, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL
+      ORDER BY conv_id, turn LIMIT 50""",
     "valid_pairs": f"""WITH {GAPPY}
-      SELECT conv_id, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL""",
+      SELECT conv_id, turn, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL""",
     # ---------------------------------------------------------------- ingest
     "ingest_classify": f"WITH {RAW} SELECT * FROM records",
     "ingest_rejects": f"""WITH {RAW}
@@ -277,13 +280,13 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, max_by(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
       SELECT c.conv_id, coalesce(l.reply, to_json(c.messages)::VARCHAR) AS reply
       FROM chat c LEFT JOIN last l USING (conv_id)""",
-    "gen_prompt": f"""WITH {FIRST}
-      SELECT conv_id, 'User: ' || u || chr(10) || 'Assistant:' AS prompt, 'user: ' || u AS as_chat
-      FROM first_turns WHERE trim(u) <> ''""",
-    "reply_extract": f"""WITH {FIRST}, generated AS (
-        SELECT conv_id, u, CASE WHEN conv_id % 2 = 0 THEN 'User: ' || u || chr(10) || 'Assistant:  ' || a || chr(10)
-                                ELSE u || chr(10) || ' ' || a END AS g FROM first_turns WHERE a IS NOT NULL)
-      SELECT conv_id, {STRIP.format("CASE WHEN contains(g, 'Assistant:') THEN string_split(g, 'Assistant:')[-1] "
+    "gen_prompt": f"""WITH {EXCHANGES}
+      SELECT conv_id, turn, 'User: ' || u || chr(10) || 'Assistant:' AS prompt, 'user: ' || u AS as_chat
+      FROM exchanges WHERE trim(u) <> ''""",
+    "reply_extract": f"""WITH {EXCHANGES}, generated AS (
+        SELECT conv_id, turn, u, CASE WHEN conv_id % 2 = 0 THEN 'User: ' || u || chr(10) || 'Assistant:  ' || a || chr(10)
+                                ELSE u || chr(10) || ' ' || a END AS g FROM exchanges WHERE a IS NOT NULL)
+      SELECT conv_id, turn, {STRIP.format("CASE WHEN contains(g, 'Assistant:') THEN string_split(g, 'Assistant:')[-1] "
                                     "ELSE substr(g, length(u) + 1) END")} AS reply FROM generated""",
     "message_literal": f"WITH {CHAT} SELECT conv_id, text FROM chat",
     "truncate_tokens": f"""
@@ -380,7 +383,7 @@ ORACLE: dict[str, str] = {
     "perplexity": f"""WITH {MODEL}, {CHAT_WORDS},
       {scored('samples', 'conv_id').replace('losses AS', 'chat_losses AS')}, {PERPLEXITY}
       SELECT run, round(test_loss, 6) AS test_loss, round(perplexity, 4) AS perplexity, num_tokens FROM ppl""",
-    "preference_metrics": f"""WITH {MODEL}, {PAIRS}, {SIDES}, {scored('sides', 'conv_id, side')}, {PREFS}
+    "preference_metrics": f"""WITH {MODEL}, {PAIRS}, {SIDES}, {scored('sides', 'conv_id, turn, side')}, {PREFS}
       SELECT run, round(preference_accuracy, 6) AS preference_accuracy, preference_correct, preference_total,
              round(avg_chosen_loss, 6) AS avg_chosen_loss, round(avg_rejected_loss, 6) AS avg_rejected_loss,
              round(loss_margin, 6) AS loss_margin FROM prefs""",

@@ -20,6 +20,9 @@ from prefloom.session import configure, scratch_path
 from prefloom.sources import readers, sinks
 from suite import frames
 
+# Tells the exchanges of all conversations apart.
+EXCHANGE = ["conv_id", "turn"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -52,8 +55,8 @@ def sft_text(spark, sf):
 @query
 def sft_from_pairs(spark, sf):
     both = frames.pairs(spark, sf).withColumn("messages", F.col("rejected"))
-    rows = prepare.prepare("sft", both, ["conv_id"])
-    return rows.select("conv_id", shown("messages"), "score_chosen")
+    rows = prepare.prepare("sft", both, EXCHANGE)
+    return rows.select(*EXCHANGE, shown("messages"), "score_chosen")
 
 
 @query
@@ -76,65 +79,65 @@ def table_split(spark, sf):
 
 @query
 def dpo_pairs(spark, sf):
-    rows = prepare.prepare("dpo", frames.pairs(spark, sf).withColumn("messages", F.col("chosen")), ["conv_id"])
-    return rows.select("conv_id", "prompt", shown("chosen"), shown("rejected"))
+    rows = prepare.prepare("dpo", frames.pairs(spark, sf).withColumn("messages", F.col("chosen")), EXCHANGE)
+    return rows.select(*EXCHANGE, "prompt", shown("chosen"), shown("rejected"))
 
 
 @query
 def orpo_pairs(spark, sf):
-    rows = prepare.prepare("ORPO", frames.pairs(spark, sf), ["conv_id"])
-    return rows.select("conv_id", "prompt", shown("chosen"), shown("rejected"), "score_chosen", "score_rejected")
+    rows = prepare.prepare("ORPO", frames.pairs(spark, sf), EXCHANGE)
+    return rows.select(*EXCHANGE, "prompt", shown("chosen"), shown("rejected"), "score_chosen", "score_rejected")
 
 
 @query
 def implicit_prompt(spark, sf):
     rows = project.with_prompt(frames.pairs(spark, sf).drop("prompt"))
-    return rows.select("conv_id", shown("prompt"), shown("chosen"), shown("rejected"))
+    return rows.select(*EXCHANGE, shown("prompt"), shown("chosen"), shown("rejected"))
 
 
 @query
 def kto_unpair(spark, sf):
-    rows = project.kto_rows(frames.pairs(spark, sf), keep=["conv_id"])
-    return rows.select("conv_id", "prompt", "completion", F.col("label").cast("int").alias("label"))
+    rows = project.kto_rows(frames.pairs(spark, sf), keep=EXCHANGE)
+    return rows.select(*EXCHANGE, "prompt", "completion", F.col("label").cast("int").alias("label"))
 
 
 @query
 def kto_text(spark, sf):
     ready = frames.pairs(spark, sf).select(
-        "conv_id", F.split("prompt", " ").alias("prompt"),
+        *EXCHANGE, F.split("prompt", " ").alias("prompt"),
         F.get("chosen", 1)["content"].alias("completion"), F.col("score_chosen").cast("int").alias("label"))
     ready = ready.withColumn("label", F.col("label") % 2)
-    rows = project.kto_rows(ready, keep=["conv_id"])
-    return rows.select("conv_id", "prompt", "completion", F.col("label").cast("int").alias("label"))
+    rows = project.kto_rows(ready, keep=EXCHANGE)
+    return rows.select(*EXCHANGE, "prompt", "completion", F.col("label").cast("int").alias("label"))
 
 
 @query
 def kto_sample(spark, sf):
-    rows = prepare.prepare("kto", frames.pairs(spark, sf), ["conv_id"], limit=50)
-    return rows.select("conv_id", "completion", F.col("label").cast("int").alias("label"))
+    rows = prepare.prepare("kto", frames.pairs(spark, sf), EXCHANGE, limit=50)
+    return rows.select(*EXCHANGE, "completion", F.col("label").cast("int").alias("label"))
 
 
 @query
 def grpo_rows(spark, sf):
-    return prepare.prepare("grpo", frames.pairs(spark, sf), ["conv_id"])
+    return prepare.prepare("grpo", frames.pairs(spark, sf), EXCHANGE)
 
 
 @query
 def cap_position(spark, sf):
     df = frames.gappy_pairs(spark, sf)
-    kept = sample.cap_by_position(df, 50, ["conv_id"], evaluate.both_sides(df))
-    return kept.select("conv_id", shown("chosen"))
+    kept = sample.cap_by_position(df, 50, EXCHANGE, evaluate.both_sides(df))
+    return kept.select(*EXCHANGE, shown("chosen"))
 
 
 @query
 def cap_valid(spark, sf):
     df = frames.gappy_pairs(spark, sf)
-    return evaluate.valid_pairs(df, ["conv_id"], 50).select("conv_id", shown("rejected"))
+    return evaluate.valid_pairs(df, EXCHANGE, 50).select(*EXCHANGE, shown("rejected"))
 
 
 @query
 def valid_pairs(spark, sf):
-    return evaluate.valid_pairs(frames.gappy_pairs(spark, sf), ["conv_id"]).select("conv_id", shown("rejected"))
+    return evaluate.valid_pairs(frames.gappy_pairs(spark, sf), EXCHANGE).select(*EXCHANGE, shown("rejected"))
 
 
 # ------------------------------------------------------------------- ingest
@@ -205,17 +208,17 @@ def last_assistant(spark, sf):
 
 @query
 def gen_prompt(spark, sf):
-    turns = frames.first_turns(spark, sf).where(X.not_blank(F.col("u")))
-    return turns.select("conv_id", X.generation_prompt(F.col("u")).alias("prompt"),
+    turns = frames.exchanges(spark, sf).where(X.not_blank(F.col("u")))
+    return turns.select(*EXCHANGE, X.generation_prompt(F.col("u")).alias("prompt"),
                         X.format_messages(X.as_user_message(F.col("u"))).alias("as_chat"))
 
 
 @query
 def reply_extract(spark, sf):
-    turns = frames.first_turns(spark, sf).where(F.col("a").isNotNull())
+    turns = frames.exchanges(spark, sf).where(F.col("a").isNotNull())
     marked = F.concat(X.generation_prompt(F.col("u")), F.lit("  "), F.col("a"), F.lit("\n"))
     plain = F.concat(F.col("u"), F.lit("\n "), F.col("a"))
-    return turns.select("conv_id", X.reply_of(
+    return turns.select(*EXCHANGE, X.reply_of(
         F.when(F.col("conv_id") % 2 == 0, marked).otherwise(plain), F.col("u")).alias("reply"))
 
 
@@ -446,7 +449,7 @@ def perplexity_samples(spark, sf):
 
 @query
 def preference_metrics(spark, sf):
-    return rounded(ngram.preference_rollup(frames.pairs(spark, sf), _stored(spark, sf), ["conv_id"]))
+    return rounded(ngram.preference_rollup(frames.pairs(spark, sf), _stored(spark, sf), EXCHANGE))
 
 
 # --------------------------------------------------------------- reporting
@@ -458,9 +461,9 @@ def _evaluated(spark, sf):
     logs = logs.withColumn("run", F.element_at(langs, (user % 4 + 1).cast("int")))
     docs = frames.table(spark, sf, "documents")
     return evaluate.evaluate(
-        docs.groupBy(F.col("lang").alias("run")).agg(F.count(F.lit(1)).alias("train_rows")), ["conv_id"],
-        model=_stored(spark, sf), test=frames.chat(spark, sf), prefs=frames.pairs(spark, sf),
-        logs=logs, max_tokens=None)
+        docs.groupBy(F.col("lang").alias("run")).agg(F.count(F.lit(1)).alias("train_rows")), ["id"],
+        model=_stored(spark, sf), test=frames.chat(spark, sf).withColumn("id", F.col("conv_id").cast("string")),
+        prefs=frames.pairs(spark, sf).withColumn("id", F.concat_ws(":", *EXCHANGE)), logs=logs)
 
 
 @query
