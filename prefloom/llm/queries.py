@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefloom.llm import bpe, decontaminate, neardup, pseudo_likelihood, quality_model, quality_rules, sharding, suffixes, toxicity, url_filter
+from prefloom.llm import (
+    bpe, chat_format, decontaminate, filter_audit, neardup, periodic_runs, pseudo_likelihood, quality_model,
+    quality_rules, sharding, suffixes, toxicity, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +64,19 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chat_format.with_hostile(table(spark, sf, "conversations"))
+    return chat_format.digest(chat_format.read_back(chat_format.render(chat_format.conversations(rows))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf, "documents"), prepare=periodic_runs.with_period))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -72,10 +88,15 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_chat_format": op12_chat_format,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
 }
