@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.functions import text as X
-from prefloom.operators import metrics, ngram, sample
+from prefloom.operators import catalog, metrics, ngram, sample
 from prefloom.plans import registry
+from prefloom.session import stored
+from prefloom.sources import readers, sinks
 
 
 def test_texts(df: DataFrame, key: list[str], max_samples: int | None = None) -> DataFrame | None:
@@ -68,6 +70,35 @@ def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.Mi
     return metrics.merge_metrics(runs, *parts)
 
 
+def evaluate_runs(spark: SparkSession, runs_dir: str, out: str, key: list[str], model: ngram.NgramModel,
+                  base: ngram.NgramModel | None = None, methods: list[str] | None = None, base_model: str = catalog.DEFAULT_BASE,
+                  order: str = "numeric", **parts) -> DataFrame | None:
+    """All runs of a folder to a published result file: one row of metrics per run, as read back.
+
+    Runs are the folders below ``runs_dir`` that hold an adapter or a model; ``methods`` keeps those
+    whose names contain one. Training figures come from each run's trainer state, and the
+    scorer is chosen per run: one with an adapter config is laid over ``base``, others stand
+    alone. ``parts`` are test rows, pairs, samples, caps and weight of :func:`evaluate`. Results are one JSON
+    object keyed by run, a new version of ``out``. A folder without runs gives None and leaves ``out``.
+    """
+    files = readers.run_files(spark, runs_dir)
+    found = catalog.with_base(catalog.filter_runs(catalog.run_inventory(files), methods), base_model)
+    folder = runs_dir.rstrip("/")
+    runs = stored(found.select("run", X.base_name(F.col("run")).alias("model_name"),
+                               F.concat(F.lit(f"{folder}/"), "run").alias("model_path"), "load_as"), "runs")
+    if runs.isEmpty():
+        return None
+    states = readers.trainer_states(spark, runs_dir, order, files).join(runs.select("run"), "run", "left_semi")
+    table = stored(evaluate(runs, key, model, base=base, logs=metrics.log_rows(states), states=states, **parts), "evaluated")
+    version = sinks.new_version(out)
+    sinks.write_results(table, version, "object")
+    sinks.commit(spark, out, version)
+    back, message = readers.read_results(spark, sinks.published(spark, out), "object")
+    if back is None:
+        raise OSError(message)
+    return back
+
+
 def _models(runs: DataFrame, model, base: ngram.NgramModel | None, alpha: float) -> list:
     """The models that between them score every run once."""
     if model is None or base is None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from prefloom.operators import records
@@ -20,17 +18,18 @@ def ingest(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 def ingest_path(spark: SparkSession, path: str, out: str, layout: str = "value") -> tuple[DataFrame, DataFrame]:
     """Read JSON texts below ``path`` and publish the records at ``out``: records, and rejects by reason.
 
-    Records are written beside ``out`` and take its place only if there are any; when nothing
-    was recognised this fails and what was there stays. ``out`` must not lie below ``path``.
+    Records are written as a new version of ``out``, which readers see (:func:`sinks.read_published`)
+    only once it is complete and holds any; when nothing was recognised this fails and what was there
+    stays, as it does when the run breaks off. ``out`` must not lie below ``path``.
     """
     configure(spark)
     if f"{out.rstrip('/')}/".startswith(f"{path.rstrip('/')}/"):
         raise ValueError(f"{out} lies below {path}")
     accepted, rejects = ingest(readers.read_texts(spark, path, layout))
-    fresh = f"{out.rstrip('/')}-new-{uuid.uuid4().hex}"
+    fresh = sinks.new_version(out)
     sinks.write_records(accepted, fresh)
     if spark.read.parquet(fresh).isEmpty():
         sinks.remove(spark, fresh)
         raise ValueError(f"no valid training record in {path}")
-    sinks.publish(spark, fresh, out)
-    return spark.read.parquet(out), rejects
+    sinks.commit(spark, out, fresh)
+    return sinks.read_published(spark, out), rejects

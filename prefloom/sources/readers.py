@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,30 +125,36 @@ def _below(root: str) -> tuple[F.Column, F.Column, F.Column]:
 
 
 def run_files(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """Every file below the runs folder as ``(run, rel_path, bytes, modified)``; no content is read."""
+    """Every file below the runs folder as ``(run, rel_path, bytes, modified, path)``; no content is read."""
     if not path_exists(spark, runs_dir):
-        return spark.createDataFrame([], "run string, rel_path string, bytes bigint, modified timestamp")
+        return spark.createDataFrame([], "run string, rel_path string, bytes bigint, modified timestamp, path string")
     run, rel_path, inside = _below(_run_root(spark, runs_dir))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(runs_dir)
     return found.where(inside).select(
-        run, rel_path, F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+        run, rel_path, F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "path")
 
 
-def trainer_states(spark: SparkSession, runs_dir: str, order: str = "numeric") -> DataFrame:
+def trainer_states(spark: SparkSession, runs_dir: str, order: str = "numeric",
+                   files: DataFrame | None = None) -> DataFrame:
     """Parsed trainer state per run: the root's file, else the last checkpoint's.
 
-    Contents are read of state files only; the other files are listed, to know the last checkpoint.
+    The listing (``files``, or a fresh one) says which file of each run is read, and
+    the second scan opens those alone. Their paths, one per run, pass the driver, which
+    holds the listing of all files for the first scan anyway.
     """
-    if not path_exists(spark, runs_dir):
-        return spark.createDataFrame([], f"run string, {', '.join(f.simpleString().replace(':', ' ', 1) for f in TRAINER_STATE)}")
-    run, rel_path, inside = _below(_run_root(spark, runs_dir))
-    states = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-              .option("pathGlobFilter", X.TRAINER_STATE_FILE).load(runs_dir)
-              .where(inside).select(run, rel_path, F.col("content").cast("string").alias("value")))
-    others = run_files(spark, runs_dir).select("run", "rel_path", F.lit(None).cast("string").alias("value"))
-    is_state = F.regexp_extract("rel_path", r"([^/]*)$", 1) == X.TRAINER_STATE_FILE
-    picked = catalog.pick_state_file(states.unionByName(others.where(~is_state)), order)
-    return picked.select("run", F.from_json("value", TRAINER_STATE).alias("s")).select("run", "s.*")
+    listed = run_files(spark, runs_dir) if files is None else files
+    picked = catalog.pick_state_file(listed.select("run", "rel_path", "path"), order)
+    paths = [_literal(r.path) for r in picked.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), *TRAINER_STATE.fields]))
+    run, _, _ = _below(_run_root(spark, runs_dir))
+    texts = spark.read.format("binaryFile").load(paths).select(run, F.col("content").cast("string").alias("value"))
+    return texts.select("run", F.from_json("value", TRAINER_STATE).alias("s")).select("run", "s.*")
+
+
+def _literal(path: str) -> str:
+    """``path`` for a reader that takes patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 # ------------------------------------------------------------------ results

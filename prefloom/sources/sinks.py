@@ -1,12 +1,25 @@
-"""Writers of canonical records and evaluation results."""
+"""Writers of canonical records, evaluation results and run folders, and versions of an output.
+
+An output that readers may hold is a folder of versions and a pointer. A writer fills a version of
+its own, and the pointer is put in place last, by one rename: a writer that breaks off at any
+point leaves the output as it was. The pointer names the version before it too, which stays for
+readers under way; the one before that goes.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.schemas import RESULT
 
+POINTER = "_current"
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
@@ -18,12 +31,86 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def publish(spark: SparkSession, fresh: str, out: str) -> None:
-    """Put the written folder ``fresh`` in the place of ``out``."""
-    remove(spark, out)
-    fs, p = _file_system(spark, fresh)
-    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)):
-        raise OSError(f"could not move {fresh} to {out}")
+def new_version(out: str) -> str:
+    """A path below ``out`` that no writer has used."""
+    return f"{out.rstrip('/')}/v-{uuid.uuid4().hex}"
+
+
+def _pointed(spark: SparkSession, out: str) -> list[str]:
+    """Names of the current version and the one before it; none if nothing was published."""
+    fs, p = _file_system(spark, f"{out.rstrip('/')}/{POINTER}")
+    if not fs.exists(p):
+        return []
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, out: str) -> str:
+    """Path of the version that readers of ``out`` are to see; ``out`` itself if it has no pointer."""
+    named = _pointed(spark, out)
+    return f"{out.rstrip('/')}/{named[0]}" if named else out
+
+
+def read_published(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(published(spark, out))
+
+
+def commit(spark: SparkSession, out: str, version: str) -> None:
+    """Make ``version``, a finished folder below ``out``, the one that readers see."""
+    before = _pointed(spark, out)
+    name = version.rstrip("/").rsplit("/", 1)[1]
+    fs, fresh = _file_system(spark, f"{out.rstrip('/')}/{POINTER}-{name}")
+    stream = fs.create(fresh, True)
+    try:
+        stream.write("\n".join([name, *before[:1]]).encode())
+    finally:
+        stream.close()
+    _put(spark, fresh, f"{out.rstrip('/')}/{POINTER}")
+    for old in before[1:]:
+        remove(spark, f"{out.rstrip('/')}/{old}")
+
+
+def _put(spark: SparkSession, fresh, place: str) -> None:
+    """Rename one file over another; readers find the old or the new one, never none."""
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs
+    kind = getattr(fs, "Options$Rename")
+    how = sc._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    _, target = _file_system(spark, place)
+    context = fs.FileContext.getFileContext(fresh.getFileSystem(sc._jsc.hadoopConfiguration()).getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(fresh, target, how)
+
+
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
+    """Each row as one file: ``content`` at ``path`` below ``root``, written by the tasks.
+
+    A task that runs again writes the same files again. ``root`` is a folder that all executors
+    reach, a local path or one of a store that Arrow knows (``file:``, ``hdfs:``, ``s3:``, ``gs:``).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+        made, n = set(), 0
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{base.rstrip('/')}/{name}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write(raw or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = df.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
+    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -129,6 +129,53 @@ def artefacts(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.concat(F.lit("runs/"), run_name()).alias("run"), path.alias("rel_path"))
 
 
+# Kinds of run folders: name, files at the root, whether the root or the checkpoints hold trainer states.
+KINDS = [
+    ("sft ", [X.ADAPTER_FILE, X.ADAPTER_CONFIG_FILE], "root"),
+    ("DPO_", ["model.safetensors"], "checkpoints"),
+    ("orpo_", [X.ADAPTER_FILE], "checkpoints"),
+    ("kto [x] ", [X.ADAPTER_FILE, X.ADAPTER_CONFIG_FILE], "some checkpoints"),
+    ("grpo_", ["pytorch_model.bin", X.ADAPTER_CONFIG_FILE], "root"),
+    ("drafts_", ["notes.txt"], "checkpoints"),
+]
+
+
+def kind_name(group: Column) -> Column:
+    """Name of a group's run folder."""
+    kind = F.element_at(F.array(*[F.lit(name) for name, _, _ in KINDS]), (group % len(KINDS) + 1).cast("int"))
+    return F.concat(kind, group.cast("string"))
+
+
+def run_tree(spark: SparkSession, sf: str, group: Column) -> DataFrame:
+    """The files ``path, content`` of one run folder per group of events, of six kinds.
+
+    A group's events are dealt over checkpoints 800, 900 and 1000, whose trainer states log them;
+    the states at a root log them all. Some checkpoints hold an adapter and no state.
+    """
+    e = table(spark, sf, "events")
+    value = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("value"))
+    entry = F.struct(F.col("event_id").alias("step"), value("click", "view", "signup").alias("loss"),
+                     value("purchase", "signup").alias("eval_loss"), value("error").alias("train_runtime"))
+    folder = F.concat(F.lit("checkpoint-"), ((F.col("event_id") % 3 + 8) * 100).cast("string"))
+    logged = e.select(group.alias("g"), entry.alias("entry"), F.explode(F.array(folder, F.lit(""))).alias("folder"))
+    kind = F.col("g") % len(KINDS)
+    at = lambda place: kind.isin([i for i, k in enumerate(KINDS) if k[2] == place])
+    has_state = F.when(F.col("folder") == "", at("root")).when(
+        F.col("folder") == "checkpoint-1000", ~at("some checkpoints")).otherwise(F.lit(True))
+    log = F.array_sort(F.collect_list("entry"))
+    state = F.to_json(F.struct(F.size(log).alias("global_step"), F.nullif("folder", F.lit("")).alias("best_model_checkpoint"),
+                               log.alias("log_history")))
+    below = lambda name: F.concat(kind_name(F.col("g")), F.lit("/"), name)
+    folders = logged.groupBy("g", "folder").agg(state.alias("content")).select("g", "folder", F.inline(F.array(
+        F.struct(F.when(has_state, F.lit(X.TRAINER_STATE_FILE)).alias("name"), F.col("content")),
+        F.struct(F.when(F.col("folder") != "", F.lit(X.ADAPTER_FILE)).alias("name"), F.col("folder").alias("content")))))
+    nested = folders.where("name is not null").select(
+        below(F.concat_ws("/", F.nullif("folder", F.lit("")), "name")).alias("path"), "content")
+    names = F.element_at(F.array(*[F.array(*[F.lit(n) for n in files]) for _, files, _ in KINDS]), (kind + 1).cast("int"))
+    roots = e.select(group.alias("g")).distinct().select("g", F.explode(names).alias("name"))
+    return nested.unionByName(roots.select(below(F.col("name")).alias("path"), F.col("g").cast("string").alias("content")))
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """One row of metrics per run, with gaps."""
     e = table(spark, sf, "events").select("user_id", run_name().alias("run"), "event_type", "value")

@@ -126,6 +126,25 @@ inventory AS (
     FROM files GROUP BY run)
   WHERE has_adapter = 1 OR has_model = 1)"""
 
+# Run folders: events by group ``g`` of ``groups``, their kind, and the states that count.
+def run_tree(group: str) -> str:
+    return f"""grouped AS (
+  SELECT {group} AS g, ({group}) % 6 AS kind, event_id % 3 AS b, event_id,
+         ['sft ', 'DPO_', 'orpo_', 'kto [x] ', 'grpo_', 'drafts_'][CAST(({group}) % 6 + 1 AS INTEGER)] || ({group}) AS run,
+         CASE WHEN event_type IN ('click', 'view', 'signup') THEN value END AS loss,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN value END AS eval_loss,
+         CASE WHEN event_type = 'error' THEN value END AS train_runtime
+  FROM events),
+last_folder AS (SELECT g, max(b) AS last FROM grouped GROUP BY g),
+counted AS (
+  SELECT x.*, event_id AS pos FROM grouped x JOIN last_folder USING (g)
+  WHERE kind IN (0, 4) OR (b = last AND NOT (kind = 3 AND last = 2))),
+state_metrics AS (
+  SELECT run, {LOG_METRICS}, count(*) AS total_steps,
+         CASE WHEN any_value(kind) IN (0, 4) THEN NULL ELSE 'checkpoint-' || ((any_value(b) + 8) * 100) END AS best_checkpoint
+  FROM counted GROUP BY run)"""
+
+
 RESULTS = f"""results AS (
   SELECT run, 'runs/' || run AS model_path,
          CASE WHEN user_id % 7 <> 0 THEN p END AS perplexity,
@@ -199,6 +218,23 @@ PERPLEXITY = """ppl AS (
   FROM chat_losses GROUP BY run)"""
 
 
+# Word models of run folders: documents by source, and the loss of each word a test text uses, under the
+# run's own counts or, for runs with an adapter config, half its own and half all documents'.
+RUN_MODELS = f"""train AS (
+  SELECT doc_id, ['sft ', 'DPO_', 'orpo_', 'kto [x] ', 'grpo_'][number % 5 + 1] || (number % 5) AS run, toks
+  FROM (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS number, {words('text')} AS toks FROM documents)),
+used AS (SELECT run, unnest(toks) AS token FROM train),
+counts AS (SELECT run, token, count(*) AS c FROM used GROUP BY run, token),
+totals AS (SELECT run, CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counts GROUP BY run), {BASE},
+asked AS (
+  SELECT DISTINCT token FROM (SELECT unnest(toks) AS token FROM samples UNION ALL SELECT unnest(toks) FROM sides)),
+word_loss AS (
+  SELECT t.run, a.token, -ln(CASE WHEN t.run[1:3] IN ('sft', 'kto', 'grp')
+    THEN 0.5 * (coalesce(b.c, 0) + 1) / (SELECT d FROM base_total) + 0.5 * (coalesce(c.c, 0) + 1) / (t.n + t.v + 1)
+    ELSE (coalesce(c.c, 0) + 1) / (t.n + t.v + 1) END) AS loss
+  FROM asked a CROSS JOIN totals t LEFT JOIN counts c ON c.run = t.run AND c.token = a.token LEFT JOIN base b ON b.token = a.token)"""
+
+
 def _chat_and_prefs() -> str:
     chat_part = scored("samples", "conv_id").replace("uses", "chat_uses").replace("weighed", "chat_weighed").replace(
         "losses AS", "chat_losses AS")
@@ -329,6 +365,23 @@ ORACLE: dict[str, str] = {
     "state_files": f"""WITH {FILES}, last AS (SELECT run, max_by(checkpoint, step) AS checkpoint FROM checkpoints GROUP BY run)
       SELECT DISTINCT f.run, f.rel_path FROM files f JOIN last l
         ON l.run = f.run AND f.rel_path = l.checkpoint || '/trainer_state.json'""",
+    "run_folder_scan": f"""WITH {run_tree('user_id')}, folders AS (SELECT DISTINCT run, g, kind, b FROM grouped),
+      roots AS (SELECT DISTINCT run, g, kind FROM grouped),
+      names(kind, name) AS (VALUES (0, 'adapter_model.safetensors'), (0, 'adapter_config.json'), (1, 'model.safetensors'),
+        (2, 'adapter_model.safetensors'), (3, 'adapter_model.safetensors'), (3, 'adapter_config.json'),
+        (4, 'pytorch_model.bin'), (4, 'adapter_config.json'), (5, 'notes.txt'))
+      SELECT run, 'checkpoint-' || ((b + 8) * 100) || '/adapter_model.safetensors' AS rel_path,
+             CAST(length('checkpoint-' || ((b + 8) * 100)) AS BIGINT) AS bytes FROM folders
+      UNION ALL SELECT run, 'checkpoint-' || ((b + 8) * 100) || '/trainer_state.json', NULL FROM folders
+        WHERE NOT (kind = 3 AND b = 2)
+      UNION ALL SELECT run, 'trainer_state.json', NULL FROM roots WHERE kind IN (0, 4)
+      UNION ALL SELECT run, name, CAST(length(CAST(g AS VARCHAR)) AS BIGINT) FROM roots JOIN names USING (kind)""",
+    "trainer_state_read": f"""WITH {run_tree('user_id')}
+      SELECT run, total_steps, best_checkpoint, round(initial_train_loss, 6) AS initial_train_loss,
+             round(final_train_loss, 6) AS final_train_loss, round(best_eval_loss, 6) AS best_eval_loss,
+             round(final_eval_loss, 6) AS final_eval_loss, round(training_time_seconds, 6) AS training_time_seconds,
+             round(training_time_seconds / 3600, 6) AS training_time_hours
+      FROM state_metrics""",
     "run_inventory": f"""WITH {FILES}
       SELECT run, has_adapter, has_model, has_config, CASE WHEN has_adapter = 1 THEN 'LoRA' ELSE 'Full' END AS kind,
              CASE WHEN has_config = 1 THEN 'lora' ELSE 'full' END AS load_as,
@@ -401,6 +454,23 @@ ORACLE: dict[str, str] = {
              CASE WHEN perplexity <> 0 THEN printf('%.2f', perplexity) ELSE 'N/A' END AS perplexity,
              CASE WHEN preference_accuracy <> 0 THEN printf('%.2f%%', preference_accuracy * 100) ELSE 'N/A' END
                AS preference_accuracy {EVALUATED}""",
+    "evaluate_runs": f"""WITH {run_tree('user_id % 6')}, {CHAT_WORDS}, {PAIRS}, {SIDES}, {RUN_MODELS},
+      heard AS (SELECT token, count(*) AS k FROM (SELECT unnest(toks) AS token FROM samples) GROUP BY token),
+      ppl AS (SELECT run, sum(k * loss) / sum(k) AS test_loss FROM heard JOIN word_loss USING (token) GROUP BY run),
+      uses AS (SELECT conv_id, turn, side, token, count(*) AS k
+        FROM (SELECT conv_id, turn, side, unnest(toks) AS token FROM sides) GROUP BY ALL),
+      losses AS (SELECT conv_id, turn, side, run, sum(k * loss) / sum(k) AS loss
+        FROM uses JOIN word_loss USING (token) GROUP BY ALL), {PREFS},
+      found AS (SELECT DISTINCT run FROM grouped WHERE kind < 5)
+      SELECT run, run AS model_name, 'exp/runs/' || run AS model_path, round(initial_train_loss, 4) AS initial_train_loss,
+             round(final_train_loss, 4) AS final_train_loss, round(best_eval_loss, 4) AS best_eval_loss,
+             round(final_eval_loss, 4) AS final_eval_loss, total_steps, best_checkpoint,
+             round(training_time_seconds, 4) AS training_time_seconds,
+             round(training_time_seconds / 3600, 4) AS training_time_hours, round(exp(test_loss), 4) AS perplexity,
+             round(test_loss, 4) AS test_loss, round(preference_accuracy, 4) AS preference_accuracy, preference_correct,
+             preference_total, round(avg_chosen_loss, 4) AS avg_chosen_loss,
+             round(avg_rejected_loss, 4) AS avg_rejected_loss, round(loss_margin, 4) AS loss_margin
+      FROM found LEFT JOIN state_metrics USING (run) LEFT JOIN ppl USING (run) LEFT JOIN prefs USING (run)""",
     "leaderboard_a": f"""WITH {RESULTS}
       SELECT run AS model_name, model_path, round(perplexity, 6) AS perplexity, round(test_loss, 6) AS test_loss,
              CAST(NULL AS DOUBLE) AS training_time_hours, total_steps

@@ -318,6 +318,28 @@ def state_files(spark, sf):
     return catalog.pick_state_file(frames.artefacts(spark, sf).select("run", "rel_path"))
 
 
+def _run_folder(spark, sf, group):
+    """A runs folder written from the events; its root's name is there twice in the path."""
+    root = f"{scratch_path(spark, 'exp')}/runs/exp/runs"
+    sinks.write_files(frames.run_tree(spark, sf, group), root)
+    return root
+
+
+@query
+def run_folder_scan(spark, sf):
+    """A folder of one run per user, listed without reading a file."""
+    files = readers.run_files(spark, _run_folder(spark, sf, F.col("user_id")))
+    sized = F.when(~F.endswith("rel_path", F.lit(X.TRAINER_STATE_FILE)), F.col("bytes"))
+    return files.select("run", "rel_path", sized.alias("bytes"))
+
+
+@query
+def trainer_state_read(spark, sf):
+    """The one trainer state that counts of each run in a folder, rolled up."""
+    states = readers.trainer_states(spark, _run_folder(spark, sf, F.col("user_id")))
+    return rounded(metrics.training_metrics(metrics.log_rows(states), states))
+
+
 @query
 def run_inventory(spark, sf):
     runs = catalog.with_base(catalog.run_inventory(frames.artefacts(spark, sf)), "models/base")
@@ -476,6 +498,21 @@ def summary_text(spark, sf):
     return metrics.summary_lines(_evaluated(spark, sf))
 
 
+@query
+def evaluate_runs(spark, sf):
+    """A runs folder, and models of documents by source, to a published result file."""
+    root = _run_folder(spark, sf, F.col("user_id") % 6)
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    docs = frames.table(spark, sf, "documents").select(frames.kind_name(number % 5).alias("run"), "text")
+    model = ngram.fit_ngram(docs).stored()
+    results = evaluate.evaluate_runs(
+        spark, root, scratch_path(spark, "results"), ["id"], model, ngram.pool(model).stored(),
+        test=frames.chat(spark, sf).withColumn("id", F.col("conv_id").cast("string")),
+        prefs=frames.pairs(spark, sf).withColumn("id", F.concat_ws(":", *EXCHANGE)))
+    short = F.regexp_extract("model_path", "exp/runs/[^/]+$", 0)
+    return rounded(results.drop("generation_samples").withColumn("model_path", short), 4)
+
+
 @query
 def leaderboard_a(spark, sf):
     return rounded(leaderboard.leaderboard(frames.results(spark, sf), "a"))

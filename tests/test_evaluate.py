@@ -1,6 +1,8 @@
 import json
 import math
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -185,6 +187,51 @@ def test_trainer_states(spark, runs_dir):
     assert (got["sft_a"].final_train_loss, got["sft_a"].best_eval_loss, got["sft_a"].training_time_hours) == (2.0, 1.5, 0.01)
 
 
+def test_only_the_state_that_counts_is_opened(spark, runs_dir):
+    root = Path(runs_dir)
+    odd = root / "odd [a]{b}*\\?" / "checkpoint-7"
+    odd.mkdir(parents=True)
+    (odd / "trainer_state.json").write_text(json.dumps({"global_step": 7}))
+    (root / "odd a" / "checkpoint-8").mkdir(parents=True)
+    (root / "odd a" / "checkpoint-8" / "notes.txt").write_text("last, and has no state")
+    (root / "odd a" / "checkpoint-2").mkdir()
+    (root / "odd a" / "checkpoint-2" / "trainer_state.json").write_text("{}")
+    states = readers.trainer_states(spark, runs_dir)
+    assert {r.run: r.global_step for r in states.collect()} == {"sft_a": 3, "DPO_b": 1000, odd.parent.name: 7}
+    opened = {unquote(p).split("runs/", 1)[1] for p in states.inputFiles()}
+    assert opened == {"sft_a/trainer_state.json", "DPO_b/checkpoint-1000/trainer_state.json",
+                      f"{odd.parent.name}/checkpoint-7/trainer_state.json"}
+    plan = readers.run_files(spark, runs_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1]
+
+
+def test_folder_of_runs_to_published_results(spark, runs_dir, tmp_path):
+    train = spark.createDataFrame([("sft_a", "a b a"), ("DPO_b", "a c"), ("elsewhere", "q")], "run string, text string")
+    turn = lambda text: [("user", "q"), ("assistant", text)]
+    chats = spark.createDataFrame([(1, turn("a b")), (2, turn("c"))], "id int, messages array<struct<role:string,content:string>>")
+    prefs = spark.createDataFrame([(1, turn("a a"), turn("z"))], "id int, chosen array<struct<role:string,content:string>>, "
+                                  "rejected array<struct<role:string,content:string>>")
+    model = ngram.fit_ngram(train).stored()
+    base, out = ngram.pool(model).stored(), str(tmp_path / "results")
+    got = {r.run: r for r in evaluate.evaluate_runs(spark, runs_dir, out, ["id"], model, base, test=chats, prefs=prefs).collect()}
+    assert set(got) == {"sft_a", "DPO_b"}
+    sft, dpo = got["sft_a"], got["DPO_b"]
+    assert (sft.model_name, sft.model_path, sft.total_steps, sft.training_time_hours) == ("sft_a", f"{runs_dir}/sft_a", 3, 0.01)
+    assert dpo.total_steps == 1000 and dpo.generation_samples is None
+    texts = evaluate.test_texts(chats, ["id"])
+    over = {r.run: r.test_loss for r in ngram.corpus_loss(texts, ngram.MixedModel(base, model)).collect()}
+    alone = {r.run: r.test_loss for r in ngram.corpus_loss(texts, model).collect()}
+    assert sft.test_loss == pytest.approx(over["sft_a"]) and dpo.test_loss == pytest.approx(alone["DPO_b"])
+    assert sft.test_loss != pytest.approx(alone["sft_a"]) and sft.preference_total == dpo.preference_total == 1
+    only = evaluate.evaluate_runs(spark, runs_dir, out, ["id"], model, methods=["dpo"], test=chats)
+    assert [r.run for r in only.collect()] == ["DPO_b"]
+    text = "".join(p.read_text() for p in sorted(Path(sinks.published(spark, out)).glob("part-*")))
+    assert list(json.loads(text)) == ["DPO_b"]
+    for none in (runs_dir + "_none", runs_dir):
+        assert evaluate.evaluate_runs(spark, none, out, ["id"], model, methods=["nothing"]) is None
+    assert readers.read_results(spark, sinks.published(spark, out), "object")[1].endswith("(1 entries)")
+
+
 def test_model_and_label_lookup(spark):
     known = spark.createDataFrame([("models/base",), ("models/m",), ("/abs/m",)], "path string")
     asked = spark.createDataFrame([(1, " "), (2, None), (3, "m"), (4, "/abs/m"), (5, "zzz")], "id int, request string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from prefloom.functions.json import parse_strict
 from prefloom.operators import records
 from prefloom.plans.ingest import ingest, ingest_path
-from prefloom.sources import readers
+from prefloom.sources import readers, sinks
 from prefloom.streaming.ingest import stream_records, write_stream
 
 
@@ -101,13 +101,44 @@ def test_failed_ingest_leaves_what_was_there(spark, tmp_path):
     (tmp_path / "y.json").write_text("[7]")
     with pytest.raises(ValueError, match="no valid"):
         ingest_path(spark, str(tmp_path / "y.json"), out)
-    assert spark.read.parquet(out).count() == 1
+    assert sinks.read_published(spark, out).count() == 1
     assert ingest_path(spark, str(tmp_path / "x.json"), out)[0].count() == 1
-    assert [p.name for p in tmp_path.iterdir() if "new" in p.name] == []
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v-")]) == 2
     with pytest.raises(ValueError, match="below"):
         ingest_path(spark, str(tmp_path), out)
 
 
+def test_broken_off_publish_leaves_the_old_records(spark, tmp_path, monkeypatch):
+    text, out = tmp_path / "x.json", str(tmp_path / "my out")
+    for n in (1, 2, 3):
+        text.write_text(json.dumps([{"messages": []}] * n))
+        assert ingest_path(spark, str(text), out)[0].count() == n
+    text.write_text(json.dumps([{"messages": []}] * 9))
+    held = sinks.read_published(spark, out)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    for step in ("commit", "_put"):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+            m.setattr(sinks, step, broken)
+            ingest_path(spark, str(text), out)
+        assert sinks.read_published(spark, out).count() == 3
+    assert ingest_path(spark, str(text), out)[0].count() == 9
+    assert held.count() == 3  # a reader under way still has the version before
+    spark.range(4).write.parquet(str(tmp_path / "plain"))
+    assert sinks.read_published(spark, str(tmp_path / "plain")).count() == 4
+
+
+def test_written_files_hold_what_the_rows_say(spark, tmp_path):
+    rows = [("a b/c.txt", "x"), ("é/[1].json", "\n"), ("top", None)]
+    for root in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        sinks.write_files(spark.createDataFrame(rows, "path string, content string"), root)
+        base = tmp_path / root.rsplit("/", 1)[1]
+        assert {str(p.relative_to(base)): p.read_text() for p in base.rglob("*") if p.is_file()} == {
+            n: t or "" for n, t in rows}
+
+
 def test_typed_paths(spark, tmp_path):
     frame = spark.createDataFrame([(1, "x")], "id int, text string")
     frame.coalesce(1).write.parquet(str(tmp_path / "pq"))
