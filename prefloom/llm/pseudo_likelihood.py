@@ -1,26 +1,33 @@
 """Masked pseudo-likelihood: a window network predicts every token from both of its sides.
 
 Tokens are the most frequent words of the corpus, the others fall into hash buckets. For each place
-the words ``SIDE`` to the left and right, by position, add up to a hidden layer, and a softmax
+the words ``side`` to the left and right, by position, add up to a hidden layer, and a softmax
 in two steps (class of tokens, token in class) gives the probability of what stands there. A
 document's score is the sum of these conditional log probabilities over all of its tokens.
 
-Training is data parallel over all documents: word counts are summed by Spark, the network starts from the
-log frequencies, and in each round every task runs gradient steps over its documents' places
-(every ``stride``-th place of whole texts, another offset each round) from the common weights. Weights
-are averaged by places, slice by slice, in two levels of streaming sums, so what is gathered grows
-with the corpus while no task holds more than single slices. Only the vocabulary and the averaged
-weights, both of fixed size, reach the driver.
+1. Every text is split once. A task numbers the words of the documents it meets and stores blocks:
+   the block's words with their counts, and its texts as those numbers. Later passes turn numbers into
+   tokens by one look-up per different word of a block.
+2. Word counts over all blocks give the vocabulary; its size, ``classes`` squared, and the number of
+   ``buckets`` for the other words are parameters (:class:`Shape`).
+3. Training starts from the log frequencies and reads every place of the corpus once. Documents are
+   dealt by a hash over ``parts``; for each part in turn the tasks sum the gradients of all of its
+   places at common weights, the sums are added up slice by slice, and one Adam step follows. What is
+   learned depends on the documents alone, not on how many tasks share them, up to rounding.
+4. Scoring reads the blocks again and gives a row per document.
+
+What is gathered (counts, gradients of every task) grows with the corpus; only the vocabulary and
+the summed gradient, both of a size that the shape fixes, reach the driver.
 
 Edge cases: null and empty texts have no tokens, a log probability of 0 and a null mean; an empty
-corpus gives an empty table; repeated rows are scored each on their own.
+corpus gives an empty table; repeated rows are scored each on their own; ids may be null or
+repeat; columns beyond the named ones are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,85 +35,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.llm.batches import as_bytes, map_rows, small_batches
+from prefloom.llm.batches import as_bytes, small_batches
 from prefloom.llm.tables import stored
 from prefloom.llm.words import WordHashes, split_words
+from prefloom.session import scratch_path
 
-CLASSES = 64
-VOCABULARY = CLASSES * CLASSES
-BUCKETS = 512
-KNOWN = VOCABULARY - BUCKETS
-SIDE = 2
-HIDDEN = 32
-STRIDE = 16
-ROUNDS = 2
-RATE = 0.1
+PARTS = 16
+RATE = 0.06
+BLOCK_TOKENS = 1 << 18
+PLACES = 1 << 14  # places whose layers are held at a time
 SLICE = 8192
-PLACES = 1 << 15
-OFFSETS = [d for d in range(-SIDE, SIDE + 1) if d]
-SHAPES = [(len(OFFSETS), VOCABULARY + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, CLASSES), (CLASSES, CLASSES)]
+LANES = 16
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a network: ``classes`` squared tokens, the last ``buckets`` of which stand for rare words."""
+
+    classes: int = 64
+    buckets: int = 512
+    hidden: int = 32
+    side: int = 2
+
+    @property
+    def tokens(self) -> int:
+        return self.classes * self.classes
+
+    @property
+    def known(self) -> int:
+        return self.tokens - self.buckets
+
+    @property
+    def arrays(self) -> list[tuple[int, ...]]:
+        c, h = self.classes, self.hidden
+        return [(self.tokens + 1, 2 * self.side, h), (h,), (h, c), (c,), (c, h, c), (c, c)]
+
+    @property
+    def size(self) -> int:
+        return sum(int(np.prod(s)) for s in self.arrays)
+
+
+# ------------------------------------------------------------------- blocks
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+@dataclass
+class _Block:
+    numbers: _Numbers = field(default_factory=_Numbers)
+    texts: list[np.ndarray] = field(default_factory=list)
+    names: list = field(default_factory=list)
+    tokens: int = 0
+
+    def add(self, name, raw: bytes) -> None:
+        words = split_words(raw)
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.names.append(name)
+        self.tokens += len(words)
+
+
+def text_blocks(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
+    """The texts as stored blocks ``part, words, counts, numbers, sizes, names``, split once."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("raw"))
+    source = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(parts)).cast("int"))
+    schema = T.StructType([
+        T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())),
+        T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("numbers", T.BinaryType()),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("names", T.ArrayType(source.schema["doc_id"].dataType))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, kind = WordHashes(), {}, None
+
+        def flushed(part: int, block: _Block) -> pa.RecordBatch:
+            words = np.fromiter(map(hashes.__getitem__, block.numbers), np.uint64, len(block.numbers)).view(np.int64)
+            numbers = np.concatenate(block.texts)
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([words], pa.list_(pa.int64())),
+                pa.array([np.bincount(numbers, minlength=len(words))], pa.list_(pa.int64())), pa.array([numbers.tobytes()]),
+                pa.array([[len(t) for t in block.texts]], pa.list_(pa.int32())), pa.array([block.names], pa.list_(kind))], schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, raw, part in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                block = held.setdefault(part, _Block())
+                block.add(name, raw)
+                if block.tokens >= BLOCK_TOKENS:
+                    yield flushed(part, held.pop(part))
+        for part, block in held.items():
+            yield flushed(part, block)
+
+    path = scratch_path(docs.sparkSession, "text-blocks")
+    small_batches(source).mapInArrow(run, schema).write.partitionBy("part").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass
 class Vocabulary:
     """Hashes of the known words, most frequent first, and how often each token occurs."""
 
-    words: list[int]
+    shape: Shape
+    words: np.ndarray
     counts: np.ndarray
 
-    def ids(self) -> dict:
-        known = {w: i for i, w in enumerate(self.words)}
-        hashes = WordHashes()
+    def __post_init__(self):
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
 
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> int:
-                h = hashes[word]
-                if len(self) >= 500_000:
-                    self.clear()
-                i = self[word] = known.get(h, KNOWN + h % BUCKETS)
-                return i
+    def bucket(self, words: np.ndarray) -> np.ndarray:
+        return self.shape.known + words % self.shape.buckets
 
-        return Ids()
+    def tokens(self, words: np.ndarray) -> np.ndarray:
+        """The token of each word, given by hash."""
+        bucket = self.bucket(words)
+        if not len(self.words):
+            return bucket
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.words) - 1)
+        return np.where(self.sorted[at] == words, self.order[at], bucket)
 
 
-def learn_vocabulary(docs: DataFrame, text: str) -> Vocabulary:
+def learn_vocabulary(blocks: DataFrame, shape: Shape) -> Vocabulary:
     """The most frequent words over all documents."""
+    pairs = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("p")).select("p.words", "p.counts")
+    counts = stored(pairs.groupBy(F.col("words").alias("w")).agg(F.sum("counts").alias("n")), "word-counts")
+    top = counts.orderBy(F.desc("n"), "w").limit(shape.known).collect()
+    known = Vocabulary(shape, np.array([r["w"] for r in top], np.int64), np.zeros(shape.tokens))
+    known.counts[:len(top)] = [r["n"] for r in top]
+    total = counts.groupBy(F.pmod("w", F.lit(shape.buckets)).alias("b")).agg(F.sum("n").alias("n"))
+    for bucket, n in total.collect():
+        known.counts[shape.known + bucket] = n
+    np.subtract.at(known.counts, known.bucket(known.words), known.counts[:len(top)])
+    return known
 
-    def run(batches):
-        hashes, seen = WordHashes(), Counter()
-        for batch in batches:
-            for raw in as_bytes(batch.column(0)):
-                seen.update(map(hashes.__getitem__, split_words(raw)))
-            if len(seen) > 500_000:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
-
-    words = small_batches(docs).select(F.col(text).cast("binary")).mapInArrow(run, "w long, n long")
-    counts = stored(words.groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "w").limit(KNOWN).collect()
-    known = [r["w"] & (2**64 - 1) for r in top]
-    total = np.zeros(VOCABULARY)
-    total[:len(top)] = [r["n"] for r in top]
-    # The bucket is the hash's low bits, whatever its sign.
-    for bucket, n in counts.groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.sum("n")).collect():
-        total[KNOWN + bucket] = n
-    for word, n in zip(known, total[:len(top)]):
-        total[KNOWN + word % BUCKETS] -= n
-    return Vocabulary(known, total)
-
-
-def _counted(seen: Counter) -> pa.RecordBatch:
-    words = np.fromiter(seen.keys(), np.uint64, len(seen)).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["w", "n"])
 
+# ------------------------------------------------------------------ network
 
 def first_weights(vocabulary: Vocabulary) -> list[np.ndarray]:
     """Small random layers, and biases at which the network gives the tokens' frequencies."""
-    random = np.random.default_rng(5)
-    weights = [random.normal(0, 0.1, s).astype(np.float32) for s in SHAPES]
+    random, c = np.random.default_rng(5), vocabulary.shape.classes
+    weights = [random.normal(0, 0.1, s).astype(np.float32) for s in vocabulary.shape.arrays]
     weights[1][:] = 0
-    share = (vocabulary.counts + 0.5).reshape(CLASSES, CLASSES)
+    share = (vocabulary.counts + 0.5).reshape(c, c)
     weights[3] = np.log(share.sum(1) / share.sum()).astype(np.float32)
     weights[5] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return weights
@@ -116,78 +187,130 @@ def flat(weights: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([w.ravel() for w in weights])
 
 
-def shaped(vector: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in SHAPES:
-        n = int(np.prod(s))
-        out.append(vector[at:at + n].reshape(s).astype(np.float32))
-        at += n
-    return out
+def shaped(vector: np.ndarray, shape: Shape, kind=np.float32) -> list[np.ndarray]:
+    ends = np.cumsum([int(np.prod(s)) for s in shape.arrays])
+    return [p.reshape(s).astype(kind) for p, s in zip(np.split(vector, ends[:-1]), shape.arrays)]
+
+
+def laid_out(texts: np.ndarray, sizes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Several texts in a row with the extra token beyond each end, and the places of their tokens."""
+    side = shape.side
+    at = np.arange(len(texts)) + np.repeat(np.arange(1, len(sizes) + 1) * side, sizes)
+    padded = np.full(len(texts) + (len(sizes) + 1) * side, shape.tokens, np.int64)
+    padded[at] = texts
+    return padded, at
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def chunks(texts: np.ndarray, sizes: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``line, at, target``: stretches of tokens, the places in them to predict, and what stands there."""
+    padded, at = laid_out(texts, sizes, shape)
+    for i in range(0, len(texts), PLACES):
+        part = at[i:i + PLACES]
+        low = part[0] - shape.side
+        yield padded[low:part[-1] + shape.side + 1], part - low, texts[i:i + PLACES]
 
 
-def contexts(tokens: np.ndarray) -> np.ndarray:
-    """Per place the tokens around it, the extra token beyond the ends."""
-    edge = np.full(SIDE, VOCABULARY, np.int64)
-    padded = np.concatenate([edge, tokens, edge])
-    return np.stack([padded[SIDE + d:SIDE + d + len(tokens)] for d in OFFSETS], axis=1)
+def _shifts(count: int) -> list[int]:
+    return [d for d in range(-(count // 2), count // 2 + 1) if d]
 
 
-def hidden(weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
-    total = weights[1] + weights[0][0][around[:, 0]]
-    for k in range(1, len(OFFSETS)):
-        total += weights[0][k][around[:, k]]
-    return np.tanh(total)
+def hidden(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hidden layer of places that have ``side`` tokens of ``line`` on either side."""
+    rows = weights[0][line]
+    shifts = _shifts(rows.shape[1])
+    side, end = shifts[-1], len(line) - shifts[-1]
+    total = rows[:end - side, 0] + weights[1]
+    for k, d in enumerate(shifts[1:], 1):
+        total += rows[side + d:end + d, k]
+    return np.maximum(total, 0)[at - side]
 
 
-def log_probabilities(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of each target given what is around it."""
-    h = hidden(weights, around)
-    kind, part = np.divmod(target, CLASSES)
-    out = log_softmax(h @ weights[2] + weights[3])[np.arange(len(target)), kind]
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in np.unique(kind):
-        at = order[edges[c]:edges[c + 1]]
-        out[at] += log_softmax(h[at] @ weights[4][c] + weights[5][c])[np.arange(len(at)), part[at]]
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``z``, shifted if need be, and its exponentials."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z = z - z.max(axis=1, keepdims=True)
+    return z, np.exp(z)
+
+
+def _by_class(kind: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    edges = np.searchsorted(kind[order], np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        yield c, order[edges[c]:edges[c + 1]]
+
+
+def log_probabilities(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of each target given what is around its place."""
+    classes = len(weights[3])
+    h = hidden(weights, line, at)
+    kind, part = np.divmod(target, classes)
+    z, e = _exponents(h @ weights[2] + weights[3])
+    out = z[np.arange(len(target)), kind] - np.log(e.sum(1))
+    for c, own in _by_class(kind, classes):
+        z, e = _exponents(h[own] @ weights[4][c] + weights[5][c])
+        out[own] += z[np.arange(len(own)), part[own]] - np.log(e.sum(1))
     return out
 
 
-def descend(weights: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One gradient step on the mean negative log probability, in place."""
-    n = len(target)
-    h = hidden(weights, around)
-    kind, part = np.divmod(target, CLASSES)
-    slope = np.exp(log_softmax(h @ weights[2] + weights[3]))
+def add_gradients(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, target: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Add to ``sums`` the gradient of the summed negative log probability of the targets."""
+    classes, n = len(weights[3]), len(target)
+    h = hidden(weights, line, at)
+    kind, part = np.divmod(target, classes)
+    slope = _exponents(h @ weights[2] + weights[3])[1]
+    slope /= slope.sum(1, keepdims=True)
     slope[np.arange(n), kind] -= 1
     back = slope @ weights[2].T
-    step = rate / np.sqrt(n)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in np.unique(kind):
-        at = order[edges[c]:edges[c + 1]]
-        inner = np.exp(log_softmax(h[at] @ weights[4][c] + weights[5][c]))
-        inner[np.arange(len(at)), part[at]] -= 1
-        back[at] += inner @ weights[4][c].T
-        weights[4][c] -= step * (h[at].T @ inner)
-        weights[5][c] -= step * inner.sum(0)
-    weights[2] -= step * (h.T @ slope)
-    weights[3] -= step * slope.sum(0)
-    back = np.clip(back * (1 - h * h), -1, 1)
-    weights[1] -= step * back.sum(0)
-    for k in range(len(OFFSETS)):
-        np.subtract.at(weights[0][k], around[:, k], step * back)
-
-
-def token_rows(ids: dict, raws: list[bytes]) -> list[np.ndarray]:
-    return [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in map(split_words, raws)]
-
-
-def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    sums[2] += h.T @ slope
+    sums[3] += slope.sum(0)
+    for c, own in _by_class(kind, classes):
+        layer = h[own]
+        inner = _exponents(layer @ weights[4][c] + weights[5][c])[1]
+        inner /= inner.sum(1, keepdims=True)
+        inner[np.arange(len(own)), part[own]] -= 1
+        back[own] += inner @ weights[4][c].T
+        sums[4][c] += layer.T @ inner
+        sums[5][c] += inner.sum(0)
+    back *= h > 0
+    sums[1] += back.sum(0)
+    # What a token of the line gets from the places that it is beside, summed by token.
+    shifts = _shifts(weights[0].shape[1])
+    side, m = shifts[-1], len(line)
+    spread = np.zeros((m + 2 * side, back.shape[1]), back.dtype)
+    spread[at + side] = back
+    given = np.stack([spread[side - d:side - d + m] for d in shifts], axis=1).reshape(m, -1)
+    order = np.argsort(line.astype(np.uint16) if len(weights[0]) < 1 << 16 else line, kind="stable")
+    token = line[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sums[0][token[first]] += np.add.reduceat(given[order], first, axis=0).reshape(len(first), *weights[0].shape[1:])
+
+
+class Adam:
+    """Steps along summed gradients, each weight by its own running size."""
+
+    def __init__(self, size: int, rate: float):
+        self.mean, self.square = np.zeros(size), np.zeros(size)
+        self.rate, self.steps = rate, 0
+
+    def step(self, vector: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        self.steps += 1
+        self.mean += 0.3 * (gradient - self.mean)
+        self.square += 0.05 * (gradient * gradient - self.square)
+        mean = self.mean / (1 - 0.7 ** self.steps)
+        square = self.square / (1 - 0.95 ** self.steps)
+        return vector - self.rate * mean / (np.sqrt(square) + 1e-8)
+
+
+# --------------------------------------------------------- passes over blocks
+
+def _texts(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of each block's texts in a row, and the texts' sizes."""
+    for words, numbers, sizes in zip(batch.column("words"), batch.column("numbers").to_pylist(), batch.column("sizes")):
+        tokens = vocabulary.tokens(words.values.to_numpy(zero_copy_only=False).astype(np.int64))
+        yield tokens[np.frombuffer(numbers, np.uint32)], sizes.values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Vectors ``v`` added up by ``keys`` and ``slice``; a task streams its rows and holds sums of slices only."""
     schema = "lane int, slice int, n double, v array<float>"
 
@@ -195,13 +318,9 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
         sums: dict[tuple, list] = {}
         for batch in batches:
             for lane, piece, n, v in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                vector = v.values.to_numpy(zero_copy_only=False)
-                if (lane, piece) in sums:
-                    held = sums[lane, piece]
-                    held[0] += n
-                    held[1] = held[1] + vector
-                else:
-                    sums[lane, piece] = [n, vector.astype(np.float64)]
+                held = sums.setdefault((lane, piece), [0.0, 0.0])
+                held[0] += n
+                held[1] = held[1] + v.values.to_numpy(zero_copy_only=False).astype(np.float64)
         for (lane, piece), (n, v) in sums.items():
             yield pa.RecordBatch.from_arrays([
                 pa.array([lane], pa.int32()), pa.array([piece], pa.int32()), pa.array([n]),
@@ -210,50 +329,34 @@ def summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.repartition(*keys).mapInArrow(run, schema)
 
 
-def train_round(docs: DataFrame, text: str, vocabulary: Vocabulary, weights: list[np.ndarray], offset: int,
-                stride: int, rate: float, lanes: int = 16, batch_places: int = 512) -> list[np.ndarray]:
-    """Average of the weights that every task reaches from ``weights`` over its documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
-    size = sum(int(np.prod(s)) for s in SHAPES)
+def part_gradient(blocks: DataFrame, part: int, vocabulary: Vocabulary, weights: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Gradient over all places of one part of the corpus, and their number."""
+    shape = vocabulary.shape
+    shared = blocks.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
     def run(batches):
-        vocab, start = shared.value
-        own, ids, seen, lane = [w.copy() for w in start], vocab.ids(), 0, None
-        around, target = [], []
+        vocab, at_weights = shared.value
+        sums, places, lane = [np.zeros(s, np.float32) for s in shape.arrays], 0, 0
         for batch in batches:
-            raws = as_bytes(batch.column(0))
-            lane = zlib.crc32(raws[0]) % lanes if raws and lane is None else lane
-            for tokens in token_rows(ids, raws):
-                at = np.arange(offset, len(tokens), stride)
-                around.append(contexts(tokens)[at])
-                target.append(tokens[at])
-            if sum(map(len, target)) >= 16 * batch_places:
-                seen += _steps(own, around, target, rate / np.sqrt(1 + seen / 500_000), batch_places)
-                around, target = [], []
-        if target:
-            seen += _steps(own, around, target, rate / np.sqrt(1 + seen / 500_000), batch_places)
-        if seen:
-            vector = flat(own).astype(np.float64) * seen
-            for i in range(0, size, SLICE):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lane], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([float(seen)]),
-                    pa.array([vector[i:i + SLICE].astype(np.float32)], pa.list_(pa.float32()))], ["lane", "slice", "n", "v"])
-
-    parts = small_batches(docs).select(F.col(text).cast("binary")).mapInArrow(run, "lane int, slice int, n double, v array<float>")
-    lanes_summed = summed(parts, ["lane", "slice"]).withColumn("lane", F.lit(0))
-    found = sorted(summed(lanes_summed, ["slice"]).collect(), key=lambda r: r["slice"])
+            for tokens, sizes in _texts(batch, vocab):
+                for line, at, target in chunks(tokens, sizes, shape):
+                    add_gradients(at_weights, line, at, target, sums)
+                places += len(tokens)
+                lane = places % LANES
+        vector = flat(sums)
+        for i in range(0, shape.size if places else 0, SLICE):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lane], pa.int32()), pa.array([i // SLICE], pa.int32()), pa.array([float(places)]),
+                pa.array([vector[i:i + SLICE]], pa.list_(pa.float32()))], ["lane", "slice", "n", "v"])
+
+    chosen = blocks.where(F.col("part") == part).select("words", "numbers", "sizes")
+    sums = chosen.mapInArrow(run, "lane int, slice int, n double, v array<float>")
+    by_lane = _summed(sums, ["lane", "slice"]).withColumn("lane", F.lit(0))
+    found = sorted(_summed(by_lane, ["slice"]).collect(), key=lambda r: r["slice"])
+    shared.unpersist()
     if not found:
-        return weights
-    return shaped(np.concatenate([np.array(r["v"], np.float64) / r["n"] for r in found]))
-
-
-def _steps(own: list[np.ndarray], around: list, target: list, rate: float, batch_places: int) -> int:
-    x, y = np.concatenate(around), np.concatenate(target)
-    order = np.random.default_rng(len(y)).permutation(len(y))
-    for i in range(0, len(y), batch_places):
-        at = order[i:i + batch_places]
-        descend(own, x[at], y[at], rate)
-    return len(y)
+        return np.zeros(shape.size), 0.0
+    return np.concatenate([np.array(r["v"], np.float64) for r in found]), found[0]["n"]
 
 
 @dataclass
@@ -262,37 +365,51 @@ class WindowModel:
     weights: list[np.ndarray]
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> WindowModel:
+def fit_blocks(blocks: DataFrame, shape: Shape = Shape(), parts: int = PARTS, rate: float = RATE) -> WindowModel:
+    """A window network over all stored texts."""
+    vocabulary = learn_vocabulary(blocks, shape)
+    vector, adam = flat(first_weights(vocabulary)).astype(np.float64), Adam(shape.size, rate)
+    for part in range(parts):
+        gradient, places = part_gradient(blocks, part, vocabulary, shaped(vector, shape))
+        if places:
+            vector = adam.step(vector, gradient / places)
+    return WindowModel(vocabulary, shaped(vector, shape))
+
+
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shape: Shape = Shape(), parts: int = PARTS,
+        rate: float = RATE) -> WindowModel:
     """A window network over all documents."""
-    vocabulary = learn_vocabulary(docs, text)
-    weights = first_weights(vocabulary)
-    for r in range(rounds):
-        weights = train_round(docs, text, vocabulary, weights, r * (stride // max(rounds, 1)), stride, rate)
-    return WindowModel(vocabulary, weights)
+    return fit_blocks(text_blocks(docs, doc_id, text, parts), shape, parts, rate)
+
+
+def score_blocks(blocks: DataFrame, model: WindowModel) -> DataFrame:
+    """Per document of stored texts ``doc_id, n_tokens, log_prob, mean_log_prob``."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([
+        T.StructField("doc_id", blocks.schema["names"].dataType.elementType), T.StructField("n_tokens", T.LongType()),
+        T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
+
+    def run(batches):
+        fitted = shared.value
+        for batch in batches:
+            for names, (tokens, sizes) in zip(batch.column("names"), _texts(batch, fitted.vocabulary)):
+                each = np.concatenate([np.zeros(0), *(
+                    log_probabilities(fitted.weights, *c) for c in chunks(tokens, sizes, fitted.vocabulary.shape))])
+                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(float)
+                mean = np.divide(total, sizes, out=np.full(len(sizes), np.nan), where=sizes > 0)
+                yield pa.RecordBatch.from_arrays([
+                    names.values, pa.array(sizes), pa.array(total), pa.array(mean, mask=sizes == 0)], schema.names)
+
+    return blocks.select("words", "numbers", "sizes", "names").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: WindowModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``doc_id, n_tokens, log_prob, mean_log_prob``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
-                           T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
+    return score_blocks(text_blocks(docs, doc_id, text, 1), model)
 
-    def make():
-        fitted = shared.value
-        ids = fitted.vocabulary.ids()
-
-        def run(batch):
-            rows = token_rows(ids, as_bytes(batch.column(1)))
-            sizes = np.array([len(r) for r in rows], np.int64)
-            around = np.concatenate([contexts(r) for r in rows])
-            target = np.concatenate(rows)
-            each = np.concatenate([np.zeros(0), *(log_probabilities(fitted.weights, around[i:i + PLACES], target[i:i + PLACES])
-                                                 for i in range(0, len(target), PLACES))])
-            total = np.bincount(np.repeat(np.arange(len(rows)), sizes), each, len(rows)).astype(float)
-            mean = np.divide(total, sizes, out=np.full(len(rows), np.nan), where=sizes > 0)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes), pa.array(total), pa.array(mean, mask=sizes == 0)], schema.names)
-        return run
 
-    return map_rows(source, make, schema)
+def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), parts: int = PARTS,
+                  rate: float = RATE) -> DataFrame:
+    """Every document under a network of all documents; texts are split once for both."""
+    blocks = text_blocks(docs, doc_id, text, parts)
+    return score_blocks(blocks, fit_blocks(blocks, shape, parts, rate))

@@ -38,8 +38,7 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_pseudo_likelihood(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    return pseudo_likelihood.fit_and_score(table(spark, sf, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:

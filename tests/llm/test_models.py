@@ -82,37 +82,92 @@ def test_prior_is_estimated_from_positives_and_mixture():
     assert np.mean(net.logit(good[2400:]) > 0) > 0.9 and np.mean(net.logit(bad[600:]) > 0) < 0.1
 
 
-def test_network_steps_lower_the_loss():
+SMALL = pseudo_likelihood.Shape(classes=4, buckets=3, hidden=5, side=2)
+
+
+def small_network():
     random = np.random.default_rng(2)
-    vocabulary = pseudo_likelihood.Vocabulary(list(range(10)), random.integers(0, 100, pseudo_likelihood.VOCABULARY).astype(float))
-    weights = pseudo_likelihood.first_weights(vocabulary)
-    tokens = np.tile(np.array([5, 700, 81, 3000, 9]), 200)
-    around = pseudo_likelihood.contexts(tokens)
-    before = pseudo_likelihood.log_probabilities(weights, around, tokens).mean()
-    for _ in range(20):
-        pseudo_likelihood.descend(weights, around, tokens, 0.1)
-    assert pseudo_likelihood.log_probabilities(weights, around, tokens).mean() > before + 1
-    again = pseudo_likelihood.shaped(pseudo_likelihood.flat(weights))
-    assert all((a == b).all() for a, b in zip(again, weights))
+    vocabulary = pseudo_likelihood.Vocabulary(SMALL, np.array([40, -7, 3]), random.integers(1, 100, SMALL.tokens).astype(float))
+    return [w.astype(np.float64) + random.normal(0, 0.3, w.shape) for w in pseudo_likelihood.first_weights(vocabulary)]
+
+
+def plain_log_probability(weights, texts):
+    """Every place of every text by loops, from the definition."""
+    total, side = 0.0, SMALL.side
+    for text in texts:
+        for i, target in enumerate(text):
+            layer = weights[1].copy()
+            for k, d in enumerate(d for d in range(-side, side + 1) if d):
+                layer += weights[0][text[i + d] if 0 <= i + d < len(text) else SMALL.tokens, k]
+            layer = np.maximum(layer, 0)
+            kind, part = divmod(int(target), SMALL.classes)
+            for scores, at in ((layer @ weights[2] + weights[3], kind), (layer @ weights[4][kind] + weights[5][kind], part)):
+                total += scores[at] - np.log(sum(np.exp(x) for x in scores))
+    return total
+
+
+def lines(texts):
+    return pseudo_likelihood.chunks(np.concatenate(texts), np.array([len(t) for t in texts]), SMALL)
+
+
+def test_scores_equal_plain_loops(monkeypatch):
+    random, weights = np.random.default_rng(4), small_network()
+    texts = [random.integers(0, SMALL.tokens, n) for n in (1, 2, 0, 7, 30, 3)]
+    want = plain_log_probability(weights, texts)
+    for places in (1 << 14, 4):
+        monkeypatch.setattr(pseudo_likelihood, "PLACES", places)
+        got = sum(pseudo_likelihood.log_probabilities(weights, *c).sum() for c in lines(texts))
+        assert got == pytest.approx(want)
+    big = [w * 400 for w in weights]
+    assert all(np.isfinite(pseudo_likelihood.log_probabilities(big, *c)).all() for c in lines(texts))
+
+
+def test_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "PLACES", 9)
+    random, weights = np.random.default_rng(6), small_network()
+    texts = [random.integers(0, SMALL.tokens, n) for n in (12, 1, 9)]
+    sums = [np.zeros_like(w) for w in weights]
+    for c in lines(texts):
+        pseudo_likelihood.add_gradients(weights, *c, sums)
+    for w, g in zip(weights, sums):
+        for _ in range(12):
+            at = tuple(random.integers(0, n) for n in w.shape)
+            before, each = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = before + step
+                each.append(-plain_log_probability(weights, texts))
+            w[at] = before
+            assert g[at] == pytest.approx((each[0] - each[1]) / 2e-5, abs=1e-4)
 
 
 def test_probabilities_sum_to_one():
-    weights = pseudo_likelihood.first_weights(pseudo_likelihood.Vocabulary([1], np.ones(pseudo_likelihood.VOCABULARY)))
-    around = np.full((pseudo_likelihood.VOCABULARY, len(pseudo_likelihood.OFFSETS)), 3)
-    each = pseudo_likelihood.log_probabilities(weights, around, np.arange(pseudo_likelihood.VOCABULARY))
+    shape = pseudo_likelihood.Shape()
+    weights = pseudo_likelihood.first_weights(pseudo_likelihood.Vocabulary(shape, np.array([1]), np.ones(shape.tokens)))
+    line = np.full(shape.tokens + 2 * shape.side, 3)
+    each = pseudo_likelihood.log_probabilities(weights, line, np.arange(shape.tokens) + shape.side, np.arange(shape.tokens))
     assert abs(np.exp(each.astype(float)).sum() - 1) < 1e-3
+    again = pseudo_likelihood.shaped(pseudo_likelihood.flat(weights), shape)
+    assert all((a == b).all() for a, b in zip(again, weights))
 
 
-def test_pseudo_likelihood_beats_frequencies(tables, odd):
+def test_pseudo_likelihood_beats_frequencies_alike_at_any_number_of_tasks(tables, odd):
     docs, _ = tables
-    model = pseudo_likelihood.fit(docs)
-    start = pseudo_likelihood.WindowModel(model.vocabulary, pseudo_likelihood.first_weights(model.vocabulary))
     mean = lambda m: pseudo_likelihood.score(docs, m).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]
-    assert mean(model) > mean(start) + 0.03
+    gains = []
+    for n in (1, 16):
+        model = pseudo_likelihood.fit(docs.repartition(n))
+        start = pseudo_likelihood.WindowModel(model.vocabulary, pseudo_likelihood.first_weights(model.vocabulary))
+        gains.append(mean(model) - mean(start))
+    assert gains[0] > 0.4 and gains[1] == pytest.approx(gains[0], rel=0.02)
     counts = docs.selectExpr("size(split(trim(text), '[ \\t-\\r]+')) n").selectExpr("sum(n)").first()[0]
-    assert model.vocabulary.counts.sum() == pytest.approx(counts, rel=0.01)
+    assert model.vocabulary.counts.sum() == pytest.approx(counts, rel=0.01) and model.vocabulary.counts.min() >= 0
+    small = pseudo_likelihood.fit(docs, shape=pseudo_likelihood.Shape(classes=8, buckets=16, hidden=4, side=1), parts=3)
+    assert small.weights[0].shape == (65, 2, 4) and len(small.vocabulary.words) == 48
     rows = {r["doc_id"]: r for r in pseudo_likelihood.score(odd, model).collect()}
     assert rows[1]["n_tokens"] == 0 and rows[1]["log_prob"] == 0 and rows[1]["mean_log_prob"] is None
     assert rows[7]["n_tokens"] == 80_000 and rows[7]["log_prob"] < 0
+    both = pseudo_likelihood.fit_and_score(odd).collect()
+    assert len(both) == odd.count() and sorted(r["n_tokens"] for r in both) == sorted(
+        r["n_tokens"] for r in pseudo_likelihood.score(odd, model).collect())
     empty = odd.where("false")
-    assert pseudo_likelihood.score(empty, pseudo_likelihood.fit(empty)).count() == 0
+    assert pseudo_likelihood.score(empty, pseudo_likelihood.fit(empty)).count() == 0 == pseudo_likelihood.fit_and_score(empty).count()
