@@ -128,8 +128,14 @@ def _shared_spec(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _refuse(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"rename this column first: {name}")
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: str | None = None) -> DataFrame:
-    """``docs`` with the token ids of ``text`` as an added array column ``ids``."""
+    """``docs`` with the token ids of ``text`` as an added array column ``ids``; a taken name is refused."""
+    _refuse(docs, ids)
     spec, kinds = _shared_spec(docs, path), T.StructType([*docs.schema.fields, T.StructField(
         ids, T.ArrayType(T.IntegerType(), False), False)])
     place = docs.columns.index(text)
@@ -147,7 +153,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", path: st
 
 
 def decode(coded: DataFrame, ids: str = "token_ids", text: str = "decoded", path: str | None = None) -> DataFrame:
-    """``coded`` with the text of the id array ``ids`` (null: empty) as an added column ``text``."""
+    """``coded`` with the text of the id array ``ids`` (null: empty) as an added column ``text``; a taken name is refused."""
+    _refuse(coded, text)
     spec, kinds = _shared_spec(coded, path), T.StructType([*coded.schema.fields, T.StructField(
         text, T.StringType(), False)])
     place = coded.columns.index(ids)

@@ -5,19 +5,23 @@ window is ``window`` consecutive words of an item, or the whole item if it has f
 A text is scanned once by the automaton of all windows, and hits are mapped back to words
 and to byte offsets of the original text.
 
-The automaton goes to every task, so its size is bounded: items are counted first, and a
-benchmark of more than ``block_bytes`` is dealt over several automata of about that size, each
-scanning all documents; hits of one document are then united.
+The automaton goes to every task, so its size is bounded: a benchmark of more than ``block_bytes``
+is dealt over several automata of about that size. Documents pass one after the other, each row carrying
+the runs of words hit so far, so rows never have to be told apart and results are those of a
+single automaton. Each further automaton costs one more pass over the stored texts; the driver holds one
+block of items at a time.
 
 Edge cases: null and empty texts have no words and no hits; items without words never match;
-equal items all count; repeated rows are judged each on their own; an empty benchmark leaves
-every document clean.
+equal items all count; repeated rows are judged each on their own, whatever their ids, which may be
+null; an empty benchmark leaves every document clean. Columns beyond the named ones are not read,
+and :func:`clean` hands them on as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefloom.llm.batches import as_bytes, map_rows
+from prefloom.llm.tables import stored
 
 WINDOW = 10
 BLOCK_BYTES = 16_000_000
@@ -72,101 +77,77 @@ class Scanner:
             found.update(owners)
         return hit, found
 
-    def spans(self, raw: bytes) -> list[tuple[int, int]]:
-        """Byte ranges of the original text from the first to the last word of each run of hits."""
-        normal = np.frombuffer(raw.translate(NORMAL), np.uint8) != 32
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], normal, [False]]).astype(np.int8)))
-        hit, _ = self.hits(words_of(raw))
-        runs = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        return [(int(edges[2 * a]), int(edges[2 * b - 1])) for a, b in zip(runs[::2], runs[1::2])]
 
+def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First and next-to-last place of each stretch of hits."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple]]:
-    """The items, in blocks of about ``block_bytes``; each is read by itself."""
+
+def byte_ranges(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte ranges of the original text from the first to the last word of each run."""
+    normal = np.frombuffer(raw.translate(NORMAL), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], normal, [False]]).astype(np.int8)))
+    return [(int(edges[2 * a]), int(edges[2 * b - 1])) for a, b in runs]
+
+
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
+    """The items in blocks of about ``block_bytes``, each read when it is asked for."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     slot = F.pmod(F.xxhash64(item, text), F.lit(n))
-    return [[(r[0], r[1]) for r in benchmark.where(slot == k).select(item, text).toLocalIterator()]
-            for k in range(n)]
+    for k in range(n):
+        yield [(r[0], r[1]) for r in benchmark.where(slot == k).select(item, text).toLocalIterator()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id",
          item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its words, words hit, items that occur (as sorted strings) and hit spans.
 
-    ``spans`` are byte ranges of the original text. Columns: ``doc_id, n_words, n_hit,
-    item_ids, spans``. ``doc_id`` must tell documents apart only when the benchmark takes more
-    than one block.
+    ``spans`` are byte ranges of the original text. Columns: ``doc_id, n_words, n_hit, item_ids, spans``.
     """
-    schema = T.StructType([
-        T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
-
-    def scanned(items):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def make():
-            scanner = Scanner(shared.value, window)
-
-            def run(batch):
-                n_words, n_hit, names, spans = [], [], [], []
-                for raw in as_bytes(batch.column(1)):
-                    words = words_of(raw)
-                    hit, found = scanner.hits(words)
-                    n_words.append(len(words))
-                    n_hit.append(int(hit.sum()))
-                    names.append(sorted({str(scanner.names[k]) for k in found}))
-                    spans.append(scanner.spans(raw) if found else [])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                    pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-                    schema.names)
-            return run
-
-        return map_rows(source, make, schema)
-
-    parts = [scanned(items) for items in benchmark_blocks(benchmark, item, item_text, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    return _united(parts, source)
-
-
-def _united(parts: list[DataFrame], source: DataFrame) -> DataFrame:
-    """Hits of the blocks' automata united by document; word counts taken over the joint spans."""
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
-    merged = rows.where("n_hit > 0").groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    both = source.join(merged, "doc_id", "left")
-    schema = parts[0].schema
+    ranges = T.ArrayType(T.ArrayType(T.LongType()))
+    result = [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()),
+              T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", ranges)]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw"),
+                       F.lit(None).cast("array<string>").alias("item_ids"), F.lit(None).cast(ranges).alias("runs"))
+    first = True
+    for items in benchmark_blocks(benchmark, item, item_text, block_bytes):
+        if not first:
+            rows = stored(rows, "scanned")
+        rows = _scanned(rows.select("doc_id", "raw", "item_ids", "runs"), items, window,
+                        T.StructType([*result, T.StructField("raw", T.BinaryType()), T.StructField("runs", ranges)]))
+        first = False
+    return rows.select(*[f.name for f in result])
+
+
+def _scanned(rows: DataFrame, items: list[tuple], window: int, schema: T.StructType) -> DataFrame:
+    """``rows`` after one more automaton: its hits joined to those that the rows bring along."""
+    shared = rows.sparkSession.sparkContext.broadcast(items)
 
     def make():
+        scanner = Scanner(shared.value, window)
+
         def run(batch):
-            n_words, n_hit, all_spans = [], [], []
-            for raw, spans in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist()):
-                normal = np.frombuffer(raw.translate(NORMAL), np.uint8) != 32
-                starts = np.flatnonzero(normal & ~np.concatenate([[False], normal[:-1]])) if raw else np.zeros(0, int)
-                hit = np.zeros(len(raw) + 1, bool)
-                for a, b in spans or []:
+            n_words, n_hit, names, spans, all_runs = [], [], [], [], []
+            for raw, before, runs in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words = words_of(raw)
+                hit, found = scanner.hits(words)
+                for a, b in runs or ():
                     hit[a:b] = True
-                on = hit[starts]
-                ends = np.flatnonzero(normal & ~np.concatenate([normal[1:], [False]])) if raw else starts
-                runs = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-                n_words.append(len(starts))
-                n_hit.append(int(on.sum()))
-                all_spans.append([(int(starts[a]), int(ends[b - 1]) + 1) for a, b in zip(runs[::2], runs[1::2])])
-            names = [v or [] for v in batch.column(2).to_pylist()]
+                runs = runs_of(hit) if found or runs else []
+                n_words.append(len(words))
+                n_hit.append(int(hit.sum()))
+                names.append(sorted({str(scanner.names[k]) for k in found}.union(before or ())))
+                spans.append(byte_ranges(raw, runs) if runs else [])
+                all_runs.append(runs)
+            pairs = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                pa.array(names, pa.list_(pa.string())), pa.array(all_spans, pa.list_(pa.list_(pa.int64())))],
-                schema.names)
+                batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())),
+                pa.array(spans, pairs), batch.column(1), pa.array(all_runs, pairs)], schema.names)
         return run
 
-    return map_rows(both.select("doc_id", "raw", "item_ids", "spans"), make, schema)
+    return map_rows(rows, make, schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -178,8 +159,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold any window of the benchmark."""
-    block_bytes = options.pop("block_bytes", BLOCK_BYTES)
-    window = options.pop("window", WINDOW)
+    block_bytes = options.get("block_bytes", BLOCK_BYTES)
+    window = options.get("window", WINDOW)
     place = docs.columns.index(text)
     kept = docs
     for items in benchmark_blocks(benchmark, options.get("item", "item_id"),

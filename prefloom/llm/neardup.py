@@ -20,9 +20,11 @@ So every pair that shares a bucket is confirmed or refuted, or known to be conne
 pairs inside a component are never listed. Nothing is capped.
 
 Edge cases: null texts and texts without words have no shingles, link with nothing and are
-kept; a row with a null id does the same; a text shorter than the shingle is one shingle. Ids
-are taken to be unique: rows that share an id count as one document, of which one row's text is
-used to confirm links. Empty tables give empty tables.
+kept; a row with a null id does the same; a text shorter than the shingle is one shingle. Rows
+are told apart by their sets, so rows that share an id and have different texts are judged by their own
+texts; equal rows are copies of each other. :func:`drop_near_duplicates` leaves one row of each
+component and loses no other. Empty tables give empty tables; columns beyond the named ones are not
+read, and handed on whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefloom.llm.batches import as_bytes, map_rows
+from prefloom.llm.batches import as_bytes, fresh_name, map_rows
 from prefloom.llm.tables import beside, components, stored
 from prefloom.llm.words import WordHashes, finish, shingles, split_words
 
@@ -57,10 +59,10 @@ def min_hashes(values: np.ndarray, xors: np.ndarray, factors: np.ndarray) -> np.
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, size: int, collections: int, per: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, parts``: set size, digest and hash collections."""
+    """``doc_id, text_hash, n_shingles, set_a, set_b, parts``: set size, digest and hash collections."""
     schema = T.StructType([
-        T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_shingles", T.LongType()),
-        T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
+        T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text_hash", T.LongType()),
+        T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()),
         T.StructField("parts", T.ArrayType(T.LongType()))])
 
     def make():
@@ -71,7 +73,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, collections: int,
 
         def run(batch):
             counts, firsts, seconds, parts = [], [], [], []
-            for raw in as_bytes(batch.column(1)):
+            for raw in as_bytes(batch.column(2)):
                 values = shingles(split_words(raw), hashes, size)
                 counts.append(len(values))
                 if not len(values):
@@ -88,11 +90,17 @@ def sketch(docs: DataFrame, doc_id: str, text: str, size: int, collections: int,
                     joint = finish(joint ^ low[:, k]) + np.uint64(k + 1)
                 parts.append(joint.view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()),
+                batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(firsts, pa.int64()),
                 pa.array(seconds, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], schema.names)
         return run
 
-    return map_rows(docs.select(doc_id, F.col(text).cast("binary").alias("_raw")), make, schema)
+    return map_rows(with_text_hash(docs, doc_id, text), make, schema)
+
+
+def with_text_hash(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, text_hash, raw``: a row's id and hash tell its text from others of the same id."""
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("raw"))
 
 
 def bucket_rows(classes: DataFrame, collections: int) -> DataFrame:
@@ -117,8 +125,8 @@ def close_sizes(a: str, b: str, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose full sets reach the similarity."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("raw").alias("raw_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("raw").alias("raw_b"))
+    one = texts.select(F.col("rep").alias("a"), F.col("raw").alias("raw_a"))
+    two = texts.select(F.col("rep").alias("b"), F.col("raw").alias("raw_b"))
     schema = pairs.select("a", "b").schema
 
     def make():
@@ -142,7 +150,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def own_counts(texts: DataFrame, size: int) -> DataFrame:
     """``rep, own``: how many shingles of a document no other one of ``texts`` has; absent if none."""
-    schema = T.StructType([T.StructField("rep", texts.schema["doc_id"].dataType), T.StructField("s", T.LongType())])
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("s", T.LongType())])
 
     def make():
         hashes = WordHashes()
@@ -154,7 +162,7 @@ def own_counts(texts: DataFrame, size: int) -> DataFrame:
                 [batch.column(0).take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], schema.names)
         return run
 
-    single = map_rows(texts.select("doc_id", "raw"), make, schema).groupBy("s").agg(
+    single = map_rows(texts.select("rep", "raw"), make, schema).groupBy("s").agg(
         F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).where("m = 1")
     return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
 
@@ -162,7 +170,7 @@ def own_counts(texts: DataFrame, size: int) -> DataFrame:
 def bit_sketches(texts: DataFrame, size: int) -> DataFrame:
     """``rep, b0 .. b7``: the low bits of 512 further minimum hashes, packed."""
     words = SKETCH_BITS // 64
-    schema = T.StructType([T.StructField("rep", texts.schema["doc_id"].dataType),
+    schema = T.StructType([T.StructField("rep", T.LongType()),
                            *[T.StructField(f"b{i}", T.LongType()) for i in range(words)]])
 
     def make():
@@ -178,7 +186,7 @@ def bit_sketches(texts: DataFrame, size: int) -> DataFrame:
                 [batch.column(0), *[pa.array(bits[:, i]) for i in range(words)]], schema.names)
         return run
 
-    return map_rows(texts.select("doc_id", "raw"), make, schema)
+    return map_rows(texts.select("rep", "raw"), make, schema)
 
 
 def most_differences(percent: int) -> int:
@@ -209,7 +217,7 @@ def cross_pairs(buckets: DataFrame, comp: DataFrame, classes: DataFrame, texts:
     # Buckets of two were settled when their members were held against each other.
     major = stored(major.where("k > 1 and size > 2").select("key", "major", "least"), "majors")
     held = stored(beside(act, major, ["key"], ["rep"]), "open")
-    few = stored(texts.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "open-texts")
+    few = stored(texts.join(held.select("rep").distinct(), "rep", "left_semi"), "open-texts")
     facts = bit_sketches(few, size).join(own_counts(few, size), "rep", "left").join(classes.select("rep", "parts"), "rep")
     facts = stored(facts.withColumn("own", F.coalesce("own", F.lit(0))), "facts")
     reach = lambda a, b, f: percent * (F.col(a) + F.col(b)) <= (100 + percent) * f
@@ -229,18 +237,24 @@ def cross_pairs(buckets: DataFrame, comp: DataFrame, classes: DataFrame, texts:
     return both.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
-                    percent: int = PERCENT, collections: int = COLLECTIONS, per: int = PER_COLLECTION) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id, kept``; the smallest id of a component is kept."""
-    sketches = stored(sketch(docs, doc_id, text, size, collections, per), "sketches")
+def document_classes(sketches: DataFrame) -> DataFrame:
+    """``rep, doc_id, text_hash, set_a, set_b, n, parts``: one row per different set, under a number ``rep``.
+
+    ``doc_id`` is the smallest of the class, ``text_hash`` that of its text.
+    """
     sets = sketches.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(sets.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts")), "classes")
-    buckets = stored(bucket_rows(classes, collections), "buckets")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
-    texts = stored(source.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                   .dropDuplicates(["doc_id"]), "texts")
+    classes = sets.groupBy("set_a", "set_b").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
+    # Numbers are unique, and written with the table, so they do not change later.
+    return stored(classes.select(F.monotonically_increasing_id().alias("rep"), "of.*", "set_a", "set_b", "n", "parts"), "classes")
 
+
+def class_components(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int, collections: int) -> DataFrame:
+    """``node, component`` of the classes that have a link, by their numbers."""
+    buckets = stored(bucket_rows(classes, collections), "buckets")
+    wanted = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    texts = stored(with_text_hash(docs, doc_id, text).join(wanted, ["doc_id", "text_hash"])
+                   .dropDuplicates(["rep"]).select("rep", "raw"), "texts")
     pivots = buckets.groupBy("key").agg(
         F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn"), F.count(F.lit(1)).alias("m")).where("m > 1")
     first = stored(beside(buckets, pivots.drop("m"), ["key"], ["rep"]).where(
@@ -250,21 +264,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comp = components(links)
     second = cross_pairs(buckets, comp, classes, texts, size, percent, collections).join(first, ["a", "b"], "left_anti")
     more = stored(confirmed(stored(second, "pairs"), texts, size, percent), "confirmed")
-    if more.limit(1).count():
-        comp = components(links.union(more))
-
-    of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    of_class = stored(of_class, "components")
-    linked = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"])
-    alone = sketches.where(F.col("set_a").isNull() | F.col("doc_id").isNull())
+    return components(links.union(more)) if more.limit(1).count() else comp
+
+
+def judged_classes(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, collections: int, per: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and per class ``doc_id, text_hash, set_a, set_b, component_id, chosen``.
+
+    ``component_id`` is the smallest id of the component; one class that holds it is chosen.
+    """
+    sketches = stored(sketch(docs, doc_id, text, size, collections, per), "sketches")
+    classes = document_classes(sketches)
+    comp = class_components(docs, classes, doc_id, text, size, percent, collections)
+    labelled = classes.select("rep", "doc_id", "text_hash", "set_a", "set_b").join(
+        comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = stored(labelled, "labelled")
+    first = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "rep")).alias("first"))
+    judged = beside(labelled, first, ["component"], ["rep"]).select(
+        "doc_id", "text_hash", "set_a", "set_b", F.col("first.doc_id").alias("component_id"),
+        (F.col("rep") == F.col("first.rep")).alias("chosen"))
+    return sketches, stored(judged, "components")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                    percent: int = PERCENT, collections: int = COLLECTIONS, per: int = PER_COLLECTION) -> DataFrame:
+    """Per document ``doc_id, n_shingles, component_id, kept``; the smallest id of a component is kept."""
+    sketches, judged = judged_classes(docs, doc_id, text, size, percent, collections, per)
+    in_set = F.col("set_a").isNotNull() & F.col("doc_id").isNotNull()
+    linked = sketches.where(in_set).select("doc_id", "n_shingles", "set_a", "set_b").join(
+        judged.select("set_a", "set_b", "component_id"), ["set_a", "set_b"])
+    alone = sketches.where(~in_set)
     return linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).union(
         alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component; rows with a null id stay."""
-    found = near_duplicates(docs, doc_id, text, **options)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns).union(
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                         percent: int = PERCENT, collections: int = COLLECTIONS, per: int = PER_COLLECTION) -> DataFrame:
+    """``docs`` with one row of each component; rows without words stay, of equal ones one, and all with a null id."""
+    sketches, judged = judged_classes(docs, doc_id, text, size, percent, collections, per)
+    kept = judged.where("chosen").select("doc_id", "text_hash").union(
+        sketches.where("set_a is null and doc_id is not null").select("doc_id", "text_hash").distinct())
+    h, i, k = (fresh_name(docs, name) for name in ("text_hash", "kept_id", "kept_hash"))
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
+    kept = kept.select(F.col("doc_id").alias(i), F.col("text_hash").alias(k))
+    same = (F.col(doc_id) == F.col(i)) & (F.col(h) == F.col(k))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, h]).select(*docs.columns).union(
         docs.where(F.col(doc_id).isNull()))

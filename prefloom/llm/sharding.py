@@ -78,13 +78,13 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: i
     keep = docs.columns if keep is None else keep
     if clash := {c.lower() for c in keep} & set(ADDED):
         raise ValueError(f"rename these columns first: {sorted(clash)}")
-    h, p, b = fresh_name(docs, "_h"), fresh_name(docs, "_p"), fresh_name(docs, "_b")
+    h, p, b, e = (fresh_name(docs, n) for n in ("_h", "_p", "_b", "_entry"))
     rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
                        row_hash(doc_id, text).alias(h), F.lit(None).cast("struct<depth:int,shard_bytes:bigint,shard_rows:bigint>").alias(b))
     for last, found in directory(rows.select(F.col(h).alias("h"), "n_bytes"), limit, step):
-        entry = found.select(F.col("prefix").alias(p), F.struct("depth", "shard_bytes", "shard_rows").alias("_entry"))
+        entry = found.select(F.col("prefix").alias(p), F.struct("depth", "shard_bytes", "shard_rows").alias(e))
         rows = rows.withColumn(p, F.shiftright(h, BITS - last)).join(entry, p, "left").withColumn(
-            b, F.coalesce(b, "_entry")).drop(p, "_entry")
+            b, F.coalesce(b, e)).drop(p, e)
     bits = F.substring(F.lpad(F.bin(h), BITS, "0"), F.lit(1), F.col(b)["depth"])
     return rows.select(*keep, "n_bytes", bits.alias("shard"), F.col(b)["shard_bytes"].alias("shard_bytes"),
                        F.col(b)["shard_rows"].alias("shard_rows"), (F.col(b)["shard_bytes"] <= limit).alias("fits"))

@@ -18,7 +18,7 @@ Equal segments and windows are told by 128 bits of hash. Documents are told apar
 text together, so repeated ids do no harm; rows equal in both repeat each other.
 
 Edge cases: a null text is empty; texts shorter than ``length`` lose nothing; null ids are ids
-like any other; an empty table gives an empty table. Where removal parts a character,
+like any other; an empty table gives an empty table; other columns may have any names. Where removal parts a character,
 :func:`drop_repeats` drops its remaining bytes.
 """
 
@@ -264,10 +264,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """``docs`` with repeated ranges taken out of ``text``; other columns as they are."""
     src = source(docs, doc_id, text)
     spans = repeated_spans(src, length, **options)
-    row, name = fresh_name(docs, "_row"), fresh_name(docs, "_spans")
+    row, name, i, r = (fresh_name(docs, n) for n in ("_row", "_spans", "_i", "_r"))
     keyed = docs.withColumn(row, F.xxhash64(doc_id, F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
-    found = spans.select(F.col("doc_id").alias("_i"), F.col("row").alias("_r"), F.col("spans").alias(name))
-    joined = keyed.join(found, keyed[doc_id].eqNullSafe(found["_i"]) & (keyed[row] == found["_r"]), "left").select(
+    found = spans.select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("spans").alias(name))
+    joined = keyed.join(found, F.col(doc_id).eqNullSafe(F.col(i)) & (F.col(row) == F.col(r)), "left").select(
         *docs.columns, name)
     names = docs.columns
     place = names.index(text)

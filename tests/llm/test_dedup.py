@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from prefloom.llm import neardup, suffixes, tables
+from prefloom.llm import neardup, queries, suffixes, tables
 from prefloom.llm.bwt import repeated
 
+SF = "/root/testdata/sf0.001"
+
 
 def components_of(rows, size, percent=80):
     """Smallest reachable id by comparing all pairs of texts."""
@@ -66,6 +68,24 @@ def test_null_ids_and_repeated_rows_stay_defined(odd):
     assert ids[4] == 1 and 5 not in ids and ids[None] == 1 and ids[1] == 1
 
 
+def test_rows_with_one_id_are_judged_by_their_own_texts(make):
+    a, b, c = variants(5, 1)[0], variants(6, 1)[0], variants(7, 1)[0]
+    docs = make([(1, a), (1, b), (2, b + " tail"), (2, c), (2, c), (3, a + " end"), (4, ""), (4, None), (4, " "), (None, a)])
+    rows = Counter((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert rows == {(1, 1): 2, (2, 1): 1, (2, 2): 2, (3, 1): 1, (4, 4): 3, (None, None): 1}
+    left = Counter((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect())
+    assert (left[1, a], left[1, b], left[2, c], left[None, a]) == (1, 1, 1, 1) and sum(left.values()) == 6
+    clash = docs.withColumnsRenamed({"raw": "text_hash", "row": "kept_id", "n": "kept_hash"})
+    assert neardup.drop_near_duplicates(clash).columns == clash.columns and neardup.drop_near_duplicates(clash).count() == 6
+
+
+def test_registered_queries_match_brute_force(spark, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in queries.op3_minhash(spark, SF).collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in components_of(rows, 4).items()}
+    assert sorted(tuple(r) for r in queries.op7_suffixes(spark, SF).collect()) == removal(rows)
+
+
 def test_empty_table_has_no_groups(make):
     none = make([(1, "a")]).where("false")
     assert neardup.near_duplicates(none).count() == 0
@@ -135,5 +155,7 @@ def test_cleaned_texts_keep_columns_and_whole_characters(make):
     rows = [(1, "a" + passage + "b"), (2, "c" + passage + "d"), (3, None), (3, "other"), (None, "left alone")]
     kept = suffixes.drop_repeats(make(rows))
     assert kept.columns == make(rows).columns
+    odd = make(rows).withColumnsRenamed({"raw": "_i", "row": "_r", "n": "_row", "_h": "_spans"})
+    assert suffixes.drop_repeats(odd).columns == odd.columns and suffixes.drop_repeats(odd).count() == len(rows)
     assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(
         {(1, "ab"): 1, (2, "cd"): 1, (3, None): 1, (3, "other"): 1, (None, "left alone"): 1})

@@ -56,6 +56,9 @@ def test_rows_that_cannot_be_split(odd, make):
     assert sharding.assign(docs.where("false")).count() == 0
     whole = sharding.assign(odd, limit=10**9)
     assert whole.columns == [*odd.columns, *sharding.ADDED] and {r["shard"] for r in whole.collect()} == {""}
+    named = odd.withColumnsRenamed({"raw": "_entry", "row": "_b", "n": "prefix"})
+    assert sharding.assign(named, limit=1000).columns == [*named.columns, *sharding.ADDED]
+    assert sharding.assign(named, limit=1000).count() == odd.count()
     with pytest.raises(ValueError, match="shard"):
         sharding.assign(odd.withColumnRenamed("score", "shard"))
 

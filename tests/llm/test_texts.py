@@ -4,9 +4,12 @@ import hashlib
 import re
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from prefloom.llm import bpe, decontaminate, quality_rules
+from prefloom.llm import bpe, decontaminate, quality_rules, queries
+
+SF = "/root/testdata/sf0.001"
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -61,6 +64,11 @@ def test_codes_come_back(odd):
     assert coded.columns == [*odd.columns, "ids"]
     back = bpe.decode(coded, ids="ids", text="again").collect()
     assert all(r["again"] == (r["text"] or "") for r in back)
+    for taken in ("raw", "Score"):
+        with pytest.raises(ValueError, match="rename"):
+            bpe.encode(odd, ids=taken)
+        with pytest.raises(ValueError, match="rename"):
+            bpe.decode(coded, ids="ids", text=taken)
 
 
 def test_merges_random_unicode():
@@ -76,11 +84,14 @@ def test_merges_random_unicode():
         assert codec.encode(text) == ids and codec.decode(ids) == text
 
 
+def plain_words(text):
+    return PLAIN.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
 def expected_hits(text, items, size=10):
-    low = lambda s: PLAIN.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))
-    words, hit, names = low(text), set(), set()
+    words, hit, names = plain_words(text), set(), set()
     for name, item in items:
-        parts = low(item)
+        parts = plain_words(item)
         k = min(size, len(parts))
         for i in range(len(parts) - k + 1 if k else 0):
             for j in range(len(words) - k + 1):
@@ -97,22 +108,46 @@ def test_decontamination_matches_brute_force(spark, make):
     docs = make([
         (1, "x ONE two-three four five six seven eight nine ten y eleven"), (2, "a short, item short item"), (3, None), (4, ""),
         (5, "two three four five six seven eight nine ten eleven twelve one"), (6, "shorts item"), (7, "Ünïcode ß token ünïcode ß token"),
-        (2, "a short, item short item")])
-    want = sorted((r["doc_id"], *expected_hits(r["text"], items)) for r in docs.collect())
-    for block_bytes in (10_000, 30):
+        (2, "a short, item short item"), (2, "clean under the same id"), (None, "short item by nobody"), (None, "clean"),
+        (None, "one two three four five six seven eight nine ten eleven twelve, and a short item")])
+    key = lambda r: (r["doc_id"] or -1, *r[1:])
+    want = sorted((r["doc_id"] or -1, *expected_hits(r["text"], items)) for r in docs.collect())
+    whole = sorted(map(key, decontaminate.scan(docs, benchmark).collect()))
+    for block_bytes in (10_000, 60, 30):
         scanned = decontaminate.scan(docs, benchmark, block_bytes=block_bytes)
-        if block_bytes == 30:
-            scanned = scanned.dropDuplicates(["doc_id"])
-            want = sorted(set(want))
-        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in scanned.collect())
-        assert got == want
+        got = sorted((r["doc_id"] or -1, r["n_words"], r["n_hit"], ",".join(r["item_ids"])) for r in scanned.collect())
+        assert got == want and sorted(map(key, scanned.collect())) == whole
+        left = decontaminate.clean(docs, benchmark, block_bytes=block_bytes)
+        assert left.count() == sum(not w[3] for w in want)
     spans = {r["doc_id"]: r["spans"] for r in decontaminate.scan(docs, benchmark).collect()}
     text = "x ONE two-three four five six seven eight nine ten y eleven"
     assert [text[a:b] for a, b in spans[1]] == ["ONE two-three four five six seven eight nine ten"]
     kept = decontaminate.clean(docs, benchmark)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(w[0] for w in
-                                                                [(r["doc_id"], *expected_hits(r["text"], items)) for r in docs.collect()] if not w[2])
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(w[0] for w in want if not w[2])
+
+
+def test_registered_decontamination_matches_brute_force(spark, documents):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    where = {}
+    for name, text in items:
+        words = plain_words(text)
+        k = min(10, len(words))
+        for i in range(len(words) - k + 1 if k else 0):
+            where.setdefault(tuple(words[i:i + k]), set()).add(str(name))
+    sizes = {len(w) for w in where}
+    got = {r["doc_id"]: r for r in queries.op10_decontamination(spark, SF).collect()}
+    for r in documents.collect():
+        words, hit, names = plain_words(r["text"]), set(), set()
+        for k in sizes:
+            for i in range(len(words) - k + 1):
+                if found := where.get(tuple(words[i:i + k])):
+                    hit.update(range(i, i + k))
+                    names |= found
+        mine = got.pop(r["doc_id"])
+        assert (mine["n_words"], mine["n_hit"], mine["n_items"]) == (len(words), len(hit), len(names))
+        assert mine["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    assert not got
 
 
 def test_digest_of_no_items(make, spark):
