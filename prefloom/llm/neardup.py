@@ -245,8 +245,9 @@ def document_classes(sketches: DataFrame) -> DataFrame:
     sets = sketches.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
     classes = sets.groupBy("set_a", "set_b").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
-    # Numbers are unique, and written with the table, so they do not change later.
-    return stored(classes.select(F.monotonically_increasing_id().alias("rep"), "of.*", "set_a", "set_b", "n", "parts"), "classes")
+    # Numbers rise with the ids, so that all buckets of a group mostly agree on their smallest document;
+    # they are written with the table and do not change later.
+    return stored(classes.orderBy("of").select(F.monotonically_increasing_id().alias("rep"), "of.*", "set_a", "set_b", "n", "parts"), "classes")
 
 
 def class_components(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int, collections: int) -> DataFrame:
