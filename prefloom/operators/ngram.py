@@ -26,9 +26,9 @@ from prefloom.operators import metrics
 from prefloom.operators.skew import salted_join
 from prefloom.session import scratch_path
 
-# Layout only: the runs that share a block, and over how many copies samples meet a block.
+# Layout only: the runs that share a block, and the samples that meet one copy of it.
 RUN_BLOCK = 1_000
-BLOCK_SALTS = 64
+SALT_ROWS = 100_000
 
 # Sums of the same terms in another order differ by less; such pairs are ties.
 TIE = 1e-12
@@ -168,24 +168,27 @@ def _slots(n: Column, v: Column) -> Column:
     return (n + v + 1).cast("double")
 
 
-def _beside_runs(df: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
+def _beside_runs(df: DataFrame, runs: DataFrame, key: list[str], counted: DataFrame | None = None) -> DataFrame:
     """Each row of ``df`` beside every run, for results that have a row for both.
 
-    Runs are packed in blocks of about RUN_BLOCK by hash, and rows meet each block through
-    an equi-join on its number and a salt of their key, so no task holds all of either side.
+    Runs are packed in blocks of about RUN_BLOCK by hash, and rows meet each block through an
+    equi-join on its number and a salt of their key, so no task holds all of either side. There is
+    a salt for every SALT_ROWS rows, counted on ``counted`` where that is cheaper and no smaller.
     """
     blocks = runs.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / RUN_BLOCK)).cast("int")).scalar()
+    rows = df if counted is None else counted
+    salts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SALT_ROWS)).cast("int")).scalar()
     packed = runs.withColumn("_block", F.pmod(F.xxhash64("run"), blocks).cast("int")).groupBy("_block").agg(
         F.collect_list(F.struct(*runs.columns)).alias("_runs"))
-    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(BLOCK_SALTS - 1))))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     dealt = df.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
-        "_salt", F.pmod(F.xxhash64(*key), F.lit(BLOCK_SALTS)).cast("int"))
+        "_salt", F.pmod(F.xxhash64(*key), salts).cast("int"))
     return dealt.join(packed, ["_block", "_salt"]).select(*df.columns, F.inline("_runs"))
 
 
-def _beside(df: DataFrame, runs: DataFrame, key: list[str], own: bool) -> DataFrame:
+def _beside(df: DataFrame, runs: DataFrame, key: list[str], own: bool, counted: DataFrame) -> DataFrame:
     """Rows beside their own run's facts, of which a run may have most rows, or beside each run's."""
-    return salted_join(df, runs, ["run"], key, how="inner") if own else _beside_runs(df, runs, key)
+    return salted_join(df, runs, ["run"], key, how="inner") if own else _beside_runs(df, runs, key, counted)
 
 
 def mix(model: MixedModel) -> DataFrame:
@@ -221,7 +224,7 @@ def sequence_loss(samples: DataFrame, model: NgramModel | MixedModel, key: list[
     sizes = tokenised.select(*group, F.size("tokens").cast("bigint").alias("num_tokens"),
                              predicted.cast("bigint").alias("predicted")).where(F.col("predicted") > 0)
     totals = model.totals.select("run", _per_word(model.order, lam).alias("per_word"))
-    rows = _beside(sizes, totals, key, bool(own)).withColumn("gain", F.lit(0.0))
+    rows = _beside(sizes, totals, key, bool(own), samples).withColumn("gain", F.lit(0.0))
     hits = _hits(tokenised, model, key, group, lam).select(
         *key, "run", F.lit(0).cast("bigint").alias("num_tokens"), F.lit(0).cast("bigint").alias("predicted"),
         F.lit(0.0).alias("per_word"), "gain")
@@ -276,7 +279,7 @@ def _mixed_loss(tokenised: DataFrame, model: MixedModel, key: list[str], group:
     found = found.withColumn("c_base", F.coalesce("c_base", F.lit(0).cast("bigint")))
     listed = found.groupBy(*group, "c_base").agg(F.sum("k").alias("k")).groupBy(*group).agg(
         F.collect_list(F.struct("c_base", "k")).alias("uses"), F.sum("k").alias("num_tokens"))
-    rows = _beside(listed, model.run_slots().drop("v"), key, own).withColumn("d_base", model.base_slots())
+    rows = _beside(listed, model.run_slots().drop("v"), key, own, tokenised).withColumn("d_base", model.base_slots())
     unseen = F.aggregate("uses", F.lit(0.0), lambda acc, u: acc - u["k"] * F.log(
         model.p(u["c_base"], F.col("d_base"), F.lit(0), F.col("d_run"))))
     hits = salted_join(found, _sized_words(model), ["run", "token"] if own else ["token"], key, how="inner", weight="k")

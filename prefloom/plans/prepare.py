@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from prefloom.operators import sample
 from prefloom.plans import registry
@@ -33,3 +34,24 @@ def prepare_splits(method: str, df: DataFrame, key: list[str], split: str, eval_
     train, held_out = readers.read_splits(df, split, eval_split, column)
     return (prepare(method, train, key, max_train),
             None if held_out is None else prepare(method, held_out, key, max_eval))
+
+
+def prepare_path(spark: SparkSession, method: str, source: str, key: list[str], split: str | None = "train",
+                 eval_split: str | None = None, max_train: int | None = None, max_eval: int | None = None,
+                 column: str = "split", schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Training and evaluation rows from a file, a folder with nested ``split=`` folders, or a table's name.
+
+    Only the files of the splits asked for are read. Rows without a ``column`` of splits are all
+    training rows; asking for an evaluation split of such a source is an error.
+    """
+    if readers.path_exists(spark, source):
+        df = readers.read_folder(spark, source, schema)
+    elif "/" not in source and spark.catalog.tableExists(source):
+        df = spark.table(source)
+    else:
+        raise FileNotFoundError(f"neither a path nor a table: {source}")
+    if split is not None and column in df.columns:
+        return prepare_splits(method, df, key, split, eval_split, max_train, max_eval, column)
+    if eval_split is not None:
+        raise ValueError(f"{source} has no column {column!r}")
+    return prepare(method, df, key, max_train), None

@@ -81,6 +81,31 @@ def read_path(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.option("multiLine", array_files).json(files)
 
 
+def read_folder(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Rows of a file, or of all files of one format in a folder and the folders in it.
+
+    Folders named ``column=value`` give a column, by which a scan leaves files out. As in
+    :func:`data_files`, JSON lines win over Parquet.
+    """
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"no such path: {path}")
+    if not fs.getFileStatus(p).isDirectory():
+        return read_path(spark, path, schema)
+    found, files = set(), fs.listFiles(p, True)
+    while files.hasNext() and "json" not in found:
+        file = files.next().getPath()
+        parts = file.toString()[len(p.toString()):].split("/")
+        if not any(part.startswith((".", "_")) for part in parts):
+            found.add(_FORMATS.get(_suffix(file.getName())))
+    fmt = next((f for f in ("json", "parquet") if f in found), None)
+    if fmt is None:
+        raise FileNotFoundError(f"no json, jsonl or parquet file in {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    patterns = [suffix for suffix, f in _FORMATS.items() if f == fmt]
+    return reader.format(fmt).option("pathGlobFilter", f"*{{{','.join(patterns)}}}").load(path)
+
+
 def read_texts(spark: SparkSession, path: str, layout: str = "value") -> DataFrame:
     """Pasted-JSON files as ``(path, text)``.
 

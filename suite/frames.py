@@ -70,7 +70,7 @@ def gappy_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_json(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a pasted JSON text of one of seven kinds, good and bad."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").repartition("doc_id")  # as in train_docs
     turns = F.array(_turn("user", "source"), _turn("assistant", "text"))
     pair = [F.col("source").alias("prompt"), F.col("text").alias("chosen"), F.col("lang").alias("rejected")]
     kinds = [
@@ -219,7 +219,8 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
 
 def train_docs(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as training texts, one run per language."""
-    return table(spark, sf, "documents").select("doc_id", F.col("lang").alias("run"), "text")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("run"), "text")
+    return docs.repartition("doc_id")  # the test tables are single files of one row group, which one task would split
 
 
 def chat_texts(spark: SparkSession, sf: str) -> DataFrame:

@@ -256,6 +256,19 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, 'train' AS part, n_chars FROM documents WHERE lang = 'en'
       UNION ALL SELECT * FROM (
         SELECT doc_id, 'eval', n_chars FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 100)""",
+    "prepare_path": """
+      SELECT doc_id, 'train' AS part, n_chars FROM documents WHERE lang = 'de'
+      UNION ALL SELECT * FROM (
+        SELECT doc_id, 'eval', n_chars FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 200)
+      UNION ALL SELECT doc_id, 'whole', n_chars FROM documents""",
+    "seeded_order": f"""WITH {PAIRS}, unpaired AS (
+        SELECT conv_id, turn, 1 AS label FROM pairs UNION ALL SELECT conv_id, turn, 0 FROM pairs)
+      SELECT conv_id, turn, label,
+             row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn || ':' || label), conv_id, turn, label) - 1 AS position
+      FROM unpaired""",
+    "first_rows": """
+      SELECT event_id, user_id, event_type FROM events ORDER BY md5('7:' || event_id), event_id
+      LIMIT (SELECT count(*) // 2 FROM events)""",
     "dpo_pairs": f"WITH {PAIRS} SELECT conv_id, turn, u AS prompt, chosen, rejected FROM pairs",
     "orpo_pairs": f"""WITH {PAIRS}
       SELECT conv_id, turn, u AS prompt, chosen, rejected, score_chosen, score_rejected FROM pairs""",

@@ -77,6 +77,19 @@ def table_split(spark, sf):
     return readers.named_split(spark, view, "fr").select("doc_id", "split", "n_chars")
 
 
+@query
+def prepare_path(spark, sf):
+    """Rows by path: two splits of a nested folder, and a whole file without splits."""
+    path = scratch_path(spark, "nested")
+    docs = frames.table(spark, sf, "documents")
+    docs.withColumn("split", F.col("lang")).withColumn("kind", F.col("doc_id") % 2).write.partitionBy("kind", "split").parquet(path)
+    train, held_out = prepare.prepare_path(spark, "sft", path, ["doc_id"], "de", "es", max_eval=200)
+    whole, _ = prepare.prepare_path(spark, "sft", f"{sf}/documents.parquet", ["doc_id"])
+    parts = [df.select("doc_id", F.lit(name).alias("part"), "n_chars")
+             for name, df in (("train", train), ("eval", held_out), ("whole", whole))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def dpo_pairs(spark, sf):
     rows = prepare.prepare("dpo", frames.pairs(spark, sf).withColumn("messages", F.col("chosen")), EXCHANGE)
@@ -117,6 +130,21 @@ def kto_sample(spark, sf):
     return rows.select(*EXCHANGE, "completion", F.col("label").cast("int").alias("label"))
 
 
+@query
+def seeded_order(spark, sf):
+    """Places of all unpaired rows in the seeded shuffle."""
+    rows = project.kto_rows(frames.pairs(spark, sf), keep=EXCHANGE).select(*EXCHANGE, F.col("label").cast("int").alias("label"))
+    return sample.seeded_order(rows, [*EXCHANGE, "label"])
+
+
+@query
+def first_rows(spark, sf):
+    """Half of all events by the seeded shuffle, cut by counting between sampled keys."""
+    e = frames.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    half = e.count() // 2
+    return sample.take_first(e, half, ["event_id"], seed=7, top_rows=1000)
+
+
 @query
 def grpo_rows(spark, sf):
     return prepare.prepare("grpo", frames.pairs(spark, sf), EXCHANGE)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefloom.operators import contracts, project, sample
+from prefloom.operators import skew
 from prefloom.operators.skew import salted_join
 from prefloom.plans import evaluate, prepare, registry
 
@@ -147,6 +148,60 @@ def test_registry_can_be_extended(spark):
         prepare.prepare("longest", chat_pairs(spark), ["id"])
 
 
+def test_places_in_the_seeded_order(spark):
+    df = spark.range(300).withColumn("_slice", F.lit(1))
+    want = {r.id: i for i, r in enumerate(sample.seeded_shuffle(df, ["id"]).collect())}
+    for n in (1, 4, 16):
+        got = sample.seeded_order(df.repartition(n), ["id"])
+        assert got.columns == ["id", "_slice", "position"] and {r.id: r.position for r in got.collect()} == want
+    assert sample.seeded_order(df.where("false"), ["id"]).count() == 0
+    with pytest.raises(ValueError, match="position"):
+        sample.seeded_order(df.withColumn("position", F.lit(1)), ["id"])
+
+
+def test_selection_sorts_nothing_whole(spark):
+    df = spark.range(5000).select("id", F.lit("x" * 10).alias("wide"))
+    cut = sample.take_first(df, 3000, ["id"], top_rows=10)
+    assert sorted(r.id for r in cut.collect()) == list(range(3000))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_rows_by_path_split_or_table(spark, tmp_path):
+    df = chat_pairs(spark).withColumn("split", F.when(F.col("id") < 4, "train").otherwise("test"))
+    nested, file = str(tmp_path / "deep" / "data"), tmp_path / "one.jsonl"
+    df.withColumn("day", F.col("id") % 2).write.partitionBy("day", "split").parquet(nested)
+    (tmp_path / "deep" / "data" / "notes.txt").write_text("not data")
+    train, held_out = prepare.prepare_path(spark, "dpo", nested, ["id"], "train", "test", 3, 1)
+    assert (train.count(), held_out.count()) == (3, 1)
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+    file.write_text('{"id": 1, "prompt": "p", "text": "t"}\n{"id": 2, "prompt": "q", "text": "u"}\n')
+    rows, none = prepare.prepare_path(spark, "sft", str(file), ["id"], max_train=1)
+    assert rows.count() == 1 and none is None
+    df.createOrReplaceTempView("pairs_by_split")
+    assert prepare.prepare_path(spark, "dpo", "pairs_by_split", ["id"], "test")[0].count() == df.where("split = 'test'").count()
+    with pytest.raises(ValueError, match="split"):
+        prepare.prepare_path(spark, "sft", str(file), ["id"], eval_split="test")
+    with pytest.raises(FileNotFoundError):
+        prepare.prepare_path(spark, "sft", str(tmp_path / "none"), ["id"])
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        prepare.prepare_path(spark, "sft", str(tmp_path / "empty"), ["id"])
+
+
+def test_hot_keys_need_no_share_of_all_rows(spark):
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") < 100, "warm").when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    hot = {r._key: r._salts for r in skew.hot_keys(rows, ["k"], hot_rows=20).collect()}
+    of = {r.k: r.h for r in spark.createDataFrame([("warm",), ("hot",)], "k string").select("k", F.xxhash64("k").alias("h")).collect()}
+    assert hot == {of["warm"]: 5, of["hot"]: (100_000 - 50) // 20 + 1}
+    assert skew.hot_keys(rows.where("false"), ["k"], 1).count() == 0
+    dealt = salted_join(rows.withColumn("id", F.monotonically_increasing_id()), spark.createDataFrame([("hot", 1)], "k string, v int"),
+                        ["k"], ["id"], "inner", hot_rows=10_000)
+    assert dealt.count() == 99_950
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None)
