@@ -132,7 +132,7 @@ def explode_words(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
 
 
 def explode_bigrams(df: DataFrame, keep: list[str], words: Column) -> DataFrame:
-    return df.select(*keep, F.inline_outer(_bigrams(words))).where(F.col("token").isNotNull())
+    return df.select(*keep, F.inline_outer(_bigrams(words)).alias("ctx", "token")).where(F.col("token").isNotNull())
 
 
 def fit_ngram(df: DataFrame, text: str = "text", run: str = "run", order: int = 1) -> NgramModel:
@@ -159,9 +159,9 @@ def pool(model: NgramModel, name: str = "base") -> NgramModel:
 
 
 def _bigrams(tokens: Column) -> Column:
-    rest = F.slice(tokens, 2, F.size(tokens))
-    return F.zip_with(F.slice(tokens, 1, F.size(rest)), rest,
-                      lambda a, b: F.struct(a.alias("ctx"), b.alias("token")))
+    """Each word with the next; zipped rather than by a lambda, which generated code cannot hold."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n))
 
 
 def _slots(n: Column, v: Column) -> Column:
