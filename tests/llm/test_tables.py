@@ -46,6 +46,16 @@ def test_only_large_buckets_split(make):
         assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
 
 
+def test_splitting_limit_equals_sql(spark, documents):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    sql = sharding.ORACLE.replace(str(sharding.SHARD_BYTES), "20000")
+    names = ["doc_id", "n_bytes", "shard", "shard_bytes", "shard_rows", "fits"]
+    want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall())
+    got = sorted(tuple(r[c] for c in names) for r in sharding.assign(documents, limit=20_000, keep=["doc_id"]).collect())
+    assert got == want and len({r[2] for r in got}) > 10
+
+
 def test_rows_that_cannot_be_split(odd, make):
     docs = make([(1, "a" * 100), (1, "a" * 100), (2, "b" * 500), (3, "c"), (None, None), (None, None)])
     got = sharding.assign(docs, limit=150, keep=["doc_id"]).collect()
