@@ -24,14 +24,7 @@ def training_metrics(logs: DataFrame, states: DataFrame | None = None) -> DataFr
     its best and last. The run time counts only when the last entry holds it, else 0.
     ``states`` (``run, global_step, best_model_checkpoint``) adds steps and checkpoint.
     """
-    train = F.when(F.col("loss").isNotNull() & F.col("eval_loss").isNull(), F.col("pos"))
-    evaluated = F.when(F.col("eval_loss").isNotNull(), F.col("pos"))
-    rolled = logs.groupBy("run").agg(
-        F.min_by("loss", train).alias("initial_train_loss"),
-        F.max_by("loss", train).alias("final_train_loss"),
-        F.min("eval_loss").alias("best_eval_loss"),
-        F.max_by("eval_loss", evaluated).alias("final_eval_loss"),
-        F.max_by(F.coalesce("train_runtime", F.lit(0.0)), "pos").alias("training_time_seconds"))
+    rolled = logs.groupBy("run").agg(*_log_figures())
     if states is not None:
         facts = states.select(
             "run", F.coalesce("global_step", F.lit(0)).cast("bigint").alias("total_steps"),
@@ -41,6 +34,37 @@ def training_metrics(logs: DataFrame, states: DataFrame | None = None) -> DataFr
     return rolled.withColumn("training_time_hours", X.hours(F.col("training_time_seconds")))
 
 
+def _log_figures() -> list[Column]:
+    """Loss milestones and run time of a group of log entries."""
+    train = F.when(F.col("loss").isNotNull() & F.col("eval_loss").isNull(), F.col("pos"))
+    evaluated = F.when(F.col("eval_loss").isNotNull(), F.col("pos"))
+    return [
+        F.min_by("loss", train).alias("initial_train_loss"),
+        F.max_by("loss", train).alias("final_train_loss"),
+        F.min("eval_loss").alias("best_eval_loss"),
+        F.max_by("eval_loss", evaluated).alias("final_eval_loss"),
+        F.max_by(F.coalesce("train_runtime", F.lit(0.0)), "pos").alias("training_time_seconds")]
+
+
+def training_by_group(logs: DataFrame, by: str) -> DataFrame:
+    """Loss milestones per run, per run and ``by``, and of all entries, in one pass.
+
+    ``grouping`` tells the rows apart: 0 for run and ``by``, 1 for a run, 3 for all; columns that a
+    row sums over are null. ``pos`` orders the entries of all runs.
+    """
+    sets = logs.groupingSets([["run", by], ["run"], []], "run", by)
+    return sets.agg(F.grouping_id().cast("int").alias("grouping"), F.count(F.lit(1)).alias("entries"), *_log_figures())
+
+
+def preference_by_group(losses: DataFrame, by: str) -> DataFrame:
+    """Preference metrics per run, per run and ``by``, and of all pairs, as :func:`training_by_group`."""
+    right = F.col("chosen_loss") < F.col("rejected_loss")
+    return losses.groupingSets([["run", by], ["run"], []], "run", by).agg(
+        F.grouping_id().cast("int").alias("grouping"), F.count_if(right).alias("preference_correct"),
+        F.count(F.lit(1)).alias("preference_total"), F.avg(right.cast("double")).alias("preference_accuracy"),
+        (F.avg("rejected_loss") - F.avg("chosen_loss")).alias("loss_margin"))
+
+
 def loss_metrics(losses: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Token-weighted loss and its perplexity per run; no tokens gives 0 and 1."""
     by = by or ["run"]

@@ -100,7 +100,7 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     value = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("value"))
     return e.select(
-        run_name().alias("run"), F.col("event_id").alias("pos"),
+        run_name().alias("run"), F.col("event_id").alias("pos"), F.date_format("ts", "yyyy-MM").alias("month"),
         value("click", "view", "signup").alias("loss"),
         value("purchase", "signup").alias("eval_loss"),
         value("error").alias("train_runtime"))

@@ -83,7 +83,7 @@ rewarded AS (
 RUN = "['sft', 'dpo', 'orpo', 'kto', 'grpo'][CAST(user_id % 5 + 1 AS INTEGER)] || '_' || user_id"
 
 LOGS = f"""logs AS (
-  SELECT user_id, {RUN} AS run, event_id AS pos,
+  SELECT user_id, {RUN} AS run, event_id AS pos, strftime(ts, '%Y-%m') AS month,
          CASE WHEN event_type IN ('click', 'view', 'signup') THEN value END AS loss,
          CASE WHEN event_type IN ('purchase', 'signup') THEN value END AS eval_loss,
          CASE WHEN event_type = 'error' THEN value END AS train_runtime
@@ -372,6 +372,13 @@ ORACLE: dict[str, str] = {
              round(final_eval_loss, 6) AS final_eval_loss, round(training_time_seconds, 6) AS training_time_seconds,
              round(training_time_seconds / 3600, 6) AS training_time_hours
       FROM facts JOIN rolled USING (run)""",
+    "metrics_by_group": f"""WITH {LOGS}, rolled AS (
+        SELECT run, month, CAST(GROUPING(run, month) AS INTEGER) AS grouping, count(*) AS entries, {LOG_METRICS}
+        FROM logs GROUP BY GROUPING SETS ((run, month), (run), ()))
+      SELECT run, month, grouping, entries, round(initial_train_loss, 6) AS initial_train_loss,
+             round(final_train_loss, 6) AS final_train_loss, round(best_eval_loss, 6) AS best_eval_loss,
+             round(final_eval_loss, 6) AS final_eval_loss, round(training_time_seconds, 6) AS training_time_seconds
+      FROM rolled""",
     "latest_adapter": f"WITH {FILES} SELECT run, checkpoint, step, label, path FROM newest",
     "latest_checkpoint": f"WITH {FILES} SELECT run, max_by(checkpoint, step) AS checkpoint FROM checkpoints GROUP BY run",
     "latest_checkpoint_name": f"WITH {FILES} SELECT run, max(checkpoint) AS checkpoint FROM checkpoints GROUP BY run",

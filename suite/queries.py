@@ -326,6 +326,12 @@ def train_log_metrics(spark, sf):
     return rounded(metrics.training_metrics(frames.logs(spark, sf), frames.states(spark, sf)))
 
 
+@query
+def metrics_by_group(spark, sf):
+    """Training figures per run and month, per run, and of all runs."""
+    return rounded(metrics.training_by_group(frames.logs(spark, sf), "month"))
+
+
 @query
 def latest_adapter(spark, sf):
     return catalog.latest_adapter(frames.artefacts(spark, sf))

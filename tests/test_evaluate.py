@@ -131,6 +131,19 @@ def test_summary_shows_zero_as_na(spark):
         ("a", "1.2346", "N/A", "N/A"), ("b", "N/A", "3.14", "65.50%")]
 
 
+def test_metrics_by_group_in_one_pass(spark):
+    losses = spark.createDataFrame(
+        [("a", "x", 1.0, 2.0), ("a", "y", 3.0, 2.0), ("a", "y", 1.0, 4.0), ("b", "x", 2.0, 2.0), ("b", None, 1.0, 5.0)],
+        "run string, source string, chosen_loss double, rejected_loss double")
+    got = {(r.grouping, r.run, r.source): (r.preference_correct, r.preference_total) for r in
+           metrics.preference_by_group(losses, "source").collect()}
+    assert got == {(0, "a", "x"): (1, 1), (0, "a", "y"): (1, 2), (0, "b", "x"): (0, 1), (0, "b", None): (1, 1),
+                   (1, "a", None): (2, 3), (1, "b", None): (1, 2), (3, None, None): (3, 5)}
+    by_run = {r.run: r for r in metrics.preference_metrics(losses).collect()}
+    alike = {r.run: r for r in metrics.preference_by_group(losses, "source").where("grouping = 1").collect()}
+    assert all(by_run[k].loss_margin == alike[k].loss_margin and by_run[k].preference_accuracy == alike[k].preference_accuracy for k in by_run)
+
+
 def test_nested_samples_keep_order_and_cap(spark):
     df = spark.createDataFrame([("a", i, f"p{i}", f"r{i}") for i in (4, 2, 0, 1, 3)], "run string, pos int, prompt string, response string")
     assert [s.prompt for s in metrics.nest_samples(df, 3).first().generation_samples] == ["p0", "p1", "p2"]
