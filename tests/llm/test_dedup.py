@@ -123,17 +123,22 @@ def test_interval_expansion_matches_counting(seed):
             assert again.tolist() == [i + length <= len(s) and count[s[i:i + length]] > 1 for i in range(len(s))]
 
 
-def removal(rows, length=200):
-    texts = [(i, (t or "").encode()) for i, t in rows]
-    count = Counter(t[i:i + length] for _, t in texts for i in range(len(t) - length + 1))
-    out = []
-    for i, t in texts:
+def repeated_bytes(texts, length=200):
+    """Per text, which bytes a string covers that starts elsewhere too."""
+    count = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
         gone = np.zeros(len(t), bool)
         for k in range(len(t) - length + 1):
             if count[t[k:k + length]] > 1:
                 gone[k:k + length] = True
+        yield bytes(b for b, g in zip(t, gone) if not g), gone
+
+
+def removal(rows, length=200):
+    texts = [(t or "").encode() for _, t in rows]
+    out = []
+    for (i, _), t, (left, gone) in zip(rows, texts, repeated_bytes(texts, length)):
         runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
-        left = bytes(b for b, g in zip(t, gone) if not g)
         out.append((i, len(t), int(gone.sum()), runs, hashlib.sha256(left).hexdigest()))
     return sorted(out)
 

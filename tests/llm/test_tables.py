@@ -1,9 +1,14 @@
 """Sharding, URL filters, the pipeline and the registered queries."""
 
 import datetime
+import hashlib
 
 import duckdb
+import public_tokenizers
 import pytest
+from test_dedup import components_of, repeated_bytes
+from test_texts import plain_words, window_owners
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from prefloom.llm import queries, sharding, toxicity, url_filter
@@ -144,3 +149,24 @@ def test_pipeline_takes_odd_rows(spark, odd, tmp_path):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     left = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in left} == {1, 2, 3, 4, 6, 7, 8, 9, 10, None}
+
+
+def test_pipeline_equals_plain_stages(spark, documents):
+    rows = {r["doc_id"]: r["text"] for r in documents.collect()}
+    toxic = {r["doc_id"] for r in queries.op2_toxicity(spark, SF).collect() if r["predicted"] == 1}
+    left = [(i, t) for i, t in sorted(rows.items()) if i not in toxic]
+    found = components_of(left, 5)
+    left = [(i, t) for i, t in left if found[i][1] == i]
+    cleaned = repeated_bytes([(t or "").encode() for _, t in left])
+    left = [(i, raw.decode("utf-8", "ignore")) for (i, _), (raw, _) in zip(left, cleaned)]
+    where = window_owners([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    sizes = {len(w) for w in where}
+    clean = lambda words: not any(tuple(words[i:i + k]) in where for k in sizes for i in range(len(words) - k + 1))
+    left = [(i, t) for i, t in left if clean(plain_words(t))]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in left:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(want)

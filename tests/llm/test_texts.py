@@ -127,14 +127,20 @@ def test_decontamination_matches_brute_force(spark, make):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(w[0] for w in want if not w[2])
 
 
-def test_registered_decontamination_matches_brute_force(spark, documents):
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+def window_owners(items):
+    """The items of each window of ten words, or of a whole shorter item."""
     where = {}
     for name, text in items:
         words = plain_words(text)
         k = min(10, len(words))
         for i in range(len(words) - k + 1 if k else 0):
             where.setdefault(tuple(words[i:i + k]), set()).add(str(name))
+    return where
+
+
+def test_registered_decontamination_matches_brute_force(spark, documents):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    where = window_owners(items)
     sizes = {len(w) for w in where}
     got = {r["doc_id"]: r for r in queries.op10_decontamination(spark, SF).collect()}
     for r in documents.collect():
