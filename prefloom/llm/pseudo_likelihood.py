@@ -31,19 +31,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefloom.llm.batches import as_bytes, small_batches
 from prefloom.llm.tables import stored
-from prefloom.llm.words import WordHashes, split_words
+from prefloom.llm.words import split_words
 from prefloom.session import scratch_path
 
 PARTS = 16
 RATE = 0.06
 BLOCK_TOKENS = 1 << 18
 PLACES = 1 << 14  # places whose layers are held at a time
+ROWS = 1 << 11  # places whose softmax is worked out at a time
 SLICE = 8192
 LANES = 16
 
@@ -107,10 +109,10 @@ def text_blocks(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFram
         T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("names", T.ArrayType(source.schema["doc_id"].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, kind = WordHashes(), {}, None
+        held, kind = {}, None
 
         def flushed(part: int, block: _Block) -> pa.RecordBatch:
-            words = np.fromiter(map(hashes.__getitem__, block.numbers), np.uint64, len(block.numbers)).view(np.int64)
+            words = np.fromiter(map(xxhash.xxh3_64_intdigest, block.numbers), np.uint64, len(block.numbers)).view(np.int64)
             numbers = np.concatenate(block.texts)
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([words], pa.list_(pa.int64())),
@@ -214,75 +216,139 @@ def _shifts(count: int) -> list[int]:
     return [d for d in range(-(count // 2), count // 2 + 1) if d]
 
 
+def _joined(weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both softmax layers with the biases as a last row, for hidden layers that end in 1."""
+    return np.vstack([weights[2], weights[3]]), np.concatenate([weights[4], weights[5][:, None]], axis=1)
+
+
 def hidden(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The hidden layer of places that have ``side`` tokens of ``line`` on either side."""
-    rows = weights[0][line]
+    """The hidden layer, and a 1, of places that have ``side`` tokens of ``line`` on either side."""
+    rows = weights[0]
     shifts = _shifts(rows.shape[1])
-    side, end = shifts[-1], len(line) - shifts[-1]
-    total = rows[:end - side, 0] + weights[1]
+    total = rows[line[at + shifts[0]], 0]
+    total += weights[1]
     for k, d in enumerate(shifts[1:], 1):
-        total += rows[side + d:end + d, k]
-    return np.maximum(total, 0)[at - side]
+        total += rows[line[at + d], k]
+    layer = np.ones((len(at), rows.shape[2] + 1), rows.dtype)
+    np.maximum(total, 0, out=layer[:, :-1])
+    return layer
 
 
-def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``z``, shifted if need be, and its exponentials."""
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | int]:
+    """``z`` turned into its exponentials, less a row's highest first if need be; gives their sums by row
+    and what was taken off."""
+    low = 0
     if z.size and (z.max() > 60 or z.min() < -60):
-        z = z - z.max(axis=1, keepdims=True)
-    return z, np.exp(z)
+        low = z.max(axis=1)
+        z -= low[:, None]
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype), low
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def _pieces(start: int, end: int) -> Iterator[slice]:
+    """Rows from ``start`` to ``end``, ROWS at a time, so that a layer's arrays stay in a core's cache."""
+    for i in range(start, end, ROWS):
+        yield slice(i, min(end, i + ROWS))
 
 
-def _by_class(kind: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the targets by class, and each class found with its pieces in that order."""
+    kind = target // classes
     order = np.argsort(kind.astype(np.uint16), kind="stable")
     edges = np.searchsorted(kind[order], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        yield c, order[edges[c]:edges[c + 1]]
+    found = np.flatnonzero(np.diff(edges)).tolist()
+    return order, [(c, own) for c in found for own in _pieces(edges[c], edges[c + 1])]
 
 
 def log_probabilities(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target given what is around its place."""
-    classes = len(weights[3])
-    h = hidden(weights, line, at)
-    kind, part = np.divmod(target, classes)
-    z, e = _exponents(h @ weights[2] + weights[3])
-    out = z[np.arange(len(target)), kind] - np.log(e.sum(1))
-    for c, own in _by_class(kind, classes):
-        z, e = _exponents(h[own] @ weights[4][c] + weights[5][c])
-        out[own] += z[np.arange(len(own)), part[own]] - np.log(e.sum(1))
+    outer, inners = _joined(weights)
+    order, pieces = _by_class(target, len(inners))
+    kind, part = np.divmod(target[order], len(inners))
+    h = hidden(weights, line, at[order])
+    found, row = np.empty(len(order), h.dtype), np.arange(ROWS)
+
+    def log_share(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        chosen = z[row[:len(z)], wanted]
+        total, low = _exponents(z)
+        return chosen - low - np.log(total)
+
+    for own in _pieces(0, len(order)):
+        found[own] = log_share(h[own] @ outer, kind[own])
+    for c, own in pieces:
+        found[own] += log_share(h[own] @ inners[c], part[own])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
+def _slopes(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``z`` turned into the softmax of its rows less 1 at the target."""
+    total, _ = _exponents(z)
+    z *= (1 / total)[:, None]
+    z[np.arange(len(z)), target] -= 1
+    return z
+
+
+def _stretch_sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[order]`` over the stretches that begin at ``starts``; the last of ``rows`` is zero.
+
+    Pairs within stretches are added first, row on row, which leaves less for the slower grouped sum.
+    """
+    sizes = np.diff(np.append(starts, len(order)))
+    for _ in range(2):
+        halves = (sizes + 1) // 2
+        ends = np.cumsum(halves)
+        j = 2 * (np.arange(ends[-1]) - np.repeat(ends - halves, halves))
+        left = np.repeat(starts, halves) + j
+        order = np.append(order, len(rows) - 1)
+        right = np.where(j + 1 < np.repeat(sizes, halves), left + 1, len(order) - 1)
+        held = np.zeros((len(left) + 1, rows.shape[1]), rows.dtype)
+        held[:-1] = rows[order[left]]
+        held[:-1] += rows[order[right]]
+        rows, sizes, starts, order = held, halves, ends - halves, np.arange(len(left))
+    return np.add.reduceat(rows[:-1], starts, axis=0)
+
+
 def add_gradients(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, target: np.ndarray, sums: list[np.ndarray]) -> None:
     """Add to ``sums`` the gradient of the summed negative log probability of the targets."""
-    classes, n = len(weights[3]), len(target)
+    outer, inners = _joined(weights)
+    order, pieces = _by_class(target, len(inners))
+    at, (kind, part) = at[order], np.divmod(target[order], len(inners))
     h = hidden(weights, line, at)
-    kind, part = np.divmod(target, classes)
-    slope = _exponents(h @ weights[2] + weights[3])[1]
-    slope /= slope.sum(1, keepdims=True)
-    slope[np.arange(n), kind] -= 1
-    back = slope @ weights[2].T
-    sums[2] += h.T @ slope
-    sums[3] += slope.sum(0)
-    for c, own in _by_class(kind, classes):
-        layer = h[own]
-        inner = _exponents(layer @ weights[4][c] + weights[5][c])[1]
-        inner /= inner.sum(1, keepdims=True)
-        inner[np.arange(len(own)), part[own]] -= 1
-        back[own] += inner @ weights[4][c].T
-        sums[4][c] += layer.T @ inner
-        sums[5][c] += inner.sum(0)
-    back *= h > 0
-    sums[1] += back.sum(0)
-    # What a token of the line gets from the places that it is beside, summed by token.
-    shifts = _shifts(weights[0].shape[1])
-    side, m = shifts[-1], len(line)
-    spread = np.zeros((m + 2 * side, back.shape[1]), back.dtype)
+    back = np.empty_like(h)
+    for own in _pieces(0, len(at)):
+        slope = _slopes(h[own] @ outer, kind[own])
+        np.matmul(slope, outer.T, out=back[own])
+        given = h[own].T @ slope
+        sums[2] += given[:-1]
+        sums[3] += given[-1]
+    for c, own in pieces:
+        slope = _slopes(h[own] @ inners[c], part[own])
+        back[own] += slope @ inners[c].T
+        given = h[own].T @ slope
+        sums[4][c] += given[:-1]
+        sums[5][c] += given[-1]
+    back = back[:, :-1] * (h[:, :-1] > 0)
+    sums[1] += np.ones(len(back), back.dtype) @ back
+    # What a token of the line gets from the places that it is beside, summed by token. The rows around
+    # a place lie in a row, so a window over them is a view; the place's own row is left out at the end.
+    width, size = weights[0].shape[1], back.shape[1]
+    side, m = width // 2, len(line)
+    spread = np.zeros((m + 1 + 4 * side, size), back.dtype)
     spread[at + side] = back
-    given = np.stack([spread[side - d:side - d + m] for d in shifts], axis=1).reshape(m, -1)
-    order = np.argsort(line.astype(np.uint16) if len(weights[0]) < 1 << 16 else line, kind="stable")
-    token = line[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    sums[0][token[first]] += np.add.reduceat(given[order], first, axis=0).reshape(len(first), *weights[0].shape[1:])
+    windows = np.lib.stride_tricks.as_strided(
+        spread, (m + 2 * side + 1, (width + 1) * size), (size * spread.itemsize, spread.itemsize), writeable=False)
+    by_token = np.argsort(line.astype(np.uint16) if len(weights[0]) < 1 << 16 else line, kind="stable")
+    token = line[by_token]
+    starts = _runs(token)
+    summed = _stretch_sums(windows, by_token, starts).reshape(len(starts), width + 1, size)
+    sums[0][token[starts]] += summed[:, [side - d for d in _shifts(width)]]
 
 
 class Adam:
