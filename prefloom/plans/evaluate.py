@@ -14,17 +14,20 @@ from prefloom.plans import registry
 from prefloom.session import stored
 from prefloom.sources import readers, sinks
 
+# Why a test row or a pair is not scored.
+NO_TEXT, BROKEN, EMPTY_SIDE = "no_text", "broken_message", "empty_side"
+
 
 def test_texts(df: DataFrame, key: list[str], max_samples: int | None = None) -> DataFrame | None:
-    """Texts to score from messages or chosen; skipped rows use up a position of the cap."""
+    """Texts to score from messages or chosen; skipped rows use up a position of the cap.
+
+    :func:`test_rejects` gives the rows that are skipped.
+    """
     source = sample.message_source(df)
     if source is None:
         return None
-    text = F.col(source)
-    if df.schema[source].dataType.typeName() == "array":
-        text = X.format_messages_strict(text)
     return sample.cap_by_position(df, max_samples, key, F.col(source).isNotNull()).select(
-        *key, text.alias("text")).where(F.col("text").isNotNull())
+        *key, _strict(df, source).alias("text")).where(F.col("text").isNotNull())
 
 
 def valid_pairs(df: DataFrame, key: list[str], max_samples: int | None = None) -> DataFrame:
@@ -37,6 +40,40 @@ def both_sides(df: DataFrame) -> Column:
             & X.not_empty(F.col("rejected"), df.schema["rejected"].dataType))
 
 
+def _strict(df: DataFrame, column: str) -> Column:
+    """Text of a column of texts or message lists, null where a message lacks a part."""
+    text = F.col(column)
+    return X.format_messages_strict(text) if df.schema[column].dataType.typeName() == "array" else text
+
+
+def test_rejects(df: DataFrame, key: list[str]) -> DataFrame:
+    """``key, reject_reason`` of the test rows that are not scored: without a text, or with a broken message."""
+    source = sample.message_source(df)
+    if source is None:
+        return df.select(*key, F.lit(NO_TEXT).alias("reject_reason"))
+    reason = F.when(F.col(source).isNull(), NO_TEXT).when(_strict(df, source).isNull(), BROKEN)
+    return df.select(*key, reason.alias("reject_reason")).where(F.col("reject_reason").isNotNull())
+
+
+def pair_rejects(df: DataFrame, key: list[str]) -> DataFrame:
+    """``key, reject_reason`` of the pairs that are not scored: a side is empty, or has a broken message."""
+    broken = _strict(df, "chosen").isNull() | _strict(df, "rejected").isNull()
+    reason = F.when(~both_sides(df), EMPTY_SIDE).when(broken, BROKEN)
+    return df.select(*key, reason.alias("reject_reason")).where(F.col("reject_reason").isNotNull())
+
+
+def reject_counts(test: DataFrame | None = None, prefs: DataFrame | None = None) -> DataFrame:
+    """How many of all test rows and pairs an evaluation leaves out: ``part, reject_reason, n``.
+
+    Rows beyond a cap of the evaluation count too. A part without rejects has no row.
+    """
+    if test is None and prefs is None:
+        raise ValueError("give test rows, pairs or both")
+    parts = [make(df, [F.lit(part).alias("part")]) for part, make, df in (
+        ("test", test_rejects, test), ("pairs", pair_rejects, prefs)) if df is not None]
+    return _all(parts).groupBy("part", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def evaluate(runs: DataFrame, key: list[str], model: ngram.NgramModel | ngram.MixedModel | None = None,
              test: DataFrame | None = None, prefs: DataFrame | None = None,
              logs: DataFrame | None = None, states: DataFrame | None = None,

@@ -68,6 +68,23 @@ def gappy_pairs(spark: SparkSession, sf: str) -> DataFrame:
             lambda _: F.length("r") % 3 != 0)).alias("rejected"))
 
 
+def torn(messages: Column) -> Column:
+    """The messages, with the content gone where its length is a multiple of 97."""
+    return F.transform(messages, lambda m: F.struct(
+        m["role"].alias("role"), F.when(F.length(m["content"]) % 97 != 0, m["content"]).alias("content")))
+
+
+def torn_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations with broken messages, and no messages at all where their number is a multiple of 5."""
+    return chat(spark, sf).withColumn("messages", F.when(F.size("messages") % 5 != 0, torn(F.col("messages"))))
+
+
+def torn_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs with null and empty sides and broken messages among them."""
+    sides = {side: torn(F.col(side)) for side in ("chosen", "rejected")}
+    return gappy_pairs(spark, sf).withColumns(sides)
+
+
 def raw_json(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a pasted JSON text of one of seven kinds, good and bad."""
     d = table(spark, sf, "documents").repartition("doc_id")  # as in train_docs

@@ -295,6 +295,15 @@ ORACLE: dict[str, str] = {
     "cap_valid": f"""WITH {GAPPY}
       SELECT conv_id, turn, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL
       ORDER BY conv_id, turn LIMIT 50""",
+    "scoring_rejects": f"""WITH {EXCHANGES}, left_out AS (
+        SELECT 'test' AS part, CASE WHEN count(*) % 5 = 0 THEN 'no_text'
+            WHEN count(*) FILTER (WHERE role IS NULL OR text IS NULL OR length(text) % 97 = 0) > 0 THEN 'broken_message' END AS reject_reason
+        FROM conversations GROUP BY conv_id
+        UNION ALL
+        SELECT 'pairs', CASE WHEN p.a IS NULL OR r.a IS NULL OR length(r.a) % 3 = 0 THEN 'empty_side'
+            WHEN p.u IS NULL OR length(p.u) % 97 = 0 OR length(p.a) % 97 = 0 OR length(r.a) % 97 = 0 THEN 'broken_message' END
+        FROM exchanges p LEFT JOIN next_replies r ON r.conv_id = (p.conv_id + 1) % (SELECT max(conv_id) + 1 FROM conversations))
+      SELECT part, reject_reason, count(*) AS n FROM left_out WHERE reject_reason IS NOT NULL GROUP BY 1, 2""",
     "valid_pairs": f"""WITH {GAPPY}
       SELECT conv_id, turn, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL""",
     # ---------------------------------------------------------------- ingest

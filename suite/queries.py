@@ -508,6 +508,12 @@ def preference_metrics(spark, sf):
     return rounded(ngram.preference_rollup(frames.pairs(spark, sf), _stored(spark, sf), EXCHANGE))
 
 
+@query
+def scoring_rejects(spark, sf):
+    """Test rows and pairs that an evaluation does not score, by reason."""
+    return evaluate.reject_counts(frames.torn_chat(spark, sf), frames.torn_pairs(spark, sf))
+
+
 # --------------------------------------------------------------- reporting
 
 def _evaluated(spark, sf):

@@ -525,3 +525,23 @@ def test_runs_are_named_below_the_root_whatever_its_name(spark, tmp_path):
             (run, f"checkpoint-10/{name}") for run in ("my run", "r1") for name in ("trainer_state.json", "adapter_model.safetensors")}
         assert {r.run: r.global_step for r in readers.trainer_states(spark, asked).collect()} == {"my run": 3, "r1": 5}
     assert readers.trainer_states(spark, str(root) + "_none").count() == 0
+
+
+def test_rows_that_are_not_scored_have_a_reason(spark):
+    chats = "array<struct<role string, content string>>"
+    turn = lambda text: [("user", "q"), ("assistant", text)]
+    test = spark.createDataFrame([(1, turn("a")), (2, turn(None)), (3, None), (4, []), (None, [(None, "x")])], f"id int, messages {chats}")
+    assert {(r.id, r.reject_reason) for r in evaluate.test_rejects(test, ["id"]).collect()} == {
+        (2, "broken_message"), (3, "no_text"), (None, "broken_message")}
+    assert sorted(r.id for r in evaluate.test_texts(test, ["id"]).collect()) == [1, 4]
+    pairs = spark.createDataFrame([
+        (1, turn("a"), turn("b")), (2, turn(None), turn("b")), (3, turn("a"), []), (4, None, turn(None)), (5, turn("a"), turn(None))],
+        f"id int, chosen {chats}, rejected {chats}")
+    assert {(r.id, r.reject_reason) for r in evaluate.pair_rejects(pairs, ["id"]).collect()} == {
+        (2, "broken_message"), (3, "empty_side"), (4, "empty_side"), (5, "broken_message")}
+    plain = spark.createDataFrame([(1, "a", "b"), (2, "", "b"), (3, None, "b")], "id int, chosen string, rejected string")
+    assert {(r.part, r.reject_reason): r.n for r in evaluate.reject_counts(test, plain).collect()} == {
+        ("test", "broken_message"): 2, ("test", "no_text"): 1, ("pairs", "empty_side"): 2}
+    assert evaluate.reject_counts(test.limit(0), pairs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        evaluate.reject_counts()
