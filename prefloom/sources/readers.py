@@ -7,11 +7,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from prefloom.functions import json as J
 from prefloom.functions import text as X
 from prefloom.operators import catalog
 from prefloom.schemas import MESSAGES, RESULT, TRAINER_STATE
+from prefloom.session import stored
+
+# A JSON string (or what is left of a broken one), a bracket, a comma, or what lies between them.
+_MARKS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[\[\]{},]|[^"\[\]{},]++'
 
 _FORMATS = {".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
@@ -119,6 +124,51 @@ def read_texts(spark: SparkSession, path: str, layout: str = "value") -> DataFra
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def array_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of files that each hold one JSON array over many lines: ``path, item_pos, text``, read in splits.
+
+    A JSON string has no line break, so a line starts outside of strings, and the depth at its start is the
+    sum of the brackets before it: summed within a split of a file, and over the splits before. Commas at
+    depth 1 part the items; what two splits hold of an item is put together at the end. One line and one
+    item are a cell each. A file that is no array of balanced brackets fails; items are not parsed here.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        F.concat("value", F.lit("\n")).alias("value"))
+    marks = lines.select("path", "block", "line", F.posexplode(F.regexp_extract_all("value", F.lit(_MARKS), 0)).alias("pos", "mark"))
+    step = F.when(F.col("mark").isin("[", "{"), 1).when(F.col("mark").isin("]", "}"), -1).otherwise(0)
+    marks = marks.withColumn("step", step)
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    depths = marks.groupBy("path", "block").agg(F.sum("step").alias("steps")).select(
+        "path", "block", F.coalesce(F.sum("steps").over(ahead), F.lit(0)).alias("before"),
+        F.sum("steps").over(whole).alias("left_open"))
+    # A split's marks are sorted in one task, which is what a scan's task reads.
+    so_far = Window.partitionBy("path", "block").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    deep = marks.join(depths, ["path", "block"]).withColumn("depth", F.col("before") + F.sum("step").over(so_far))
+    edge = ((F.col("mark") == "[") & (F.col("depth") == 1) & (F.col("step") == 1)) | ((F.col("mark") == "]") & (F.col("depth") == 0))
+    comma = (F.col("mark") == ",") & (F.col("depth") == 1)
+    stray = (F.col("depth") < 0) | (F.col("left_open") != 0) | ((F.col("depth") == 0) & ~edge & (F.trim(F.translate("mark", "\t\r\n", "   ")) != ""))
+    numbered = deep.withColumn("local", F.sum(comma.cast("long")).over(so_far))
+    inner = F.when(~edge & ~comma, F.struct("line", "pos", "mark"))
+    pieces = stored(numbered.groupBy("path", "block", "local").agg(
+        F.array_sort(F.collect_list(inner)).alias("marks"), F.max(stray).alias("stray"), F.count_if(edge).alias("edges")).select(
+        "path", "block", "local", F.array_join("marks.mark", "").alias("text"), "stray", "edges"), "array-items")
+    places = pieces.groupBy("path", "block").agg(F.max("local").alias("commas"), F.sum("edges").alias("edges")).select(
+        "path", "block", F.coalesce(F.sum("commas").over(ahead), F.lit(0)).alias("first"), F.sum("edges").over(whole).alias("edges"))
+    whole_items = pieces.drop("edges").join(places, ["path", "block"]).groupBy("path", (F.col("first") + F.col("local")).alias("item_pos")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "local", "text"))).alias("parts"),
+        F.max("stray").alias("stray"), F.max("edges").alias("edges"))
+    text = X.strip(F.array_join("parts.text", ""))
+    checked = F.when(F.col("stray") | (F.col("edges") != 2), F.raise_error(F.concat(
+        F.lit("not one JSON array: "), "path")).cast("string")).otherwise(text)
+    # An empty array has one place without a text; elsewhere a place without one is kept, as a broken item.
+    last = F.max("item_pos").over(whole)
+    return whole_items.select("path", "item_pos", checked.alias("text"), last.alias("last")).where(
+        (F.col("text") != "") | (F.col("last") > 0)).drop("last")
+
+
 def strict_list(df: DataFrame, text: str = "text") -> DataFrame:
     """Texts that must each be one JSON list, as one variant ``item`` per row; fails on others."""
     parsed = df.withColumn("_v", J.parse_strict(F.col(text)))

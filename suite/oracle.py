@@ -295,6 +295,8 @@ ORACLE: dict[str, str] = {
     "cap_valid": f"""WITH {GAPPY}
       SELECT conv_id, turn, rejected FROM gappy WHERE chosen IS NOT NULL AND rejected IS NOT NULL
       ORDER BY conv_id, turn LIMIT 50""",
+    "array_items": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS item_pos,
+        md5(text) AS text_md5 FROM documents""",
     "scoring_rejects": f"""WITH {EXCHANGES}, left_out AS (
         SELECT 'test' AS part, CASE WHEN count(*) % 5 = 0 THEN 'no_text'
             WHEN count(*) FILTER (WHERE role IS NULL OR text IS NULL OR length(text) % 97 = 0) > 0 THEN 'broken_message' END AS reject_reason

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from prefloom.functions import json as J
 from prefloom.functions import text as X
@@ -508,6 +509,22 @@ def preference_metrics(spark, sf):
     return rounded(ngram.preference_rollup(frames.pairs(spark, sf), _stored(spark, sf), EXCHANGE))
 
 
+@query
+def array_items(spark, sf):
+    """Documents as files of one JSON array each, a thousand items over many lines, read back in splits."""
+    docs = frames.table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 1000).alias("file"))
+    item = F.replace(F.to_json(F.struct("doc_id", "text")), F.lit(',"text":'), F.lit(',\n  "text":'))
+    order = Window.partitionBy("file").orderBy("doc_id")
+    first, last = F.row_number().over(order) == 1, F.lead("doc_id").over(order).isNull()
+    rows = docs.select("file", "doc_id", F.concat(
+        F.when(first, "[").otherwise(""), item, F.when(last, "]").otherwise(",")).alias("value"))
+    root = scratch_path(spark, "arrays")
+    rows.sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(root)
+    parsed = F.from_json("text", "doc_id bigint, text string")
+    return readers.array_items(spark, root).select("item_pos", parsed.alias("d")).select(
+        "d.doc_id", "item_pos", F.md5("d.text").alias("text_md5"))
+
+
 @query
 def scoring_rejects(spark, sf):
     """Test rows and pairs that an evaluation does not score, by reason."""

@@ -173,3 +173,30 @@ def test_stream_equals_batch(spark, tmp_path):
     want = ingest(batch)[0].select("type", "text")
     assert want.count() == 9
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_array_files_read_in_splits_give_the_items_of_the_whole_text(spark, tmp_path):
+    items = [{"a": [i, {"b": "x,]\\\"}[" * (i % 7)}], "c": None} for i in range(300)] + ["s, [", 7, [], {}, [[1], [2, [3]]], True, None]
+    texts = {"one.json": json.dumps(items, indent=2), "two.json": json.dumps(items), "none.json": " [ \n ] \n", "single.json": "[\n1\n]"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        scan = spark.read.text(str(tmp_path))
+        assert scan.rdd.getNumPartitions() > 5
+        got = {}
+        for r in readers.array_items(spark, str(tmp_path)).collect():
+            got.setdefault(r.path.rsplit("/", 1)[1], {})[r.item_pos] = json.loads(r.text)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "gap.json").write_text("[1\n2, 3,\n]")
+    gap = readers.array_items(spark, str(tmp_path / "gap.json")).orderBy("item_pos").collect()
+    assert [r.text.split() for r in gap] == [["1", "2"], ["3"], []]
+    assert got == {n: dict(enumerate(json.loads(t))) for n, t in texts.items() if json.loads(t)}
+
+
+@pytest.mark.parametrize("text", ["[1, 2", "[1]\n]", "{\"a\": 1}", "[1] 2", "[1]\n[2]", "1", "[1}"])
+def test_files_that_are_no_array_fail(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception, match="not one JSON array"):
+        readers.array_items(spark, str(tmp_path)).collect()
