@@ -22,9 +22,8 @@ NULL_SALTS = 1 << 20
 def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``_key, _salts``: the hashes of hot keys of ``df`` and the number of salts each needs."""
     lanes = df.select(F.xxhash64(*on).alias("key"), F.pmod(F.spark_partition_id(), F.lit(LANES)).alias("lane"))
-    # Sketches are not merged of no rows at all, so there is always one.
-    none = df.sparkSession.range(1).select(F.lit(None).cast("long").alias("key"), F.lit(0).alias("lane"))
-    merged = lanes.union(none).groupBy("lane").agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("s")).agg(
+    # Lanes are merged as one group, since without a group a task that has none fails.
+    merged = lanes.groupBy("lane").agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("s")).groupBy(F.lit(True)).agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {TRACKED})").alias("top"))
     return _salts(merged.select(F.inline("top")).select(F.col("item").alias("_key"), F.col("count").alias("_n")), hot_rows)
 

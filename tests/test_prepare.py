@@ -202,6 +202,23 @@ def test_hot_keys_need_no_share_of_all_rows(spark):
     assert dealt.count() == 99_950
 
 
+def test_hot_keys_merge_over_tasks_without_a_lane(spark):
+    """More shuffle partitions than lanes, none of them coalesced: most merging tasks have no sketch."""
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, ("20", "false")):
+            spark.conf.set(name, value)
+        rows = spark.range(1000).select((F.col("id") % 2 * F.col("id")).alias("k"))
+        assert [r._salts for r in skew.hot_keys(rows, ["k"], hot_rows=100).collect()] == [5]
+        nulls = rows.select(F.lit(None).cast("string").alias("k"))
+        assert salted_join(nulls.withColumn("i", F.lit(1)), nulls.limit(0), ["k"], ["i"]).count() == 1000
+        assert skew.hot_keys(rows.where("false"), ["k"], 1).count() == 0
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None)
