@@ -15,8 +15,9 @@ from prefloom.operators import catalog
 from prefloom.schemas import MESSAGES, RESULT, TRAINER_STATE
 from prefloom.session import stored
 
-# A JSON string (or what is left of a broken one), a bracket, a comma, or what lies between them.
-_MARKS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[\[\]{},]|[^"\[\]{},]++'
+# A JSON string, or what is left of a broken one; with it a bracket, a comma, or what lies between them.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?'
+_MARKS = _STRING + r'|[\[\]{},]|[^"\[\]{},]++'
 
 _FORMATS = {".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
@@ -129,43 +130,61 @@ def array_items(spark: SparkSession, path: str) -> DataFrame:
 
     A JSON string has no line break, so a line starts outside of strings, and the depth at its start is the
     sum of the brackets before it: summed within a split of a file, and over the splits before. Commas at
-    depth 1 part the items; what two splits hold of an item is put together at the end. One line and one
-    item are a cell each. A file that is no array of balanced brackets fails; items are not parsed here.
+    depth 1 part the items; lines that stay below it are kept whole. Only the first and the last piece of a
+    split can go on in another, and are put together at the end; no other text leaves its split. One line and
+    one item are a cell each. A file that is no array of balanced brackets fails; items are not parsed here.
     """
+    value = F.concat("value", F.lit("\n"))
+    bare = F.regexp_replace(value, _STRING, "")
+    count = lambda letters: F.length(bare) - F.length(F.translate(bare, letters, ""))
+    split = ["path", "block"]
+    # A split's lines are one task's, as they are in the scan.
     lines = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        F.concat("value", F.lit("\n")).alias("value"))
-    marks = lines.select("path", "block", "line", F.posexplode(F.regexp_extract_all("value", F.lit(_MARKS), 0)).alias("pos", "mark"))
-    step = F.when(F.col("mark").isin("[", "{"), 1).when(F.col("mark").isin("]", "}"), -1).otherwise(0)
-    marks = marks.withColumn("step", step)
+        F.monotonically_increasing_id().alias("line"), value.alias("value"),
+        count("[{").alias("opened"), count("]}").alias("closed")).repartition(*split)
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path")
-    depths = marks.groupBy("path", "block").agg(F.sum("step").alias("steps")).select(
-        "path", "block", F.coalesce(F.sum("steps").over(ahead), F.lit(0)).alias("before"),
-        F.sum("steps").over(whole).alias("left_open"))
-    # A split's marks are sorted in one task, which is what a scan's task reads.
-    so_far = Window.partitionBy("path", "block").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    deep = marks.join(depths, ["path", "block"]).withColumn("depth", F.col("before") + F.sum("step").over(so_far))
-    edge = ((F.col("mark") == "[") & (F.col("depth") == 1) & (F.col("step") == 1)) | ((F.col("mark") == "]") & (F.col("depth") == 0))
+    depths = lines.groupBy(*split).agg(F.sum(F.col("opened") - F.col("closed")).alias("steps")).select(
+        *split, F.coalesce(F.sum("steps").over(ahead), F.lit(0)).alias("before"),
+        (F.sum("steps").over(whole) != 0).alias("left_open"))
+
+    by_line = Window.partitionBy(*split).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    net = F.col("opened") - F.col("closed")
+    at_start = F.col("before") + F.sum(net).over(by_line) - net
+    placed = lines.join(depths, split).withColumn("inner", at_start - F.col("closed") > 1)
+    parts = F.when(F.col("inner"), F.array("value")).otherwise(F.regexp_extract_all("value", F.lit(_MARKS), 0))
+    marks = placed.select(*split, "line", "before", "left_open", "inner", net.alias("net"), F.posexplode(parts).alias("pos", "mark"))
+    step = F.when(F.col("inner"), F.col("net")).when(F.col("mark").isin("[", "{"), 1).when(
+        F.col("mark").isin("]", "}"), -1).otherwise(0)
+    so_far = Window.partitionBy(*split).orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    deep = marks.withColumn("depth", F.col("before") + F.sum(step).over(so_far))
+    edge = ((F.col("mark") == "[") & (F.col("depth") == 1)) | ((F.col("mark") == "]") & (F.col("depth") == 0))
     comma = (F.col("mark") == ",") & (F.col("depth") == 1)
-    stray = (F.col("depth") < 0) | (F.col("left_open") != 0) | ((F.col("depth") == 0) & ~edge & (F.trim(F.translate("mark", "\t\r\n", "   ")) != ""))
+    outside = (F.col("depth") == 0) & ~edge & (F.trim(F.translate("mark", "\t\r\n", "   ")) != "")
     numbered = deep.withColumn("local", F.sum(comma.cast("long")).over(so_far))
-    inner = F.when(~edge & ~comma, F.struct("line", "pos", "mark"))
-    pieces = stored(numbered.groupBy("path", "block", "local").agg(
-        F.array_sort(F.collect_list(inner)).alias("marks"), F.max(stray).alias("stray"), F.count_if(edge).alias("edges")).select(
-        "path", "block", "local", F.array_join("marks.mark", "").alias("text"), "stray", "edges"), "array-items")
-    places = pieces.groupBy("path", "block").agg(F.max("local").alias("commas"), F.sum("edges").alias("edges")).select(
-        "path", "block", F.coalesce(F.sum("commas").over(ahead), F.lit(0)).alias("first"), F.sum("edges").over(whole).alias("edges"))
-    whole_items = pieces.drop("edges").join(places, ["path", "block"]).groupBy("path", (F.col("first") + F.col("local")).alias("item_pos")).agg(
-        F.array_sort(F.collect_list(F.struct("block", "local", "text"))).alias("parts"),
-        F.max("stray").alias("stray"), F.max("edges").alias("edges"))
-    text = X.strip(F.array_join("parts.text", ""))
-    checked = F.when(F.col("stray") | (F.col("edges") != 2), F.raise_error(F.concat(
-        F.lit("not one JSON array: "), "path")).cast("string")).otherwise(text)
+    text = F.when(~edge & ~comma, F.struct("line", "pos", "mark"))
+    pieces = stored(numbered.groupBy(*split, "local").agg(
+        F.array_sort(F.collect_list(text)).alias("marks"), F.count_if(edge).alias("edges"),
+        F.bool_or((F.col("depth") < 0) | F.col("left_open") | outside).alias("stray")).select(
+        *split, "local", F.array_join("marks.mark", "").alias("text"), "edges", "stray"), "array-items")
+
+    counts = pieces.groupBy(*split).agg(
+        F.max("local").alias("commas"), F.sum("edges").alias("edges"), F.bool_or("stray").alias("stray"))
+    places = counts.select(
+        *split, "commas", F.coalesce(F.sum("commas").over(ahead), F.lit(0)).alias("first"), F.sum("commas").over(whole).alias("last"),
+        (F.bool_or("stray").over(whole) | (F.sum("edges").over(whole) != 2)).alias("broken"))
+    found = pieces.join(places, split).select(
+        "path", "block", (F.col("first") + F.col("local")).alias("item_pos"), "text", "last", "broken",
+        F.col("local").between(1, F.col("commas") - 1).alias("complete"))
+    parted = found.where(~F.col("complete")).groupBy("path", "item_pos").agg(
+        F.array_sort(F.collect_list(F.struct("block", "text"))).alias("parts"), F.max("last").alias("last"),
+        F.bool_or("broken").alias("broken")).select("path", "item_pos", F.array_join("parts.text", "").alias("text"), "last", "broken")
+    items = found.where("complete").select(parted.columns).unionByName(parted)
+    checked = F.when(F.col("broken"), F.raise_error(F.concat(F.lit("not one JSON array: "), "path")).cast("string")).otherwise(
+        X.strip(F.col("text")))
     # An empty array has one place without a text; elsewhere a place without one is kept, as a broken item.
-    last = F.max("item_pos").over(whole)
-    return whole_items.select("path", "item_pos", checked.alias("text"), last.alias("last")).where(
+    return items.select("path", "item_pos", checked.alias("text"), "last").where(
         (F.col("text") != "") | (F.col("last") > 0)).drop("last")
 
 
