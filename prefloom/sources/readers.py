@@ -171,9 +171,10 @@ def array_items(spark: SparkSession, path: str) -> DataFrame:
 
     counts = pieces.groupBy(*split).agg(
         F.max("local").alias("commas"), F.sum("edges").alias("edges"), F.bool_or("stray").alias("stray"))
-    places = counts.select(
+    # A row per split; written, so that the join knows its size and leaves the texts in place where that is small.
+    places = stored(counts.select(
         *split, "commas", F.coalesce(F.sum("commas").over(ahead), F.lit(0)).alias("first"), F.sum("commas").over(whole).alias("last"),
-        (F.bool_or("stray").over(whole) | (F.sum("edges").over(whole) != 2)).alias("broken"))
+        (F.bool_or("stray").over(whole) | (F.sum("edges").over(whole) != 2)).alias("broken")), "array-places")
     found = pieces.join(places, split).select(
         "path", "block", (F.col("first") + F.col("local")).alias("item_pos"), "text", "last", "broken",
         F.col("local").between(1, F.col("commas") - 1).alias("complete"))
