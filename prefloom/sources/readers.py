@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,9 @@ from prefloom.session import stored
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?'
 _MARKS = _STRING + r'|[\[\]{},]|[^"\[\]{},]++'
 
+# Layout only: a folder of more files than this is listed and read by tasks, not through the driver.
+LISTED_FILES = 1_000
+
 _FORMATS = {".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
 
@@ -219,11 +225,107 @@ def _below(root: str) -> tuple[F.Column, F.Column, F.Column]:
     return (F.substring_index(rest, "/", 1).alias("run"), F.regexp_replace(rest, r"^[^/]*/", "").alias("rel_path"), inside)
 
 
+def _arrow_store(root: str):
+    """The store of ``root`` as Arrow opens it, and the folder's path there."""
+    from pyarrow import fs
+
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(quote(root, safe=":/@"))
+
+
+def _by_tasks(spark: SparkSession, runs_dir: str) -> bool:
+    """Whether a folder holds more than LISTED_FILES files, in a store that Arrow opens too."""
+    fs, p = _file_system(spark, runs_dir)
+    found, n = fs.listFiles(p, True), 0
+    while n <= LISTED_FILES and found.hasNext():
+        found.next()
+        n += 1
+    if n <= LISTED_FILES:
+        return False
+    try:
+        _arrow_store(_run_root(spark, runs_dir))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's own listing passes a file or folder of this name over."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _list_runs(root: str) -> Callable:
+    """The names of the folders in ``root``, for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for _ in batches:
+            store, base = _arrow_store(root)
+            names = (i.base_name for i in store.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in names if not _hidden(n)], pa.string())], ["run"])
+
+    return run
+
+
+def _list_files(root: str) -> Callable:
+    """The files of each run of a batch: ``run, rel_path, bytes, millis, path``."""
+    names = ["run", "rel_path", "bytes", "millis", "path"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = _arrow_store(root)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                folder, rows = f"{base.rstrip('/')}/{name}", []
+                for info in store.get_file_info(fs.FileSelector(folder, recursive=True)):
+                    rel = info.path[len(folder) + 1:]
+                    # Spark's scan gives no row for an empty file.
+                    if info.type == fs.FileType.File and info.size and not any(map(_hidden, rel.split("/"))):
+                        rows.append((name, rel, info.size, info.mtime_ns // 1_000_000, f"{root}/{name}/{rel}"))
+                columns = zip(*rows) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return run
+
+
+def _read_files(root: str) -> Callable:
+    """``run, content`` of each file of a batch ``run, rel_path``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _arrow_store(root)
+        for batch in batches:
+            for name, rel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_stream(f"{base.rstrip('/')}/{name}/{rel}") as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.read()], pa.binary())], ["run", "content"])
+
+    return run
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows over all tasks, as many as a shuffle has; names are small, but what they stand for is not."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def run_files(spark: SparkSession, runs_dir: str) -> DataFrame:
-    """Every file below the runs folder as ``(run, rel_path, bytes, modified, path)``; no content is read."""
+    """Every file below the runs folder as ``(run, rel_path, bytes, modified, path)``; no content is read.
+
+    Spark's own listing is held by the driver. With more than LISTED_FILES files one task names the
+    runs and others list them, a run each, so that no file's row is gathered; the rows are the same.
+    """
     if not path_exists(spark, runs_dir):
         return spark.createDataFrame([], "run string, rel_path string, bytes bigint, modified timestamp, path string")
-    run, rel_path, inside = _below(_run_root(spark, runs_dir))
+    root = _run_root(spark, runs_dir)
+    if _by_tasks(spark, runs_dir):
+        runs = spark.range(1, numPartitions=1).mapInArrow(_list_runs(root), "run string")
+        found = _dealt(runs).mapInArrow(_list_files(root), "run string, rel_path string, bytes bigint, millis bigint, path string")
+        return found.select("run", "rel_path", "bytes", F.timestamp_millis("millis").alias("modified"), "path")
+    run, rel_path, inside = _below(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(runs_dir)
     return found.where(inside).select(
         run, rel_path, F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "path")
@@ -234,17 +336,22 @@ def trainer_states(spark: SparkSession, runs_dir: str, order: str = "numeric",
     """Parsed trainer state per run: the root's file, else the last checkpoint's.
 
     The listing (``files``, or a fresh one) says which file of each run is read, and
-    the second scan opens those alone. Their paths, one per run, pass the driver, which
-    holds the listing of all files for the first scan anyway.
+    the second scan opens those alone. In a folder of more than LISTED_FILES files the tasks open
+    them; else their paths pass the driver, as the listing does.
     """
     listed = run_files(spark, runs_dir) if files is None else files
+    root = _run_root(spark, runs_dir)
+    parsed = lambda texts: texts.select(
+        "run", F.from_json(F.col("content").cast("string"), TRAINER_STATE).alias("s")).select("run", "s.*")
+    if path_exists(spark, runs_dir) and _by_tasks(spark, runs_dir):
+        picked = catalog.pick_state_file(listed.select("run", "rel_path"), order).select("run", "rel_path")
+        return parsed(_dealt(picked).mapInArrow(_read_files(root), "run string, content binary"))
     picked = catalog.pick_state_file(listed.select("run", "rel_path", "path"), order)
     paths = [_literal(r.path) for r in picked.select("path").collect()]
     if not paths:
         return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), *TRAINER_STATE.fields]))
-    run, _, _ = _below(_run_root(spark, runs_dir))
-    texts = spark.read.format("binaryFile").load(paths).select(run, F.col("content").cast("string").alias("value"))
-    return texts.select("run", F.from_json("value", TRAINER_STATE).alias("s")).select("run", "s.*")
+    run, _, _ = _below(root)
+    return parsed(spark.read.format("binaryFile").load(paths).select(run, "content"))
 
 
 def _literal(path: str) -> str:

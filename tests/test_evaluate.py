@@ -545,3 +545,29 @@ def test_rows_that_are_not_scored_have_a_reason(spark):
     assert evaluate.reject_counts(test.limit(0), pairs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         evaluate.reject_counts()
+
+
+def test_many_files_are_listed_and_read_by_tasks(spark, runs_dir, monkeypatch):
+    root = Path(runs_dir)
+    odd = root / "odd [a]{b}* %20é" / "checkpoint-7"
+    odd.mkdir(parents=True)
+    (odd / "trainer_state.json").write_text(json.dumps({"global_step": 7}))
+    (odd / "empty.txt").write_text("")
+    for hidden in ("_tmp/a.txt", ".git/a.txt", "sft_a/_b/a.txt", "sft_a/.c", "sft_a/d._COPYING_"):
+        (root / hidden).parent.mkdir(parents=True, exist_ok=True)
+        (root / hidden).write_text("x")
+    (root / "sft_a" / "_k=v").write_text("x")
+    (root / "bare").mkdir()
+    (root / "bad" / "checkpoint-1").mkdir(parents=True)
+    (root / "bad" / "checkpoint-1" / "trainer_state.json").write_text("{ nope")
+    row = lambda df: sorted((r.asDict(True) for r in df.collect()), key=str)
+    files, states = row(readers.run_files(spark, runs_dir)), row(readers.trainer_states(spark, runs_dir))
+    assert len(files) == 14 and len(states) == 4
+    monkeypatch.setattr(readers, "LISTED_FILES", 5)
+    for asked in (runs_dir, runs_dir + "/", f"file://{runs_dir}"):
+        by_tasks = readers.run_files(spark, asked)
+        assert by_tasks.inputFiles() == [] and row(by_tasks) == files
+        assert row(readers.trainer_states(spark, asked)) == states
+        assert row(readers.trainer_states(spark, asked, files=by_tasks)) == states
+        assert readers.trainer_states(spark, asked).inputFiles() == []
+    assert readers.trainer_states(spark, runs_dir + "_none").count() == 0
