@@ -571,3 +571,27 @@ def test_many_files_are_listed_and_read_by_tasks(spark, runs_dir, monkeypatch):
         assert row(readers.trainer_states(spark, asked, files=by_tasks)) == states
         assert readers.trainer_states(spark, asked).inputFiles() == []
     assert readers.trainer_states(spark, runs_dir + "_none").count() == 0
+
+
+def test_seen_words_are_scored_without_a_table_of_each_task_s_words(spark):
+    words = spark.createDataFrame([("en", "the", 3), ("en", "cat", 1)], "run string, token string, c bigint")
+    model = ngram.NgramModel(1, words, spark.createDataFrame([("en", 4, 2)], "run string, n bigint, v bigint"))
+    test = spark.createDataFrame([(1, "en", "the the cat zzz"), (1, "en", "the"), (None, "en", "cat"), (2, None, "cat")],
+                                 "id int, run string, text string")
+    tokenised = test.select("id", "run", F.split("text", " ").alias("tokens"))
+    hits = ngram._hits(tokenised, model, ["id"], ["id", "run"], 0.5)
+    assert "count(1)" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.id, r.run): (r.loss, r.num_tokens) for r in ngram.sequence_loss(test, model, ["id"], own_run="run").collect()}
+    log = math.log
+    assert got == {(1, "en"): (pytest.approx(log(7) - (3 * log(4) + log(2)) / 5), 5), (None, "en"): (pytest.approx(log(7) - log(2)), 1)}
+
+
+def test_shares_are_worked_out_for_used_pairs_only(spark, monkeypatch, tmp_path):
+    train, test = frames_of(spark)
+    ngram.fit_ngram(train, order=2).save(str(tmp_path / "m"))
+    model, looked_up, plain = ngram.NgramModel.load(spark, str(tmp_path / "m"), 2), [], ngram.pair_shares
+    monkeypatch.setattr(ngram, "pair_shares", lambda pairs, model: looked_up.append(pairs) or plain(pairs, model))
+    got = {(r.id, r.run): r.loss for r in ngram.sequence_loss(test, model, ["id"]).collect()}
+    assert got == {k: pytest.approx(v[0]) for k, v in brute_force(2).items()}
+    found = {(r.run, r.ctx, r.token) for pairs in looked_up for r in pairs.collect()}
+    assert found == {("en", "the", "cat"), ("en", "cat", "sat")} and model.pairs.count() > len(found)
