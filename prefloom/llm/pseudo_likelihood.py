@@ -46,6 +46,7 @@ RATE = 0.06
 BLOCK_TOKENS = 1 << 18
 PLACES = 1 << 14  # places whose layers are held at a time
 ROWS = 1 << 11  # places whose softmax is worked out at a time
+LONG = 32  # rows of a stretch that is added up by itself
 SLICE = 8192
 LANES = 16
 
@@ -223,26 +224,33 @@ def _joined(weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def hidden(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The hidden layer, and a 1, of places that have ``side`` tokens of ``line`` on either side."""
-    rows = weights[0]
-    shifts = _shifts(rows.shape[1])
-    total = rows[line[at + shifts[0]], 0]
-    total += weights[1]
-    for k, d in enumerate(shifts[1:], 1):
-        total += rows[line[at + d], k]
-    layer = np.ones((len(at), rows.shape[2] + 1), rows.dtype)
-    np.maximum(total, 0, out=layer[:, :-1])
+    width, size = weights[0].shape[1:]
+    rows = weights[0].reshape(-1, size)
+    layer = np.ones((len(at), size + 1), rows.dtype)
+    total, one = np.empty((2, min(ROWS, len(at)), size), rows.dtype)
+    for own in _pieces(0, len(at)):
+        place = at[own]
+        total, one = total[:len(place)], one[:len(place)]
+        for k, d in enumerate(_shifts(width)):
+            # Clipping changes no token; without it, take() would write to a buffer of its own first.
+            np.take(rows, line[place + d] * width + k, axis=0, out=one if k else total, mode="clip")
+            total += one if k else weights[1]
+        np.maximum(total, 0, out=layer[own, :-1])
     return layer
 
 
-def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray | int]:
-    """``z`` turned into its exponentials, less a row's highest first if need be; gives their sums by row
-    and what was taken off."""
-    low = 0
-    if z.size and (z.max() > 60 or z.min() < -60):
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    """The exponentials of ``z``, less a row's highest first if need be; their sums by row and what was taken off."""
+    low, one = 0, np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ one
+    # Sums of a fair size: no row's highest value is far from 0, and what others lose below it counts for nothing.
+    if z.size and not 1e-26 < total.min() <= total.max() < 1e26:
         low = z.max(axis=1)
-        z -= low[:, None]
-    np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], z.dtype), low
+        e = np.exp(z - low[:, None])
+        total = e @ one
+    return e, total, low
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -274,9 +282,8 @@ def log_probabilities(weights: list[np.ndarray], line: np.ndarray, at: np.ndarra
     found, row = np.empty(len(order), h.dtype), np.arange(ROWS)
 
     def log_share(z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        chosen = z[row[:len(z)], wanted]
-        total, low = _exponents(z)
-        return chosen - low - np.log(total)
+        _, total, low = _exponents(z)
+        return z[row[:len(z)], wanted] - low - np.log(total)
 
     for own in _pieces(0, len(order)):
         found[own] = log_share(h[own] @ outer, kind[own])
@@ -288,31 +295,33 @@ def log_probabilities(weights: list[np.ndarray], line: np.ndarray, at: np.ndarra
 
 
 def _slopes(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """``z`` turned into the softmax of its rows less 1 at the target."""
-    total, _ = _exponents(z)
-    z *= (1 / total)[:, None]
-    z[np.arange(len(z)), target] -= 1
-    return z
+    """The softmax of the rows of ``z`` less 1 at the target."""
+    e, total, _ = _exponents(z)
+    e *= (1 / total)[:, None]
+    e[np.arange(len(z)), target] -= 1
+    return e
 
 
 def _stretch_sums(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of ``rows[order]`` over the stretches that begin at ``starts``; the last of ``rows`` is zero.
+    """Sums of ``rows[order]`` over the stretches that begin at ``starts``.
 
-    Pairs within stretches are added first, row on row, which leaves less for the slower grouped sum.
+    Long stretches are added up one by one. Of the others the first rows are taken, then the second ones
+    are added, and so on, for all stretches that have them at a time: those are the first ones by length.
     """
     sizes = np.diff(np.append(starts, len(order)))
-    for _ in range(2):
-        halves = (sizes + 1) // 2
-        ends = np.cumsum(halves)
-        j = 2 * (np.arange(ends[-1]) - np.repeat(ends - halves, halves))
-        left = np.repeat(starts, halves) + j
-        order = np.append(order, len(rows) - 1)
-        right = np.where(j + 1 < np.repeat(sizes, halves), left + 1, len(order) - 1)
-        held = np.zeros((len(left) + 1, rows.shape[1]), rows.dtype)
-        held[:-1] = rows[order[left]]
-        held[:-1] += rows[order[right]]
-        rows, sizes, starts, order = held, halves, ends - halves, np.arange(len(left))
-    return np.add.reduceat(rows[:-1], starts, axis=0)
+    by_size = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by_size], sizes[by_size]
+    longer = np.searchsorted(-sizes, -np.arange(LONG + 1))  # how many have more than 0, 1, 2 ... rows
+    sums, many = rows[order[starts]], longer[-1]
+    for i in range(many):
+        rest = rows[order[starts[i] + 1:starts[i] + sizes[i]]]
+        sums[i] += np.ones(len(rest), rows.dtype) @ rest
+    for k in range(1, LONG):
+        if longer[k] > many:
+            sums[many:longer[k]] += rows[order[starts[many:longer[k]] + k]]
+    out = np.empty_like(sums)
+    out[by_size] = sums
+    return out
 
 
 def add_gradients(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, target: np.ndarray, sums: list[np.ndarray]) -> None:
@@ -340,10 +349,10 @@ def add_gradients(weights: list[np.ndarray], line: np.ndarray, at: np.ndarray, t
     # a place lie in a row, so a window over them is a view; the place's own row is left out at the end.
     width, size = weights[0].shape[1], back.shape[1]
     side, m = width // 2, len(line)
-    spread = np.zeros((m + 1 + 4 * side, size), back.dtype)
+    spread = np.zeros((m + 4 * side, size), back.dtype)
     spread[at + side] = back
     windows = np.lib.stride_tricks.as_strided(
-        spread, (m + 2 * side + 1, (width + 1) * size), (size * spread.itemsize, spread.itemsize), writeable=False)
+        spread, (m + 2 * side, (width + 1) * size), (size * spread.itemsize, spread.itemsize), writeable=False)
     by_token = np.argsort(line.astype(np.uint16) if len(weights[0]) < 1 << 16 else line, kind="stable")
     token = line[by_token]
     starts = _runs(token)

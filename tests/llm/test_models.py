@@ -140,6 +140,17 @@ def test_gradients_equal_differences(monkeypatch):
             assert g[at] == pytest.approx((each[0] - each[1]) / 2e-5, abs=1e-4)
 
 
+@pytest.mark.parametrize("long", [1, 3, 32])
+def test_stretches_of_rows_are_added_up(monkeypatch, long):
+    monkeypatch.setattr(pseudo_likelihood, "LONG", long)
+    random = np.random.default_rng(8)
+    rows, token = random.normal(0, 1, (300, 5)), np.sort(np.repeat(np.arange(40), random.integers(1, 60, 40)))
+    order = random.integers(0, 300, len(token))
+    want = np.zeros((40, 5))
+    np.add.at(want, token, rows[order])
+    assert pseudo_likelihood._stretch_sums(rows, order, pseudo_likelihood._runs(token)) == pytest.approx(want)
+
+
 def test_probabilities_sum_to_one():
     shape = pseudo_likelihood.Shape()
     weights = pseudo_likelihood.first_weights(pseudo_likelihood.Vocabulary(shape, np.array([1]), np.ones(shape.tokens)))
