@@ -595,3 +595,40 @@ def test_shares_are_worked_out_for_used_pairs_only(spark, monkeypatch, tmp_path)
     assert got == {k: pytest.approx(v[0]) for k, v in brute_force(2).items()}
     found = {(r.run, r.ctx, r.token) for pairs in looked_up for r in pairs.collect()}
     assert found == {("en", "the", "cat"), ("en", "cat", "sat")} and model.pairs.count() > len(found)
+
+
+def _mixed_pairs(spark):
+    rows = [(1, "a b", "c c"), (1, "a", "x"), (2, "b a", "b a"), (2, None, "a"), (3, "", "a"), (4, "q", None),
+            (None, "c", "a b zz"), (5, "a " * 40, "b")]
+    model = ngram.fit_ngram(spark.createDataFrame([("r", "a b b c"), ("s", "c c d"), ("t", "e")], "run string, text string"))
+    return spark.createDataFrame(rows, "id int, chosen string, rejected string"), ngram.MixedModel(ngram.pool(model), model, 0.3)
+
+
+def test_few_runs_of_a_mix_are_scored_in_one_grouping(spark, monkeypatch):
+    pairs, model = _mixed_pairs(spark)
+    found = ngram.preference_losses(pairs, model, ["id"])
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted((str(r.id), r.run, round(r.chosen_loss, 9), round(r.rejected_loss, 9)) for r in df.collect())
+    got = rows(found)
+    assert len(got) == 12 and rows(ngram.preference_losses(pairs, model, ["id"], ["s"])) == [r for r in got if r[1] == "s"]
+    capped = rows(ngram.preference_losses(pairs, model, ["id"], max_tokens=1))
+    monkeypatch.setattr(ngram, "FEW_RUNS", 0)
+    assert rows(ngram.preference_losses(pairs, model, ["id"])) == got
+    assert rows(ngram.preference_losses(pairs, model, ["id"], max_tokens=1)) == capped
+    ties = [r for r in got if r[0] == "2" and r[1] == "r"]
+    assert len(ties) == 1
+
+
+def test_evaluation_makes_its_pairs_once(spark):
+    pairs, mixed = _mixed_pairs(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        made.add(1)
+        return {}
+
+    runs = mixed.adapter.runs().withColumn("load_as", F.when(F.col("run") == "r", "lora").otherwise("full"))
+    counted = scoring.map_rows(pairs, seen, pairs.schema)
+    table = evaluate.evaluate(runs, ["id"], mixed.adapter, prefs=counted, base=mixed.base)
+    assert {r.run: r.preference_total for r in table.collect()} == {"r": 4, "s": 5, "t": 5}
+    assert made.value == pairs.count()
