@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from prefloom.functions import text as X
 from prefloom.operators import catalog
 from prefloom.schemas import MESSAGES, RESULT, TRAINER_STATE
 from prefloom.session import stored
+from prefloom.sources.states import log_slices
 
 # A JSON string, or what is left of a broken one; with it a bracket, a comma, or what lies between them.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?'
@@ -24,6 +26,8 @@ _MARKS = _STRING + r'|[\[\]{},]|[^"\[\]{},]++'
 
 # Layout only: a folder of more files than this is listed and read by tasks, not through the driver.
 LISTED_FILES = 1_000
+# Layout only: a trainer state of more bytes than this is parsed in slices of about as many.
+SLICE_BYTES = 1 << 20
 
 _FORMATS = {".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
@@ -241,10 +245,12 @@ def _by_tasks(spark: SparkSession, runs_dir: str) -> bool:
     while n <= LISTED_FILES and found.hasNext():
         found.next()
         n += 1
-    if n <= LISTED_FILES:
-        return False
+    return n > LISTED_FILES and _opened_by_arrow(_run_root(spark, runs_dir))
+
+
+def _opened_by_arrow(root: str) -> bool:
     try:
-        _arrow_store(_run_root(spark, runs_dir))
+        _arrow_store(root)
     except (pa.ArrowException, OSError):
         return False
     return True
@@ -294,15 +300,24 @@ def _list_files(root: str) -> Callable:
     return run
 
 
-def _read_files(root: str) -> Callable:
-    """``run, content`` of each file of a batch ``run, rel_path``."""
+def _read_files(root: str, most: int) -> Callable:
+    """``run, first, content`` of each trainer state of a batch ``run, rel_path``: whole up to ``most`` bytes, else its slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _arrow_store(root)
+        row = lambda *cells: pa.RecordBatch.from_arrays(
+            [pa.array([c], k) for c, k in zip(cells, (pa.string(), pa.int64(), pa.binary()))], ["run", "first", "content"])
         for batch in batches:
             for name, rel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with store.open_input_stream(f"{base.rstrip('/')}/{name}/{rel}") as file:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.read()], pa.binary())], ["run", "content"])
+                path = f"{base.rstrip('/')}/{name}/{rel}"
+                if store.get_file_info(path).size > most:
+                    with store.open_input_file(path) as file:
+                        if slices := log_slices(file, most):
+                            for first, text in slices.texts(file):
+                                yield row(name, first, text)
+                            continue
+                with store.open_input_stream(path) as file:
+                    yield row(name, 0, file.read())
 
     return run
 
@@ -335,23 +350,36 @@ def trainer_states(spark: SparkSession, runs_dir: str, order: str = "numeric",
                    files: DataFrame | None = None) -> DataFrame:
     """Parsed trainer state per run: the root's file, else the last checkpoint's.
 
+    A state of more than SLICE_BYTES has a row per slice of its log, so that no cell holds it: ``first`` is the number of the
+    slice's first entry, and the row where it is 0 has the state's other fields.
+
     The listing (``files``, or a fresh one) says which file of each run is read, and
     the second scan opens those alone. In a folder of more than LISTED_FILES files the tasks open
-    them; else their paths pass the driver, as the listing does.
+    them; else their paths pass the driver, as the listing does, and tasks open the large ones. A store
+    that Arrow does not open gives whole states.
     """
     listed = run_files(spark, runs_dir) if files is None else files
     root = _run_root(spark, runs_dir)
     parsed = lambda texts: texts.select(
-        "run", F.from_json(F.col("content").cast("string"), TRAINER_STATE).alias("s")).select("run", "s.*")
+        "run", "first", F.from_json(F.col("content").cast("string"), TRAINER_STATE).alias("s")).select("run", "first", "s.*")
+    by_tasks = lambda states: parsed(
+        states.mapInArrow(_read_files(root, SLICE_BYTES), "run string, first bigint, content binary"))
     if path_exists(spark, runs_dir) and _by_tasks(spark, runs_dir):
-        picked = catalog.pick_state_file(listed.select("run", "rel_path"), order).select("run", "rel_path")
-        return parsed(_dealt(picked).mapInArrow(_read_files(root), "run string, content binary"))
-    picked = catalog.pick_state_file(listed.select("run", "rel_path", "path"), order)
-    paths = [_literal(r.path) for r in picked.select("path").collect()]
-    if not paths:
-        return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), *TRAINER_STATE.fields]))
+        return by_tasks(_dealt(catalog.pick_state_file(listed.select("run", "rel_path"), order).select("run", "rel_path")))
+    picked = catalog.pick_state_file(listed.select("run", "rel_path", "bytes", "path"), order).collect()
+    large = [r for r in picked if r.bytes > SLICE_BYTES] if _opened_by_arrow(root) else []
+    paths = [_literal(r.path) for r in picked if r not in large]
     run, _, _ = _below(root)
-    return parsed(spark.read.format("binaryFile").load(paths).select(run, "content"))
+    parts = []
+    if paths:
+        parts.append(parsed(spark.read.format("binaryFile").load(paths).select(run, F.lit(0).cast("bigint").alias("first"), "content")))
+    if large:
+        names = spark.createDataFrame([(r.run, r.rel_path) for r in large], "run string, rel_path string")
+        parts.append(by_tasks(names.repartition(len(large))))
+    if not parts:
+        first = T.StructField("first", T.LongType())
+        return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), first, *TRAINER_STATE.fields]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _literal(path: str) -> str:

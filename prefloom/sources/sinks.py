@@ -9,10 +9,12 @@ readers under way; the one before that goes.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefloom.schemas import RESULT
@@ -85,6 +87,24 @@ def _put(spark: SparkSession, fresh, place: str) -> None:
     context.rename(fresh, target, how)
 
 
+def _opener(root: str) -> Callable:
+    """Opens files below ``root`` by name to write them, and makes their folders."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
+    made = set()
+
+    def opened(name: str):
+        target = f"{base.rstrip('/')}/{name}"
+        folder = target.rsplit("/", 1)[0]
+        if folder not in made:
+            store.create_dir(folder, recursive=True)
+            made.add(folder)
+        return store.open_output_stream(target)
+
+    return opened
+
+
 def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
     """Each row as one file: ``content`` at ``path`` below ``root``, written by the tasks.
 
@@ -93,18 +113,10 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
-        made, n = set(), 0
+        opened, n = _opener(root), 0
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = f"{base.rstrip('/')}/{name}"
-                folder = target.rsplit("/", 1)[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(target) as out:
+                with opened(name) as out:
                     out.write(raw or b"")
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
@@ -113,6 +125,45 @@ def write_files(df: DataFrame, root: str, path: str = "path", content: str = "co
     rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
+def write_pieces(df: DataFrame, root: str, order: list[str], path: str = "path", part: str = "part",
+                 content: Column | str = "content", sep: str = ",") -> None:
+    """Files from rows that each hold a piece of one, so that no cell or task holds a file.
+
+    The rows of a ``path`` are put together by ``order``; those of one ``part`` are parted by ``sep``, and parts follow
+    each other. Where a part is lower than the one before, the file is begun anew. ``root`` is as for :func:`write_files`.
+    """
+    mark = sep.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, out, at, n = _opener(root), None, None, 0
+        try:
+            for batch in batches:
+                names, parts, raws = batch.columns
+                same = pc.and_(pc.equal(names[1:], names[:-1]), pc.equal(parts[1:], parts[:-1]))
+                starts = [0, *(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1).tolist()] if len(names) else []
+                heads = zip(names.take(pa.array(starts, pa.int64())).to_pylist(), parts.take(pa.array(starts, pa.int64())).to_pylist())
+                texts = raws.to_pylist()
+                for (name, this), start, end in zip(heads, starts, [*starts[1:], len(texts)]):
+                    if at is None or name != at[0] or this < at[1]:
+                        if out is not None:
+                            out.close()
+                        out, n = opened(name), n + 1
+                    elif this == at[1]:
+                        out.write(mark)
+                    out.write(mark.join([t or b"" for t in texts[start:end]]))
+                    at = name, this
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    # What a piece holds is worked out after the shuffle.
+    dealt = df.where(F.col(path).isNotNull()).repartition(path).sortWithinPartitions(path, *order)
+    rows = dealt.select(F.col(path).alias("path"), F.col(part).alias("part"),
+                        (F.col(content) if isinstance(content, str) else content).cast("binary").alias("content"))
+    rows.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Canonical records as Parquet."""
     records.write.mode("overwrite").parquet(path)

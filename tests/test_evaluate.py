@@ -1,3 +1,4 @@
+import io
 import json
 import math
 from collections import Counter
@@ -12,7 +13,7 @@ from prefloom.functions.vectors import cosine
 from prefloom.operators import catalog, leaderboard, metrics, ngram, rewards, scoring
 from prefloom.plans import evaluate, registry
 from prefloom.plans.rewards import score_rewards
-from prefloom.sources import readers, sinks
+from prefloom.sources import readers, sinks, states
 
 # Published perplexity, test loss and seconds of five short runs.
 GOLDEN = {
@@ -573,6 +574,91 @@ def test_many_files_are_listed_and_read_by_tasks(spark, runs_dir, monkeypatch):
     assert readers.trainer_states(spark, runs_dir + "_none").count() == 0
 
 
+LOGGED = [
+    {"loss": 2.5, "step": 1}, {"step": 2, "eval_loss": 9.0, "note": 'a ] } , " \\ \\" [ { é \u2028'}, None, {}, {"loss": 1, "step": "x"},
+    {"loss": "none", "train_runtime": 1.0}, {"more": {"log_history": [1, {"a": [2, "]"]}]}, "loss": 0.5}, {"eval_loss": 0.25, "x": "\\\\"},
+    {"loss": 4.0}, {"train_runtime": 7.5, "it's": "'"}]
+STATES = {
+    "plain": json.dumps({"global_step": 3, "log_history": LOGGED * 9, "best_model_checkpoint": "c"}),
+    "wide": json.dumps({"a": {"b": ["log_history", [1, 2]]}, "global_step": 3, "log_history": LOGGED * 9, "z": [[1, 2], {"log_history": [5]}]},
+                       indent=2, ensure_ascii=False),
+    "escaped key": json.dumps({"global_step": 4, "log_history": LOGGED * 9}).replace('"log_history": [{"loss": 2.5', '"log_hist\\u006fry" :\n [{"loss": 2.5', 1),
+    "two logs": json.dumps({"log_history": LOGGED * 9})[:-1] + ', "log_history": [{"loss": 1.0}]}',
+    "log lost": json.dumps({"log_history": LOGGED * 9})[:-1] + ', "log_history": 7, "global_step": 8}',
+    "numbers": json.dumps({"log_history": [*LOGGED, 5, *LOGGED], "global_step": 8}),
+    "comma": json.dumps({"log_history": LOGGED * 9, "global_step": 8}).replace("}, {", "}, , {", 1),
+    "last comma": json.dumps({"log_history": LOGGED * 9, "global_step": 8}).replace("}]", "},]"),
+    "bad entry": json.dumps({"global_step": 8, "log_history": LOGGED * 9}).replace('"loss": 4.0', '"loss": 4.0.1', 5),
+    "single quotes": "{'global_step': 8, 'log_history': [" + ", ".join(["{'loss': 1.0, 'x': ']'}"] * 40) + "]}",
+    "in a list": json.dumps([{"global_step": 8, "log_history": LOGGED * 9}]),
+    "no log": json.dumps({"global_step": 8, "other": [LOGGED] * 9}),
+    "text after": json.dumps({"global_step": 8, "log_history": LOGGED * 9}) + " }] more",
+    **{f"cut at {n}": json.dumps({"global_step": 5, "log_history": LOGGED * 9})[:-n] for n in (1, 2, 3, 4, 9, 20, 30, 40, 60, 300)},
+}
+
+
+def test_large_trainer_states_are_read_in_slices(spark, tmp_path, monkeypatch):
+    for run, text in STATES.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "trainer_state.json").write_text(text)
+    (tmp_path / "bytes").mkdir()
+    (tmp_path / "bytes" / "trainer_state.json").write_bytes(
+        b'{"global_step": 2, "log_history": [' + b", ".join([b'{"loss": 1.5, "x": "\xff\xc3"}'] * 40) + b"]}")
+    root = str(tmp_path)
+    row = lambda df: sorted((r.asDict(True) for r in df.collect()), key=str)
+
+    def read():
+        found = readers.trainer_states(spark, root)
+        return found, row(metrics.log_rows(found)), row(metrics.training_metrics(metrics.log_rows(found), found))
+
+    whole, logs, figures = read()
+    assert whole.count() == len(figures) == len(STATES) + 1 and {r["run"] for r in logs} >= {"plain", "wide", "bytes", "escaped key"}
+    monkeypatch.setattr(readers, "SLICE_BYTES", 150)
+    for listed in (1_000, 5):  # read below the driver's listing, and by tasks alone
+        monkeypatch.setattr(readers, "LISTED_FILES", listed)
+        sliced, again, same = read()
+        assert again == logs and same == figures
+        cells = {r.run: r.n for r in sliced.groupBy("run").agg(F.max(F.size("log_history")).alias("n")).collect()}
+        assert all(cells[run] < 20 for run in ("plain", "wide", "escaped key", "bytes"))
+        assert sliced.where("run = 'plain'").count() > 9
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_slices_do_not_depend_on_the_chunks_read(chunk, monkeypatch):
+    found = lambda: {run: states.log_slices(io.BytesIO(text.encode()), 150) for run, text in STATES.items()}
+    at_once = found()
+    monkeypatch.setattr(states, "CHUNK", chunk)
+    assert found() == at_once
+    assert {run for run, slices in at_once.items() if slices and slices.spans} == {"plain", "wide", "escaped key"}
+
+
+def test_a_cut_state_is_found_without_holding_its_log():
+    text = ('{"global_step": 1, "log_history": [' + ", ".join(['{"loss": 1.0, "t": "}],[{"}'] * 200_000) + '], "z": [1]}').encode()
+    found = states.log_slices(io.BytesIO(text), 1 << 16)
+    assert (found.head, found.tail) == (b'{"global_step": 1, "log_history": [', b'], "z": [1]}')
+    sizes = [len(t) for _, t in found.texts(io.BytesIO(text))]
+    assert max(sizes) < (1 << 16) + 200 and len(sizes) == -(-len(text) // (1 << 16))
+    assert sum(len(json.loads(t)["log_history"]) for _, t in found.texts(io.BytesIO(text))) == 200_000
+    torn = states.log_slices(io.BytesIO(text[:-100]), 1 << 16)
+    assert torn.spans == [] and len(torn.head + torn.tail) < (1 << 16) + 200
+
+
+def test_runs_are_evaluated_from_states_in_slices(spark, runs_dir, tmp_path, monkeypatch):
+    log = [{"loss": float(i), "step": i} for i in range(500)] + [{"eval_loss": 0.5}, {"train_runtime": 72.0}]
+    (Path(runs_dir) / "sft_a" / "trainer_state.json").write_text(json.dumps({"log_history": log, "global_step": 502}))
+    monkeypatch.setattr(readers, "SLICE_BYTES", 1_000)
+    held, rows = [], metrics.log_rows
+    monkeypatch.setattr(metrics, "log_rows", lambda states: held.append(states) or rows(states))
+    got = {r.run: r for r in evaluate.evaluate_runs(spark, runs_dir, str(tmp_path / "out"), ["id"], None).collect()}
+    sft = got["sft_a"]
+    assert (sft.initial_train_loss, sft.final_train_loss, sft.best_eval_loss, sft.total_steps, sft.training_time_hours) == (
+        0.0, 499.0, 0.5, 502, 0.02)
+    assert got["DPO_b"].total_steps == 1000
+    cells = held[0].select("run", "first", F.size("log_history").alias("n")).collect()
+    assert {r.run for r in cells} == {"sft_a", "DPO_b"} and len(held) == 1
+    assert max(r.n for r in cells) < 50 and sum(r.n for r in cells if r.run == "sft_a") == 502
+
+
 def test_seen_words_are_scored_without_a_table_of_each_task_s_words(spark):
     words = spark.createDataFrame([("en", "the", 3), ("en", "cat", 1)], "run string, token string, c bigint")
     model = ngram.NgramModel(1, words, spark.createDataFrame([("en", 4, 2)], "run string, n bigint, v bigint"))

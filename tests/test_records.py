@@ -8,6 +8,7 @@ from prefloom.operators import records
 from prefloom.plans.ingest import ingest, ingest_path
 from prefloom.sources import readers, sinks
 from prefloom.streaming.ingest import stream_records, write_stream
+from suite import frames
 
 
 def texts(spark, *values):
@@ -139,6 +140,53 @@ def test_written_files_hold_what_the_rows_say(spark, tmp_path):
             n: t or "" for n, t in rows}
 
 
+def test_files_are_written_from_pieces(spark, tmp_path):
+    n = 30_000
+    pieces = spark.range(n).select(
+        F.lit("a b/log").alias("path"), F.lit(1).alias("part"), F.col("id").alias("pos"), F.col("id").cast("string").alias("content"))
+    around = spark.createDataFrame(
+        [("a b/log", 0, 0, "["), ("a b/log", 2, 0, "]"), ("é/one", 0, 0, "x"), ("é/none", 0, 0, None), (None, 0, 0, "y"),
+         ("twice", 0, 1, "old"), ("twice", 1, 1, "old"), ("twice", 0, 2, "new"), ("commas", 4, 0, "1"), ("commas", 4, 1, "2")],
+        "path string, part int, pos bigint, content string")
+    rows = pieces.unionByName(around).withColumn("again", F.when(F.col("path") == "twice", F.col("pos")))
+    for root in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        sinks.write_pieces(rows, root, ["again", "part", "pos"])
+        base = tmp_path / root.rsplit("/", 1)[1]
+        assert {str(p.relative_to(base)): p.read_text() for p in base.rglob("*") if p.is_file()} == {
+            "a b/log": "[" + ",".join(map(str, range(n))) + "]", "é/one": "x", "é/none": "", "twice": "new", "commas": "1,2"}
+
+
+def test_a_run_folder_is_written_without_a_cell_per_state(spark, tmp_path):
+    events = [(i, i % 7 if i % 10 else None, ("click", "purchase", "error", "other")[i % 4], i / 4 if i % 9 else None) for i in range(400)]
+    events += events[:40]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    tree = frames.run_tree(spark, str(tmp_path), F.col("user_id") % 6)
+    assert "collect_list" not in tree._jdf.queryExecution().optimizedPlan().toString()
+    sinks.write_pieces(tree, str(tmp_path / "runs"), frames.PIECES, content=F.coalesce("text", F.to_json("entry")))
+    got = {str(p.relative_to(tmp_path / "runs")): p.read_text() for p in (tmp_path / "runs").rglob("*") if p.is_file()}
+    want = {}
+    for g in range(6):
+        name, files, at = frames.KINDS[g]
+        run = f"{name}{g}"
+        want |= {f"{run}/{f}": str(g) for f in files}
+        own = sorted((e for e in events if e[1] is not None and e[1] % 6 == g), key=lambda e: e[0])
+        for folder in ("", "checkpoint-800", "checkpoint-900", "checkpoint-1000"):
+            logged = [e for e in own if not folder or folder == f"checkpoint-{(e[0] % 3 + 8) * 100}"]
+            if not logged:
+                continue
+            if folder:
+                want[f"{run}/{folder}/adapter_model.safetensors"] = folder
+            if at != "root" if folder == "" else (folder == "checkpoint-1000" and at == "some checkpoints"):
+                continue
+            entry = lambda e: {k: v for k, v in (
+                ("step", e[0]), ("loss", e[3] if e[2] == "click" else None), ("eval_loss", e[3] if e[2] == "purchase" else None),
+                ("train_runtime", e[3] if e[2] == "error" else None)) if v is not None}
+            state = {"global_step": len(logged)} | ({"best_model_checkpoint": folder} if folder else {})
+            want[f"{run}/{folder}/trainer_state.json".replace("//", "/")] = json.dumps(
+                state | {"log_history": [entry(e) for e in logged]}, separators=(",", ":"))
+    assert got == want
+
+
 def test_typed_paths(spark, tmp_path):
     frame = spark.createDataFrame([(1, "x")], "id int, text string")
     frame.coalesce(1).write.parquet(str(tmp_path / "pq"))
